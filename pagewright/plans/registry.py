@@ -1,0 +1,13 @@
+"""Every query of the library by name, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+QUERIES: dict = {}
+ORACLES: dict = {}
