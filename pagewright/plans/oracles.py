@@ -1,0 +1,122 @@
+"""DuckDB SQL for the queries of ``registry``, over common table expressions of its own."""
+
+from __future__ import annotations
+
+_FETCH = """flog AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS site, url,
+    CASE WHEN page_id % 29 = 7 THEN 404 WHEN page_id % 31 = 11 THEN 503 WHEN page_id % 97 = 13 THEN 410 ELSE 200 END AS status,
+    120 + (page_id * 7919) % 3700 AS load_time_ms, 20 + (page_id * 104729) % 180 AS ttfb_ms,
+    CASE WHEN page_id % 5 = 0 THEN 'js' ELSE 'raw' END AS render_mode, octet_length(encode(html)) AS content_length_bytes FROM pages)"""
+
+
+def _plain(x: str) -> str:
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"trim(regexp_replace({x}, '[\\x00-\\x20]+', ' ', 'g'))"
+
+
+_A = r"""<a\s[^>]*href="([^"#][^"]*)"[^>]*>((?:[^<]|<[^/][^>]*>|</[^a][^>]*>)*)</a>"""
+_H = r"<(h[1-6])(?:\s[^>]*)?>((?:[^<]|<[^/][^>]*>|</[^h][^>]*>)*)</h[1-6]>"
+_P = r"<p(?:\s[^>]*)?>((?:[^<]|<[^/p][^>]*>|</[^p][^>]*>)*)"
+_RESOLVE = r"""CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h
+    WHEN starts_with(h, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || h
+    WHEN starts_with(h, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || h
+    ELSE regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '[^/]*$', '') || h END"""
+_PARSED = rf"""body AS (SELECT page_id, url, html, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS site,
+    regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS body FROM pages),
+heads AS (SELECT page_id, site, url, unnest(regexp_extract_all(body, '{_H}', 1)) AS tag, unnest(regexp_extract_all(body, '{_H}', 2)) AS raw, generate_subscripts(regexp_extract_all(body, '{_H}', 1), 1) AS i FROM body),
+headings AS (SELECT page_id, site, url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, tag, {_plain('raw')} AS text FROM heads WHERE {_plain('raw')} <> ''),
+paras AS (SELECT page_id, site, url, unnest(regexp_extract_all(body, '{_P}', 1)) AS raw, generate_subscripts(regexp_extract_all(body, '{_P}', 1), 1) AS i FROM body),
+paragraphs AS (SELECT page_id, site, url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, {_plain('raw')} AS text FROM paras WHERE length({_plain('raw')}) > 20),
+anchors AS (SELECT page_id, site, url, unnest(regexp_extract_all(body, '{_A}', 1)) AS h, unnest(regexp_extract_all(body, '{_A}', 2)) AS raw, generate_subscripts(regexp_extract_all(body, '{_A}', 1), 1) - 1 AS pos FROM body),
+links AS (SELECT page_id, site, url, pos, href, label, CASE WHEN lower(regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) = site THEN 'internal' ELSE 'external' END AS kind
+    FROM (SELECT *, split_part({_RESOLVE}, '#', 1) AS href, {_plain('raw')} AS label FROM anchors)),
+imgs AS (SELECT page_id, len(regexp_extract_all(body, '<img\s([^>]*)>', 1)) AS n_images FROM body),
+pt AS (SELECT page_id, count(*) AS n_paragraphs, string_agg(text, ' ' ORDER BY pos) AS text, arg_min(text, pos) AS first_p FROM paragraphs GROUP BY 1),
+hd AS (SELECT page_id, count(*) AS n_headings, arg_min(text, pos) FILTER (WHERE tag = 'h1') AS h1 FROM headings GROUP BY 1),
+lk AS (SELECT page_id, count(*) AS n_links, count(*) FILTER (WHERE kind = 'internal') AS n_internal, bool_or(starts_with(href, 'http://')) AS insecure FROM links GROUP BY 1),
+parsed AS (SELECT b.page_id, b.url, b.site, {_plain("regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)")} AS title, h1,
+    coalesce(CASE WHEN length(first_p) > 200 THEN left(first_p, 200) || '...' ELSE first_p END, '') AS description,
+    CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, ' ')) END AS words, coalesce(n_links, 0) AS n_links, coalesce(n_internal, 0) AS n_internal, n_images, coalesce(insecure, false) AS insecure,
+    len(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '{_A}', 1)) AS nav_links, trim(regexp_extract(html, '(?s)<footer[^>]*>(.*?)</footer>', 1)) <> '' AS footer,
+    coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_headings, 0) AS n_headings
+    FROM body b LEFT JOIN pt USING (page_id) LEFT JOIN hd USING (page_id) LEFT JOIN lk USING (page_id) LEFT JOIN imgs USING (page_id))"""
+
+
+def _any(words: str) -> str:
+    return "(" + " OR ".join(f"contains(lower(url), '{w}')" for w in words.split()) + ")"
+
+
+_TYPE = f"""CASE WHEN {_any('login signin sign-in account checkout privacy terms legal cookie auth register signup sign-up dashboard')} THEN 'utility'
+    WHEN {_any('contact location find-us findus about-us aboutus')} THEN 'contact'
+    WHEN {_any('shop category catalog products listings collection browse store')} AND ((cards >= 8 AND n_paragraphs <= 3) OR (cards >= 4 AND n_paragraphs <= 2)) THEN 'catalog'
+    WHEN {_any('/product/ /item/ /p/ /products/ /shop/')} AND words >= 50 AND cards <= 4 THEN 'product'
+    WHEN {_any('blog news article post /story/ /stories/')} AND ((words > 600 AND n_paragraphs > 5) OR (words > 300 AND n_paragraphs > 3 AND n_headings >= 2)) THEN 'article'
+    WHEN {_any('gallery photos images media portfolio video')} AND words < 200 AND n_paragraphs <= 2 THEN 'media_gallery'
+    WHEN words < 400 AND n_paragraphs <= 6 AND n_headings >= 2 THEN 'landing' ELSE 'generic' END"""
+_FLAGS = f"""typed AS (SELECT *, {_TYPE} AS page_type FROM (SELECT p.*, f.status, f.load_time_ms, f.content_length_bytes, f.status IN (404, 410) OR f.status BETWEEN 500 AND 599 AS bad,
+    CASE WHEN n_images >= 8 AND n_internal >= 8 THEN least(n_images // 2, n_internal // 2) WHEN n_images >= 4 AND n_internal >= 4 THEN least(n_images // 3, n_internal // 3) ELSE 0 END AS cards
+    FROM parsed p JOIN flog f USING (page_id))),
+flags AS (SELECT *, title = '' AS missing_title, description = '' AS missing_description, h1 IS NULL AS missing_h1, false AS noindex, true AS no_viewport,
+    starts_with(url, 'https://') AND insecure AS mixed_content, length(url) - length(replace(url, '/', '')) > 4 AS deep_url,
+    CASE WHEN bad THEN NULL WHEN page_type = 'article' AND words < 300 THEN 'very_thin' WHEN page_type = 'article' AND words < 600 THEN 'thin' WHEN page_type = 'landing' AND words < 80 THEN 'very_thin'
+        WHEN page_type IN ('landing', 'generic') AND words < 150 AND NOT (page_type = 'generic' AND words < 50) THEN 'thin' WHEN page_type = 'generic' AND words < 50 THEN 'very_thin'
+        WHEN page_type IN ('catalog', 'product') AND words < 10 THEN 'thin' END AS thin FROM typed),
+bad_links AS (SELECT l.site, l.url, l.href, l.label, s.status FROM links l JOIN (SELECT DISTINCT url, status FROM flog WHERE status IN (404, 410) OR status BETWEEN 500 AND 599) s ON l.href = s.url WHERE l.kind = 'internal')"""
+_ALL = f"WITH {_FETCH}, {_PARSED}, {_FLAGS}"
+_F = f"WITH {_FETCH}"
+_P_ = f"WITH {_PARSED}"
+_CONS = "CASE WHEN {n} < 5 OR {m} <= 0 THEN 'unknown' WHEN {s} / {m} > 0.4 THEN 'unstable' WHEN {s} / {m} > 0.2 THEN 'moderate' ELSE 'stable' END"
+_SAMPLES = "samples AS (SELECT *, load_time_ms + 37 * sample_no AS load_ms FROM flog, (SELECT unnest([0, 1, 2]) AS sample_no))"
+_AGG = """agg AS (SELECT site, url, count(*) AS n, avg(load_ms) AS mean_load, median(load_ms) AS median_load, min(load_ms) AS min_load, max(load_ms) AS max_load, coalesce(stddev_samp(load_ms), 0) AS stdev_load,
+    avg(ttfb_ms) AS avg_ttfb, arg_min(render_mode, sample_no) AS render_mode FROM samples {where} GROUP BY site, url)"""
+
+ORACLES = {
+    "site_stats": f"""{_ALL} SELECT site, count(*) AS pages, sum(words)::BIGINT AS words, avg(words) AS avg_words, sum(n_images)::BIGINT AS media, sum(n_links)::BIGINT AS links, sum(n_internal)::BIGINT AS internal_links,
+        avg(load_time_ms) AS avg_load, median(load_time_ms) AS median_load, quantile_cont(load_time_ms, 0.9) AS p90_load, quantile_cont(load_time_ms, 0.95) AS p95_load, count(*) FILTER (WHERE load_time_ms > 1500) AS slow, count(*) FILTER (WHERE load_time_ms > 3000) AS very_slow,
+        avg(content_length_bytes) / 1024 AS avg_kb, max(content_length_bytes) / 1024 AS max_kb, count(*) FILTER (WHERE bad) AS bad_pages, count(*) FILTER (WHERE missing_title) / count(*) AS missing_title, count(*) FILTER (WHERE missing_h1) / count(*) AS missing_h1 FROM flags GROUP BY site""",
+    "url_functions": r"""SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS host, CASE WHEN p = '' THEN '/' ELSE p END AS path, len(list_filter(string_split(p, '/'), lambda s: s <> ''))::INT AS segments,
+        split_part(url, '#', 1) AS light, left(md5(url), 12) AS pid FROM (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS p FROM pages)""",
+    "parse_pages": f"{_P_} SELECT page_id, site, title, h1, description, words::INT AS words, n_links::INT AS n_links, n_internal::INT AS n_internal, n_images::INT AS n_images, nav_links::INT AS nav_links, n_paragraphs::INT AS n_paragraphs, n_headings::INT AS n_headings FROM parsed",
+    "page_links": f"{_P_} SELECT site, url, pos::INT AS pos, href, label, kind FROM links",
+    "page_headings": f"{_P_} SELECT site, url, pos::INT AS pos, tag, text FROM headings",
+    "page_paragraphs": f"{_P_} SELECT site, url, pos::INT AS pos, text FROM paragraphs",
+    "page_flags": f"{_ALL} SELECT page_id, page_type, cards::BIGINT AS cards, bad, missing_title, missing_description, missing_h1, noindex, no_viewport, mixed_content, deep_url, thin FROM flags",
+    "page_type_breakdown": f"{_ALL} SELECT site, page_type, count(*) AS pages FROM flags GROUP BY ALL",
+    "load_time_stats": f"""{_F} SELECT *, {_CONS.format(n='n', m='mean', s='stdev')} AS consistency FROM (SELECT site, avg(load_time_ms) AS mean, median(load_time_ms) AS median, quantile_cont(load_time_ms, 0.75) AS p75, quantile_cont(load_time_ms, 0.9) AS p90,
+        min(load_time_ms)::DOUBLE AS min, max(load_time_ms)::DOUBLE AS max, coalesce(stddev_samp(load_time_ms), 0) AS stdev, count(*) AS n FROM flog WHERE status = 200 GROUP BY site)""",
+    "sample_aggregate": f"{_F}, {_SAMPLES}, {_AGG.format(where='')} SELECT * FROM agg",
+    "performance_summary": f"""{_F}, {_SAMPLES}, {_AGG.format(where='WHERE status = 200')} SELECT *, {_CONS.format(n='pages', m='mean', s='stdev')} AS consistency FROM (SELECT site, count(*) AS pages, avg(mean_load) AS mean, quantile_cont(mean_load, 0.9) AS p90,
+        coalesce(stddev_samp(mean_load), 0) AS stdev, avg(mean_load) FILTER (WHERE render_mode = 'raw') AS raw_mean, avg(mean_load) FILTER (WHERE render_mode = 'js') AS js_mean,
+        arg_min(url, (mean_load, url)) AS fastest, arg_max(url, (mean_load, url)) AS slowest FROM agg GROUP BY site)""",
+    "status_histogram": f"{_F} SELECT site, status::VARCHAR AS status, count(*) AS pages FROM flog GROUP BY ALL",
+    "overview_stats": f"""{_ALL} SELECT site, count(*) AS pages, count(*) FILTER (WHERE status = 200) AS ok, count(*) FILTER (WHERE status >= 400) AS failed, avg(load_time_ms) AS avg_load, min(load_time_ms) AS fastest, max(load_time_ms) AS slowest,
+        count(*) FILTER (WHERE missing_title) AS no_title, count(*) FILTER (WHERE words < 50) AS few_words, count(*) FILTER (WHERE n_images = 0) AS no_media FROM flags GROUP BY site""",
+    "error_rollup": f"{_F} SELECT site, status, errors, errors * 100 / pages AS rate FROM (SELECT site, status, count(*) AS errors FROM flog WHERE status IN (404, 410) OR status BETWEEN 500 AND 599 GROUP BY ALL) JOIN (SELECT site, count(*) AS pages FROM flog GROUP BY site) USING (site)",
+    "block_pages": f"""{_F}, r AS (SELECT page_id, CASE WHEN status IN (403, 409, 423, 429, 503) THEN 'http_status_' || status WHEN regexp_matches(lower(left(html, 4096)), 'robot or human|are you a robot|bot detection|captcha|unusual traffic|access denied') THEN 'captcha_content' END AS reason
+        FROM pages JOIN flog USING (page_id)) SELECT * FROM r WHERE reason IS NOT NULL""",
+    "status_map": f"{_F} SELECT site, url, max(status) AS status FROM flog GROUP BY ALL",
+    "broken_internal_links": f"{_ALL} SELECT * FROM bad_links",
+    "uncrawled_links": f"{_ALL} SELECT site, href, count(*) AS links FROM links WHERE kind = 'internal' AND href NOT IN (SELECT url FROM flog) GROUP BY ALL",
+    "pages_with_broken": f"{_ALL} SELECT site, url FROM flog WHERE url IN (SELECT url FROM bad_links)",
+    "link_degree": f"""{_ALL}, e AS (SELECT DISTINCT url AS src, href AS dst FROM links WHERE kind = 'internal' AND href <> url)
+        SELECT DISTINCT site, url, (SELECT count(*) FROM e WHERE src = url) AS out_degree, (SELECT count(*) FROM e WHERE dst = url) AS in_degree FROM flog""",
+    "nav_rollup": f"""{_P_}, n AS (SELECT site, href, count(*) AS frequency, max(label) AS label FROM links WHERE kind = 'internal' AND label <> '' GROUP BY ALL HAVING count(*) > 1)
+        SELECT *, row_number() OVER (PARTITION BY site ORDER BY frequency DESC, href)::INT AS rank FROM n QUALIFY rank <= 20""",
+    "exact_duplicates": "SELECT * FROM (SELECT sha1(left(coalesce(text, ''), 2000)) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1) WHERE copies > 1",
+    "simhash64": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS w FROM documents),
+        h AS (SELECT doc_id, w, count(*) AS n, ('0x' || right(md5(w), 16))::UBIGINT AS h FROM w GROUP BY ALL),
+        v AS (SELECT doc_id, i, sum(CASE WHEN (h >> i::UBIGINT) & 1 = 1 THEN n ELSE -n END) AS s FROM h, (SELECT unnest(range(64)) AS i) GROUP BY ALL),
+        b AS (SELECT doc_id, sum(CASE WHEN s > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << i::INT) END ELSE 0 END)::BIGINT AS simhash FROM v GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(simhash, 0) AS simhash FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN b USING (doc_id)""",
+    "rollup_emails": r"""SELECT source, count(DISTINCT email) AS emails, count(*) AS mentions FROM (SELECT source, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}', 0))) AS email FROM documents) GROUP BY source""",
+    "rollup_wordcounts": f"""{_P_} SELECT site, CASE WHEN words < 100 THEN '0-99' WHEN words < 500 THEN '100-499' WHEN words < 1000 THEN '500-999' WHEN words < 2000 THEN '1000-1999' WHEN words < 5000 THEN '2000-4999' ELSE '5000+' END AS bucket,
+        count(*) AS pages, avg(words) AS avg_words, min(words)::INT AS min_words, max(words)::INT AS max_words FROM parsed GROUP BY ALL""",
+    "rollup_top_paths": f"""{_F}, p AS (SELECT site, array_to_string(string_split(url, '/')[1:4], '/') AS path, count(*) AS pages FROM flog GROUP BY ALL)
+        SELECT site, path, pages, pages * 100 / sum(pages) OVER (PARTITION BY site) AS percent, row_number() OVER (PARTITION BY site ORDER BY pages DESC, path)::INT AS rank FROM p QUALIFY rank <= 20""",
+    "business_profile": f"""{_P_}, t AS (SELECT site, title, count(*) AS n FROM parsed WHERE title <> '' GROUP BY ALL), b AS (SELECT site, arg_min(title, (-n, title)) AS name, max(n) AS name_pages FROM t GROUP BY site),
+        s AS (SELECT site, array_to_string(list_sort(list(url))[1:3], ' ') AS sources FROM parsed GROUP BY site) SELECT site, sources, name, name_pages FROM s LEFT JOIN b USING (site)""",
+    "bandwidth_adjusted_load": f"{_F} SELECT page_id, load_time_ms + content_length_bytes * 8 / 5000000.0::DOUBLE * 1000 AS load_ms FROM flog",
+    "progress_counts": "SELECT user_id AS site, count(*) AS visited, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id",
+    "load_time_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, user_id AS site, count(*) AS n, avg(value) AS mean_load, max(value) AS max_load FROM events GROUP BY ALL",
+}

@@ -1,13 +1,121 @@
-"""Every query of the library by name, and the SQL that gives the same rows."""
+"""Every query of the library by name; ``oracles`` has the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.functions import text as X
+from pagewright.functions import urls as U
+from pagewright.operators import fetches, flags, keywords, links, parse, rollups, scores
+from pagewright.plans.oracles import ORACLES  # noqa: F401
+from pagewright.sources import files
+from pagewright.streaming import fetches as stream
+
+
+class Tables:
+    """The driver's tables and what is derived from them, built lazily."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.dir = spark, sf_dir
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    pages = property(lambda s: files.read_pages(s.spark, f"{s.dir}/pages.parquet"))
+    docs = property(lambda s: s.read("documents"))
+    parsed = property(lambda s: parse.parse_pages(s.pages))
+    fetch = property(lambda s: fetches.fetch_log(s.pages))
+    samples = property(lambda s: fetches.samples(s.fetch))
+    flags = property(lambda s: flags.page_flags(s.parsed, s.fetch))
+    links = property(lambda s: parse.page_links(s.parsed))
+    broken = property(lambda s: links.broken_by_page(s.links, s.fetch))
+    counts = property(lambda s: scores.site_counts(s.flags, s.broken))
+    stats = property(lambda s: fetches.site_stats(s.flags))
+    edges = property(lambda s: links.link_edges(s.links))
+
+
+def _first_site(t: Tables) -> str:
+    """The site with the most pages, the first by name of those."""
+    return t.fetch.groupBy("site").count().orderBy(F.desc("count"), "site").first()["site"]
+
+
+def _url_functions(t: Tables) -> DataFrame:
+    u = F.col("url")
+    return t.pages.select("page_id", U.url_host(u).alias("host"), U.url_path(u).alias("path"), F.size(U.path_segments(u)).alias("segments"), U.drop_fragment(u).alias("light"), rollups.page_id(u).alias("pid"))
+
+
+def _keyword_metrics(t: Tables) -> DataFrame:
+    parsed = t.parsed
+    return keywords.keyword_metrics(parsed, keywords.focus_keywords(parsed).select("site", "phrase"))
+
+
+def _reachable(t: Tables) -> DataFrame:
+    starts = t.pages.groupBy(U.url_host(F.col("url")).alias("site")).agg(F.min(U.drop_fragment(F.col("url"))).alias("url"))
+    return links.reachable_within(t.edges, starts)
+
+
+def _progress(t: Tables) -> DataFrame:
+    return stream.progress_counts(stream.fetch_rows(t.read("events")))
+
+
+_BUILD: dict[str, Callable[[Tables], DataFrame]] = {
+    "site_stats": lambda t: t.stats,
+    "url_functions": _url_functions,
+    "parse_pages": lambda t: t.parsed.select("page_id", "site", "title", "h1", "description", "words", "n_links", "n_internal", "n_images", "nav_links", F.size("paragraphs").alias("n_paragraphs"), F.size("headings").alias("n_headings")),
+    "page_links": lambda t: t.links,
+    "page_headings": lambda t: parse.page_headings(t.parsed),
+    "page_paragraphs": lambda t: parse.page_paragraphs(t.parsed),
+    "page_images": lambda t: parse.page_images(t.parsed),
+    "page_files": lambda t: parse.page_files(t.parsed),
+    "page_flags": lambda t: t.flags.select("page_id", "page_type", "cards", "bad", "missing_title", "missing_description", "missing_h1", "noindex", "no_viewport", "mixed_content", "deep_url", "thin"),
+    "page_type_breakdown": lambda t: fetches.page_type_breakdown(t.flags),
+    "load_time_stats": lambda t: fetches.load_time_stats(t.fetch),
+    "sample_aggregate": lambda t: fetches.sample_aggregate(t.samples),
+    "performance_summary": lambda t: fetches.performance_summary(t.samples),
+    "status_histogram": lambda t: fetches.status_histogram(t.fetch),
+    "overview_stats": lambda t: fetches.overview_stats(t.flags),
+    "error_rollup": lambda t: fetches.error_rollup(t.fetch),
+    "crawl_quality": lambda t: fetches.crawl_quality(t.flags, t.broken),
+    "block_pages": lambda t: t.pages.join(t.fetch.select("page_id", "status"), "page_id").select("page_id", parse.classify_block_page(F.col("status"), F.col("html")).alias("reason")).where("reason is not null"),
+    "status_map": lambda t: links.status_map(t.fetch, t.fetch.where("page_id % 2 = 0")),
+    "broken_internal_links": lambda t: links.broken_internal_links(t.links, t.fetch),
+    "uncrawled_links": lambda t: links.uncrawled_links(t.links, t.fetch),
+    "pages_with_broken": lambda t: links.pages_with_broken(t.fetch.select("site", "url"), t.broken),
+    "link_degree": lambda t: links.link_degree(t.edges, t.fetch),
+    "reachable_within": _reachable,
+    "nav_rollup": lambda t: links.nav_rollup(t.links),
+    "site_scores": lambda t: scores.site_scores(t.counts),
+    "site_issues": lambda t: scores.site_issues(t.counts),
+    "top_issues": lambda t: scores.top_issues(scores.site_issues(t.counts)),
+    "comparison_rows": lambda t: scores.comparison_rows(scores.site_scores(t.counts), _first_site(t)),
+    "opportunities": lambda t: scores.opportunities(t.stats, _first_site(t)),
+    "phrase_scores": lambda t: keywords.phrase_scores(t.parsed),
+    "focus_keywords": lambda t: keywords.focus_keywords(t.parsed),
+    "keyword_metrics": _keyword_metrics,
+    "keyword_summary": lambda t: keywords.keyword_summary(_keyword_metrics(t)),
+    "simhash64": lambda t: rollups.simhash64(t.docs),
+    "exact_duplicates": lambda t: rollups.exact_duplicates(t.docs),
+    "rollup_contacts": lambda t: rollups.rollup_contacts(t.docs),
+    "rollup_emails": lambda t: rollups.rollup_emails(t.docs),
+    "rollup_wordcounts": lambda t: rollups.rollup_wordcounts(t.flags),
+    "rollup_top_paths": lambda t: rollups.rollup_top_paths(t.fetch),
+    "business_profile": lambda t: rollups.business_profile(t.flags),
+    "rollup_images": lambda t: rollups.rollup_images(parse.page_images(t.parsed)),
+    "social_links": lambda t: rollups.social_links(t.links),
+    "extract_faqs": lambda t: rollups.extract_faqs(parse.page_headings(t.parsed)),
+    "bandwidth_adjusted_load": lambda t: t.fetch.select("page_id", X.bandwidth_adjusted_load(F.col("load_time_ms"), F.col("content_length_bytes"), 5.0).alias("load_ms")),
+    "json_profile": lambda t: files.json_profile(t.read("events").select(F.col("event_id").alias("id"), F.col("props").alias("payload"))),
+    "progress_counts": _progress,
+    "load_time_windows": lambda t: stream.load_time_windows(stream.fetch_rows(t.read("events"))),
+}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(Tables(spark, sf_dir))
 
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = {name: _query(build) for name, build in _BUILD.items()}
+FLAGSHIP = QUERIES["site_stats"]
