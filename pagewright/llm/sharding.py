@@ -68,13 +68,13 @@ def matrix(sizes: list[int], capacities: list[int], seed: int) -> list[list[int]
     return out
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 24, buckets: int = 128, parts: int = 8, seed: int = 42) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int = 24, buckets: int = 128, parts: int = 8, seed: int = 42, keep_text: bool = True) -> DataFrame:
     """All rows and columns of ``docs(doc_id, text, ...)`` plus ``size, text_crc32, law, shard, slot,
     grown_shard``; shards differ by one row at most and slots run from 0 without a gap. A column of ``docs``
     with one of these names gives way.
 
     Size is the text's UTF-8 bytes plus 8; a null text has size 8 and the CRC of the empty text, as has an
-    empty one. Repeated rows and null ids are rows like any other; equal rows can swap places between runs,
+    empty one; without ``keep_text`` the text itself is left behind. Repeated rows and null ids are rows like any other; equal rows can swap places between runs,
     which shows nowhere. Fewer rows than shards: the last shards are empty. Empty table: no rows.
     """
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -84,7 +84,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, buckets: int = 128, p
         base.withColumn("size", F.octet_length(bytes_).cast("bigint") + 8)
         .withColumn("text_crc32", F.crc32(bytes_))
         .withColumn("_group", F.expr(f"pmod(spark_partition_id(), {buckets})"))
-        .withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")),
+        .withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+        .drop(*([] if keep_text else ["text"])),
         "sharding",
     )
     sizes = [0] * buckets
@@ -124,4 +125,4 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, buckets: int = 128, p
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shuffle_into_shards(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shuffle_into_shards(docs, keep_text=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
