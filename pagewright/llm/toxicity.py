@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,18 +53,22 @@ def features(text: str | None) -> set[str]:
 def _tally(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
     """``rows(text)`` -> ``(feature, n)``: rows that hold it, summed within tasks first."""
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
-        for pdf in pdfs:
-            for t in pdf["text"]:
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
                 found = features(t)
                 n.update(found if only is None else found & only)
-            if len(n) > 500_000:
-                yield pd.DataFrame({"feature": list(n), "n": list(n.values())})
-                n.clear()
-        yield pd.DataFrame({"feature": list(n), "n": list(n.values())})
+                if len(n) > 500_000:
+                    yield out()
+                    n.clear()
+        yield out()
 
-    return rows.select("text").mapInPandas(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def swaps(text: str | None, place: dict[str, int]) -> list[tuple[list[int], list[int]]]:
