@@ -114,7 +114,7 @@ def train_model(train: DataFrame) -> tuple[dict[str, float], float]:
     total = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not n1 or not n0:
-        return {}, float(np.log((n1 + 0.5) / (n0 + 0.5)))
+        return {}, float(np.log((n1 + 0.5) / (n0 + 1.5)))
     least = max(3, int(0.001 * n1)) if n1 > 20 else 1
     met = {r["feature"]: r["n"] for r in _tally(toxic, None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
     also = {r["feature"]: r["n"] for r in _tally(clean, frozenset(met)).collect()}  # CANDIDATES rows at most
