@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import clean_text, plain, truncate_text, word_count
 from pagewright.functions.urls import FILE, drop_fragment, is_internal, resolve_url, url_host
 
-#: Content of an element: text and other tags up to one that starts like the closing one.
-PARAGRAPH = r"<p(?:\s[^>]*)?>((?:[^<]|<[^/p][^>]*>|</[^p][^>]*>)*)"
-ANCHOR = r'<a\s[^>]*href="([^"#][^"]*)"[^>]*>((?:[^<]|<[^/][^>]*>|</[^a][^>]*>)*)</a>'
-HEADING = r"<(h[1-6])(?:\s[^>]*)?>((?:[^<]|<[^/][^>]*>|</[^h][^>]*>)*)</h[1-6]>"
+#: Content of an element: text and other tags up to one that starts like the closing one. Text is taken in whole
+#: runs, so that matching goes as deep as there are tags, not characters.
+PARAGRAPH = r"<p(?:\s[^>]*)?>((?:[^<]++|<[^/p][^>]*>|</[^p][^>]*>)*)"
+ANCHOR = r'<a\s[^>]*href="([^"#][^"]*)"[^>]*>((?:[^<]++|<[^/][^>]*>|</[^a][^>]*>)*)</a>'
+HEADING = r"<(h[1-6])(?:\s[^>]*)?>((?:[^<]++|<[^/][^>]*>|</[^h][^>]*>)*)</h[1-6]>"
 IMAGE = r"<img\s([^>]*)>"
 META = r"<meta\s([^>]*)>"
 JSONLD = r'<script[^>]*type="application/ld\+json"[^>]*>([^<]*)</script>'
