@@ -17,12 +17,15 @@ GENERIC = "company support service services solutions products product team grou
 WEIGHTS = {"title": 10, "h1": 8, "h2": 6, "slug": 5, "nav": 7}
 
 
+def runs_of(words: Column, n: int) -> Column:
+    """All runs of ``n`` words, for arrays of that length at least."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, F.lit(n)))
+
+
 def phrases(words: Column) -> Column:
     """Phrases of windows of 2 and 3 words, stopwords dropped inside the window: two words at least left,
     four characters, not digits alone."""
-    windows = [F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - n), lambda i, n=n: i >= 0), lambda i, n=n: F.slice(words, i + 1, F.lit(n))) for n in (2, 3)]
-    # sequence counts down below zero for texts shorter than the window
-    windows = [F.when(F.size(words) >= n, w).otherwise(F.array().cast("array<array<string>>")) for n, w in zip((2, 3), windows, strict=True)]
+    windows = [F.when(F.size(words) >= n, runs_of(words, n)).otherwise(F.array().cast("array<array<string>>")) for n in (2, 3)]
     cut = F.transform(F.concat(*windows), lambda w: F.filter(w, lambda x: ~x.isin(STOPWORDS)))
     joined = F.transform(F.filter(cut, lambda w: F.size(w) >= 2), lambda w: F.array_join(w, " "))
     return F.filter(joined, lambda p: (F.length(p) >= 4) & ~p.rlike("^[0-9 ]+$"))
@@ -68,7 +71,7 @@ def keyword_metrics(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
     sizes = keywords.select("site", "phrase").distinct().withColumn("n", F.size(F.split("phrase", " ")))
     runs = []
     for n in (2, 3):
-        w = pages.where(F.size("w") >= n).select("site", "url", "t", "h", F.size("w").alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, F.lit(n)), " "))).alias("phrase"))
+        w = pages.where(F.size("w") >= n).select("site", "url", "t", "h", F.size("w").alias("length"), F.explode(F.transform(runs_of(F.col("w"), n), lambda r: F.array_join(r, " "))).alias("phrase"))
         runs.append(w.join(sizes.where(F.col("n") == n).drop("n"), ["site", "phrase"]))
     inside = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     per_page = runs[0].unionByName(runs[1]).groupBy("site", "phrase", "url").agg(F.count(F.lit(1)).alias("occurrences"), F.first("length").alias("length"), F.max(inside("t")).alias("in_title"), F.max(inside("h")).alias("in_h1"))
