@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import normalize_text
+from pagewright.functions.text import normalize_text, simple_stem
 from pagewright.functions.urls import path_segments
 
 #: Words that don't count inside phrases, and words that make no keyword alone.
@@ -14,6 +14,8 @@ STOPWORDS = (
     "time if up out many then so some her would make like into him two more very after words long than first been call who oil sit now find down day did get come made may part"
 ).split()
 GENERIC = "company support service services solutions products product team group systems business".split()
+#: Words that make no keyword by themselves in version 2.
+GENERIC_BUSINESS = "company platform service services solution solutions product products tools tool support systems business team".split()
 WEIGHTS = {"title": 10, "h1": 8, "h2": 6, "slug": 5, "nav": 7}
 
 
@@ -48,6 +50,22 @@ def phrase_scores(parsed: DataFrame) -> DataFrame:
     return rows.select("site", "phrase", "pages", (F.col("weight") + extra).alias("score"))
 
 
+def phrase_scores_v2(parsed: DataFrame) -> DataFrame:
+    """Occurrences anywhere plus twice those in titles, headings and navigation; phrases of generic words only go."""
+    rows = located_phrases(parsed).where(F.size(F.array_except(F.split("phrase", " "), F.array(*map(F.lit, GENERIC_BUSINESS)))) > 0)
+    rows = rows.groupBy("site", "phrase").agg(F.count(F.lit(1)).alias("occurrences"), F.count_if(F.col("place") != "slug").alias("important"), F.count_distinct("url").alias("pages"))
+    return rows.withColumn("score", 2 * F.col("important") + F.col("occurrences"))
+
+
+def single_word_scores(parsed: DataFrame) -> DataFrame:
+    """Stems of words over two letters in titles (3), h1 (2) and h2 (1); stopwords and generic stems don't count."""
+    part = lambda tag: F.transform(F.filter("headings", lambda h: h["tag"] == tag), lambda h: h["text"])
+    places = F.array(*[F.struct(F.lit(w).alias("weight"), t.alias("texts")) for w, t in ((3, F.array("title")), (2, part("h1")), (1, part("h2")))])
+    rows = parsed.select("site", F.explode(places).alias("p")).select("site", "p.weight", F.explode("p.texts").alias("text"))
+    rows = rows.select("site", "weight", F.explode(F.split(normalize_text(F.col("text")), " ")).alias("w")).where((F.length("w") > 2) & ~F.col("w").isin(STOPWORDS))
+    return rows.select("site", "weight", simple_stem(F.col("w")).alias("word")).where(~F.col("word").isin(GENERIC)).groupBy("site", "word").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("occurrences"))
+
+
 def focus_keywords(parsed: DataFrame, k: int = 20) -> DataFrame:
     order = Window.partitionBy("site").orderBy(F.desc("score"), F.desc("pages"), "phrase")
     return phrase_scores(parsed).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

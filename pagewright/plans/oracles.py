@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from pagewright.functions.text import SUFFIXES
+from pagewright.operators.entities import KINDS
+from pagewright.operators.keywords import GENERIC, STOPWORDS
+from pagewright.operators.regions import FOOTER_PHONE as _FOOTER_PHONE
+from pagewright.operators.regions import LABEL_ACTIONS, LABEL_COMMON, LABEL_PHONE, LABEL_PROMOTION
+
 _FETCH = """flog AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS site, url,
     CASE WHEN page_id % 29 = 7 THEN 404 WHEN page_id % 31 = 11 THEN 503 WHEN page_id % 97 = 13 THEN 410 ELSE 200 END AS status,
     120 + (page_id * 7919) % 3700 AS load_time_ms, 20 + (page_id * 104729) % 180 AS ttfb_ms,
@@ -71,6 +77,15 @@ _SAMPLES = "samples AS (SELECT *, load_time_ms + 37 * sample_no AS load_ms FROM
 _AGG = """agg AS (SELECT site, url, count(*) AS n, avg(load_ms) AS mean_load, median(load_ms) AS median_load, min(load_ms) AS min_load, max(load_ms) AS max_load, coalesce(stddev_samp(load_ms), 0) AS stdev_load,
     avg(ttfb_ms) AS avg_ttfb, arg_min(render_mode, sample_no) AS render_mode FROM samples {where} GROUP BY site, url)"""
 
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_NAV_LABEL = f"""CASE WHEN label = '' OR regexp_matches(label, '{LABEL_PHONE}') OR regexp_matches(lower(label), '{LABEL_ACTIONS}') THEN false WHEN regexp_matches(lower(label), '^({LABEL_COMMON})$') THEN true
+    WHEN length(label) >= 5 AND regexp_matches(lower(label), '{LABEL_PROMOTION}') THEN false WHEN length(label) >= 5 AND len(string_split(label, ' ')) <= 5 THEN true
+    ELSE length(label) >= 3 AND length(regexp_replace(label, '[^a-zA-Z]', '', 'g')) >= 2 END"""
+_KINDS = f"kinds AS (SELECT site, url, kind FROM parsed, (VALUES {', '.join(f"('{k}', '{w}')" for k, w in KINDS.items())}) v(kind, named_by) WHERE regexp_matches(lower(url || chr(10) || title), named_by))"
+
 ORACLES = {
     "site_stats": f"""{_ALL} SELECT site, count(*) AS pages, sum(words)::BIGINT AS words, avg(words) AS avg_words, sum(n_images)::BIGINT AS media, sum(n_links)::BIGINT AS links, sum(n_internal)::BIGINT AS internal_links,
         avg(load_time_ms) AS avg_load, median(load_time_ms) AS median_load, quantile_cont(load_time_ms, 0.9) AS p90_load, quantile_cont(load_time_ms, 0.95) AS p95_load, count(*) FILTER (WHERE load_time_ms > 1500) AS slow, count(*) FILTER (WHERE load_time_ms > 3000) AS very_slow,
@@ -116,6 +131,28 @@ ORACLES = {
         SELECT site, path, pages, pages * 100 / sum(pages) OVER (PARTITION BY site) AS percent, row_number() OVER (PARTITION BY site ORDER BY pages DESC, path)::INT AS rank FROM p QUALIFY rank <= 20""",
     "business_profile": f"""{_P_}, t AS (SELECT site, title, count(*) AS n FROM parsed WHERE title <> '' GROUP BY ALL), b AS (SELECT site, arg_min(title, (-n, title)) AS name, max(n) AS name_pages FROM t GROUP BY site),
         s AS (SELECT site, array_to_string(list_sort(list(url))[1:3], ' ') AS sources FROM parsed GROUP BY site) SELECT site, sources, name, name_pages FROM s LEFT JOIN b USING (site)""",
+    "nav_nodes": rf"""{_P_}, p AS (SELECT page_id, site, url, unnest(regexp_extract_all(nav, '<ul\b|</ul>|{_A}', 0)) AS piece, generate_subscripts(regexp_extract_all(nav, '<ul\b|</ul>|{_A}', 0), 1) - 1 AS pos
+            FROM (SELECT *, regexp_extract(body, '(?s)<nav[^>]*>(.*?)</nav>', 1) AS nav FROM body)),
+        d AS (SELECT *, CASE WHEN sum(CASE piece WHEN '<ul' THEN 1 WHEN '</ul>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) > 1 THEN 2 ELSE 1 END AS level, regexp_extract(piece, '{_A}', 1) AS h, {_plain(f"regexp_extract(piece, '{_A}', 2)")} AS label FROM p),
+        n AS (SELECT page_id, site, pos, level, split_part({_RESOLVE}, '#', 1) AS href, label FROM d WHERE starts_with(piece, '<a') AND {_NAV_LABEL})
+        SELECT page_id, site, pos::INT AS pos, level, CASE WHEN level = 2 THEN last_value(CASE WHEN level = 1 THEN href END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) END AS parent, href, label
+        FROM n QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1""",
+    "footer_contacts": rf"""{_P_}, f AS (SELECT page_id, site, {_plain("regexp_extract(body, '(?s)<footer[^>]*>(.*?)</footer>', 1)")} AS t FROM body)
+        SELECT page_id, site, nullif(regexp_extract(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}', 0), '') AS email,
+        nullif(concat({', '.join(f"regexp_extract(t, '{_FOOTER_PHONE}', {i})" for i in (1, 2, 3, 4))}), '') AS phone FROM f""",
+    "business_pages": f"{_P_}, {_KINDS} SELECT * FROM kinds",
+    "extract_items": f"""{_P_}, {_KINDS} SELECT site, kind, left(md5(left(md5(f.url), 12) || '_' || f.text), 8) AS item_id, f.text AS title, 0.8::DOUBLE + CASE WHEN length(f.text) > 10 THEN 0.1::DOUBLE ELSE 0 END AS confidence, f.url AS url
+        FROM (SELECT site, kind, min({{'url': url, 'pos': pos, 'text': text}}) AS f FROM headings JOIN kinds USING (site, url)
+            WHERE kind IN ('service', 'product', 'menu') AND length(text) >= 3 AND lower(text) NOT IN ('home', 'about', 'contact') GROUP BY site, kind, lower(text))""",
+    "extract_policies": f"""{_P_} SELECT site, url, title, CASE WHEN contains(s, 'privacy') THEN 'privacy' WHEN contains(s, 'terms') THEN 'terms' ELSE 'policy' END AS policy, 0.8::DOUBLE AS confidence
+        FROM (SELECT *, lower(url || chr(10) || title) AS s FROM parsed) WHERE regexp_matches(s, 'privacy|terms|policy|legal|disclaimer')""",
+    "primary_nav_guess": f"""{_P_} SELECT site, CASE WHEN title = '' THEN upper(left(s[1], 1)) || lower(substr(s[1], 2)) ELSE title END AS label, url, row_number() OVER (PARTITION BY site ORDER BY url)::INT AS rank
+        FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM parsed) WHERE len(s) = 1 QUALIFY rank <= 7""",
+    "single_word_scores": rf"""{_P_}, t AS (SELECT site, 3 AS weight, title AS text FROM parsed UNION ALL SELECT site, CASE tag WHEN 'h1' THEN 2 ELSE 1 END, text FROM headings WHERE tag IN ('h1', 'h2')),
+        w AS (SELECT site, weight, unnest(string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' ')) AS w FROM t),
+        s AS (SELECT site, weight, CASE WHEN length(w) <= 3 THEN w {' '.join(f"WHEN ends_with(w, '{x}') AND length(w) > {len(x) + 2} THEN left(w, length(w) - {len(x)})" for x in SUFFIXES)} ELSE w END AS word
+            FROM w WHERE length(w) > 2 AND w NOT IN ({_quoted(STOPWORDS)}))
+        SELECT site, word, sum(weight)::BIGINT AS score, count(*) AS occurrences FROM s WHERE word NOT IN ({_quoted(GENERIC)}) GROUP BY ALL""",
     "bandwidth_adjusted_load": f"{_F} SELECT page_id, load_time_ms + content_length_bytes * 8 / 5000000.0::DOUBLE * 1000 AS load_ms FROM flog",
     "progress_counts": "SELECT user_id AS site, count(*) AS visited, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id",
     "load_time_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, user_id AS site, count(*) AS n, avg(value) AS mean_load, max(value) AS max_load FROM events GROUP BY ALL",

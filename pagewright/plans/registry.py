@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
 from pagewright.functions import urls as U
-from pagewright.operators import fetches, flags, keywords, links, parse, rollups, scores
+from pagewright.operators import entities, fetches, flags, keywords, links, parse, regions, rollups, scores
 from pagewright.plans.oracles import ORACLES  # noqa: F401
 from pagewright.sources import files
 from pagewright.streaming import fetches as stream
@@ -106,6 +106,18 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "rollup_images": lambda t: rollups.rollup_images(parse.page_images(t.parsed)),
     "social_links": lambda t: rollups.social_links(t.links),
     "extract_faqs": lambda t: rollups.extract_faqs(parse.page_headings(t.parsed)),
+    "nav_nodes": lambda t: regions.nav_nodes(t.pages),
+    "footer_links": lambda t: regions.footer_links(t.pages),
+    "footer_contacts": lambda t: regions.footer_contacts(t.pages),
+    "table_cells": lambda t: regions.table_cells(t.pages),
+    "business_pages": lambda t: entities.business_pages(t.parsed),
+    "extract_items": lambda t: entities.extract_items(t.parsed),
+    "extract_locations": lambda t: entities.extract_locations(t.parsed),
+    "extract_policies": lambda t: entities.extract_policies(t.parsed),
+    "media_roles": lambda t: entities.media_roles(parse.page_images(t.parsed)),
+    "primary_nav_guess": lambda t: entities.primary_nav_guess(t.parsed),
+    "phrase_scores_v2": lambda t: keywords.phrase_scores_v2(t.parsed),
+    "single_word_scores": lambda t: keywords.single_word_scores(t.parsed),
     "bandwidth_adjusted_load": lambda t: t.fetch.select("page_id", X.bandwidth_adjusted_load(F.col("load_time_ms"), F.col("content_length_bytes"), 5.0).alias("load_ms")),
     "json_profile": lambda t: files.json_profile(t.read("events").select(F.col("event_id").alias("id"), F.col("props").alias("payload"))),
     "progress_counts": _progress,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pagewright.functions import text, urls
-from pagewright.operators import fetches, flags, keywords, links, parse
+from pagewright.operators import entities, fetches, flags, keywords, links, parse, regions
 from pagewright.plans import registry
 from pagewright.streaming import fetches as stream
 
@@ -116,6 +116,38 @@ def test_phrases(spark):
     assert set(one(spark, keywords.phrases(words))) == {"best red", "red shoes", "best red shoes"}
 
 
+HTML = """<title>Our services</title><nav><ul><li><a href="/shop">Shop</a><ul><li><a href="/shop/red">Red shoes</a></li><li><a href="/call">Call us at noon</a></li></ul></li>
+<li><a href="/blog">Blog</a></li><li><a href="/shop">Shop</a></li></ul></nav><h1>Cleaning of windows</h1><h2>Home</h2><table><tr><th>a<th>b</tr><tr><td>1</td><td><b>2</b> &amp; 3</td></tr></table>
+<img src="/logo.png" alt=""><img src="/x.png" alt="Our team"><img src="/y.png" alt=""><footer><a href="/a">A</a><h4>Help</h4><a href="/b">B</a><a href="/c"></a> me@site.org (555) 123-4567</footer>"""
+
+
+def test_regions_of_a_page(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/c", HTML), (2, "http://a.b/d", None)], "page_id long, url string, html string")
+    nodes = regions.nav_nodes(pages).orderBy("pos").collect()
+    assert [(n["href"], n["level"], n["parent"]) for n in nodes] == [("http://a.b/shop", 1, None), ("http://a.b/shop/red", 2, "http://a.b/shop"), ("http://a.b/blog", 1, None)]
+    assert [(r["heading"], r["label"]) for r in regions.footer_links(pages).orderBy("pos").collect()] == [(None, "A"), ("Help", "B")]
+    assert {(r["page_id"], r["email"], r["phone"]) for r in regions.footer_contacts(pages).collect()} == {(1, "me@site.org", " 5551234567"), (2, None, None)}
+    cells = regions.table_cells(pages).orderBy("row_no", "col_no").collect()
+    assert [(c["row_no"], c["col_no"], c["text"]) for c in cells] == [(0, 0, "a"), (0, 1, "b"), (1, 0, "1"), (1, 1, "2 & 3")]
+
+
+def test_entities_of_a_page(spark):
+    html = HTML + "<p>You find us at 12 Long Street, any day of the week</p>"
+    parsed = parse.parse_pages(spark.createDataFrame([(1, "http://a.b/contact", html), (2, "http://a.b/privacy", HTML)], "page_id long, url string, html string"))
+    assert {(r["url"][-7:], r["kind"]) for r in entities.business_pages(parsed).collect()} == {("contact", "service"), ("contact", "location"), ("privacy", "service"), ("privacy", "policy")}
+    items = entities.extract_items(parsed).collect()
+    assert [(i["title"], round(i["confidence"], 6), i["url"]) for i in items if "window" in i["title"]] == [("Cleaning of windows", 0.9, "http://a.b/contact")]
+    assert [r["address"] for r in entities.extract_locations(parsed).collect()] == ["12 Long Street"]
+    assert [r["policy"] for r in entities.extract_policies(parsed).collect()] == ["privacy"]
+    assert {(r["role"], r["images"]) for r in entities.media_roles(parse.page_images(parsed)).collect()} == {("logo", 1), ("team", 1), ("content", 1)}
+    assert entities.primary_nav_guess(parsed).count() == 2
+
+
+def test_nav_labels(spark):
+    good = lambda s: one(spark, regions.is_nav_label(F.lit(s)))
+    assert [good(s) for s in ("FAQ", "555-123-4567", "Read more", "Our small old town house", "a b c d e fg", "12", "12345", "me@x.org", "")] == [True, False, False, True, True, False, True, False, False]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
