@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import normalize_text, simple_stem
-from pagewright.functions.urls import path_segments
+from pagewright.functions.urls import is_internal, path_segments, url_path
+from pagewright.operators.flags import infer_page_type, product_cards
 
 #: Words that don't count inside phrases, and words that make no keyword alone.
 STOPWORDS = (
@@ -19,6 +20,10 @@ GENERIC_BUSINESS = "company platform service services solution solutions product
 WEIGHTS = {"title": 10, "h1": 8, "h2": 6, "slug": 5, "nav": 7}
 
 
+#: What a page counts by its type in version 2.
+PAGE_WEIGHTS = {"home": 3.0, "landing": 2.5, "product": 2.0, "catalog": 2.0, "article": 1.0, "generic": 0.5, "contact": 0.5, "utility": 0.0, "media_gallery": 0.5}
+
+
 def runs_of(words: Column, n: int) -> Column:
     """All runs of ``n`` words, for arrays of that length at least."""
     return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, F.lit(n)))
@@ -33,11 +38,15 @@ def phrases(words: Column) -> Column:
     return F.filter(joined, lambda p: (F.length(p) >= 4) & ~p.rlike("^[0-9 ]+$"))
 
 
+def slug(url: Column) -> Column:
+    """The last path segment without its extension."""
+    return F.regexp_replace(F.coalesce(F.try_element_at(path_segments(url), F.lit(-1)), F.lit("")), r"\.[A-Za-z0-9]+$", "")
+
+
 def located_phrases(parsed: DataFrame) -> DataFrame:
     """(site, url, place, phrase) from title, h1, h2, slug and nav."""
     texts = lambda tag: F.transform(F.filter("headings", lambda h: h["tag"] == tag), lambda h: h["text"])
-    slug = F.regexp_replace(F.coalesce(F.try_element_at(path_segments(F.col("url")), F.lit(-1)), F.lit("")), r"\.[A-Za-z0-9]+$", "")
-    places = F.array(*[F.struct(F.lit(p).alias("place"), t.alias("texts")) for p, t in (("title", F.array("title")), ("h1", texts("h1")), ("h2", texts("h2")), ("slug", F.array(slug)), ("nav", F.col("nav_labels")))])
+    places = F.array(*[F.struct(F.lit(p).alias("place"), t.alias("texts")) for p, t in (("title", F.array("title")), ("h1", texts("h1")), ("h2", texts("h2")), ("slug", F.array(slug(F.col("url")))), ("nav", F.col("nav_labels")))])
     rows = parsed.select("site", "url", F.explode(places).alias("p")).select("site", "url", "p.place", F.explode("p.texts").alias("text"))
     return rows.select("site", "url", "place", F.explode(phrases(F.split(normalize_text(F.col("text")), " "))).alias("phrase"))
 
@@ -103,3 +112,49 @@ def keyword_metrics(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def keyword_summary(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("site").agg(F.avg("total").alias("overall"), F.count_if(F.col("pages_used") > 0).alias("used"), F.count(F.lit(1)).alias("keywords"))
+
+
+def keyword_metrics_v2(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``keywords(site, phrase)``, of up to three words, on the pages of their site, which count by their type.
+
+    Coverage is the weight of pages whose text holds the phrase, on-page whether any title, h1, h2, slug or anchor
+    does, total .6 coverage + .3 on-page + .1 density; a phrase that no text holds scores 0. Importance is 3 in a home
+    page's title or navigation, 2 in a title or h1 of a landing, product or catalog page, else 1.
+    Every place of a page becomes word runs, counted before they meet the keywords in one equi-join.
+    """
+    home = F.lower(F.regexp_replace(url_path(F.col("url")), "^/+|/+$", "")).isin("", "index", "index.html", "home")
+    kind = infer_page_type(F.col("url"), F.col("words"), F.size("paragraphs"), F.size("headings"), product_cards(F.col("n_images"), F.col("n_internal")))
+    heads = lambda tag: F.transform(F.filter("headings", lambda h: h["tag"] == tag), lambda h: h["text"])
+    anchors = F.transform(F.filter("links", lambda x: is_internal(x["href"], F.col("url"))), lambda x: x["label"])
+    texts = {"text": F.array("text"), "title": F.array("title"), "h1": heads("h1"), "h2": heads("h2"), "slug": F.array(slug(F.col("url"))), "anchor": anchors, "nav": F.col("nav_labels")}
+    pages = parsed.withColumn("kind", F.when(home, "home").otherwise(kind))
+    weight = F.coalesce(*[F.when(F.col("kind") == k, F.lit(w)) for k, w in PAGE_WEIGHTS.items()], F.lit(1.0))
+    tokens = F.size(F.filter(F.split(normalize_text(F.col("text")), " "), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)))
+    pages = pages.select("site", "url", "kind", weight.alias("weight"), F.greatest(F.lit(1), tokens).alias("tokens"), F.explode(F.array(*[F.struct(F.lit(p).alias("place"), t.alias("texts")) for p, t in texts.items()])).alias("p"))
+    words = pages.select("site", "url", "kind", "weight", "tokens", "p.place", F.explode("p.texts").alias("t")).withColumn("w", F.filter(F.split(normalize_text(F.col("t")), " "), lambda w: w != ""))
+    runs = F.concat(*[F.when(F.size("w") >= n, F.transform(runs_of(F.col("w"), n), lambda r: F.array_join(r, " "))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])
+    wanted = keywords.select("site", "phrase").distinct()
+    # copies of a run in one page's place fold into one row within the tasks
+    met = words.select("site", "url", "kind", "weight", "tokens", "place", F.explode(runs).alias("phrase")).join(wanted, ["site", "phrase"])
+    met = met.groupBy("site", "phrase", "url", "kind", "weight", "tokens", "place").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda *places: F.col("place").isin(*places)
+    hits = [F.count_if(at(p)).alias(f"{p}_pages") for p in ("title", "h1", "h2", "slug", "anchor")]
+    facts = met.groupBy("site", "phrase").agg(
+        F.count_if(at("text")).alias("pages_used"), F.sum(F.when(at("text"), F.col("n")).otherwise(0)).alias("occurrences"), F.sum(F.when(at("text"), F.col("weight")).otherwise(0.0)).alias("weighted_pages"), *hits,
+        F.avg(F.when(at("text"), F.col("n") / F.col("tokens"))).alias("density"),
+        F.max(F.when((F.col("kind") == "home") & at("title", "nav"), 3.0).when(F.col("kind").isin("landing", "product", "catalog") & at("title", "h1"), 2.0).otherwise(1.0)).alias("importance"),
+    )
+    total = parsed.withColumn("kind", F.when(home, "home").otherwise(kind)).groupBy("site").agg(F.sum(weight).alias("all_weight"))
+    rows = wanted.join(facts, ["site", "phrase"], "left").join(total, "site").withColumn("importance", F.coalesce("importance", F.lit(1.0))).na.fill(0)
+    shares = {"title": 0.40, "h1": 0.25, "h2": 0.15, "slug": 0.10, "anchor": 0.10}
+    used = (F.col("pages_used") > 0) & (F.col("weighted_pages") > 0)
+    coverage = 100 * F.col("weighted_pages") / F.greatest(F.col("all_weight"), F.lit(1.0))
+    on_page = sum((F.when(F.col(f"{p}_pages") > 0, 100 * s).otherwise(0.0) for p, s in shares.items()), F.lit(0.0))
+    density = F.when(F.col("density") <= 0, 0.0).when(F.col("density") < 0.001, 20.0).when(F.col("density") > 0.03, 40.0).otherwise(80.0)
+    rows = rows.withColumn("coverage", F.when(used, coverage).otherwise(0.0)).withColumn("on_page", F.when(used, on_page).otherwise(0.0)).withColumn("density_score", F.when(used, density).otherwise(0.0))
+    return rows.withColumn("total", F.bround(0.6 * F.col("coverage") + 0.3 * F.col("on_page") + 0.1 * F.col("density_score"), 1)).drop("all_weight")
+
+
+def keyword_summary_v2(metrics: DataFrame) -> DataFrame:
+    """Mean total by importance, of each site."""
+    return metrics.groupBy("site").agg((F.sum(F.col("total") * F.col("importance")) / F.sum("importance")).alias("overall"), F.count_if(F.col("pages_used") > 0).alias("used"), F.count(F.lit(1)).alias("keywords"))

@@ -84,6 +84,9 @@ def _quoted(words: list[str]) -> str:
 _NAV_LABEL = f"""CASE WHEN label = '' OR regexp_matches(label, '{LABEL_PHONE}') OR regexp_matches(lower(label), '{LABEL_ACTIONS}') THEN false WHEN regexp_matches(lower(label), '^({LABEL_COMMON})$') THEN true
     WHEN length(label) >= 5 AND regexp_matches(lower(label), '{LABEL_PROMOTION}') THEN false WHEN length(label) >= 5 AND len(string_split(label, ' ')) <= 5 THEN true
     ELSE length(label) >= 3 AND length(regexp_replace(label, '[^a-zA-Z]', '', 'g')) >= 2 END"""
+_ARTICLES = rf"""articles AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS site_name, url, CASE WHEN length(h1) > 10 THEN h1 WHEN length(title) > 10 THEN title END AS title,
+    CASE WHEN length(content) > 100 THEN content ELSE '' END AS content FROM (SELECT page_id, url, {_plain("regexp_extract(b, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h1, {_plain("regexp_extract(b, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+        {_plain("regexp_extract(b, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS content FROM (SELECT *, regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS b FROM pages)))"""
 _KINDS = f"kinds AS (SELECT site, url, kind FROM parsed, (VALUES {', '.join(f"('{k}', '{w}')" for k, w in KINDS.items())}) v(kind, named_by) WHERE regexp_matches(lower(url || chr(10) || title), named_by))"
 
 ORACLES = {
@@ -153,6 +156,9 @@ ORACLES = {
         s AS (SELECT site, weight, CASE WHEN length(w) <= 3 THEN w {' '.join(f"WHEN ends_with(w, '{x}') AND length(w) > {len(x) + 2} THEN left(w, length(w) - {len(x)})" for x in SUFFIXES)} ELSE w END AS word
             FROM w WHERE length(w) > 2 AND w NOT IN ({_quoted(STOPWORDS)}))
         SELECT site, word, sum(weight)::BIGINT AS score, count(*) AS occurrences FROM s WHERE word NOT IN ({_quoted(GENERIC)}) GROUP BY ALL""",
+    "extract_articles": f"""WITH {_ARTICLES} SELECT page_id, site_name, url, title, content, NULL::VARCHAR AS author, NULL::DATE AS publish_date,
+        CASE WHEN content = '' THEN 0 ELSE len(string_split(content, ' ')) END::INT AS word_count, title IS NOT NULL AND content <> '' AS success FROM articles""",
+    "article_batch_summary": f"WITH {_ARTICLES} SELECT site_name, count(*) FILTER (WHERE title IS NOT NULL AND content <> '') AS successful, count(*) AS total FROM articles GROUP BY 1",
     "bandwidth_adjusted_load": f"{_F} SELECT page_id, load_time_ms + content_length_bytes * 8 / 5000000.0::DOUBLE * 1000 AS load_ms FROM flog",
     "progress_counts": "SELECT user_id AS site, count(*) AS visited, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id",
     "load_time_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, user_id AS site, count(*) AS n, avg(value) AS mean_load, max(value) AS max_load FROM events GROUP BY ALL",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
 from pagewright.functions import urls as U
-from pagewright.operators import entities, fetches, flags, keywords, links, parse, regions, rollups, scores
+from pagewright.operators import articles, entities, fetches, flags, keywords, links, parse, regions, rollups, scores
 from pagewright.plans.oracles import ORACLES  # noqa: F401
 from pagewright.sources import files
 from pagewright.streaming import fetches as stream
@@ -52,6 +52,11 @@ def _keyword_metrics(t: Tables) -> DataFrame:
     return keywords.keyword_metrics(parsed, keywords.focus_keywords(parsed).select("site", "phrase"))
 
 
+def _keyword_metrics_v2(t: Tables) -> DataFrame:
+    parsed = t.parsed
+    return keywords.keyword_metrics_v2(parsed, keywords.focus_keywords(parsed).select("site", "phrase"))
+
+
 def _reachable(t: Tables) -> DataFrame:
     starts = t.pages.groupBy(U.url_host(F.col("url")).alias("site")).agg(F.min(U.drop_fragment(F.col("url"))).alias("url"))
     return links.reachable_within(t.edges, starts)
@@ -118,6 +123,11 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "primary_nav_guess": lambda t: entities.primary_nav_guess(t.parsed),
     "phrase_scores_v2": lambda t: keywords.phrase_scores_v2(t.parsed),
     "single_word_scores": lambda t: keywords.single_word_scores(t.parsed),
+    "keyword_metrics_v2": _keyword_metrics_v2,
+    "keyword_summary_v2": lambda t: keywords.keyword_summary_v2(_keyword_metrics_v2(t)),
+    "extract_articles": lambda t: articles.extract_articles(t.pages),
+    "article_batch_summary": lambda t: articles.article_batch_summary(articles.extract_articles(t.pages)),
+    "page_components": lambda t: articles.page_components(t.parsed).select("site", "url", F.to_json("components").alias("components")),
     "bandwidth_adjusted_load": lambda t: t.fetch.select("page_id", X.bandwidth_adjusted_load(F.col("load_time_ms"), F.col("content_length_bytes"), 5.0).alias("load_ms")),
     "json_profile": lambda t: files.json_profile(t.read("events").select(F.col("event_id").alias("id"), F.col("props").alias("payload"))),
     "progress_counts": _progress,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pagewright.functions import text, urls
-from pagewright.operators import entities, fetches, flags, keywords, links, parse, regions
+from pagewright.operators import articles, entities, fetches, flags, keywords, links, parse, regions
 from pagewright.plans import registry
 from pagewright.streaming import fetches as stream
 
@@ -143,6 +143,35 @@ def test_entities_of_a_page(spark):
     assert entities.primary_nav_guess(parsed).count() == 2
 
 
+def test_article_of_a_page(spark):
+    text = "word " * 30
+    html = f'<meta name="author" content="A. Writer"><h1 class="big entry-title">A title of some length</h1><time datetime="2024-03-05T10:00">x</time><div class="post-content"><p>Advertisement {text}</p></div>'
+    pages = spark.createDataFrame([(1, "http://a.b/c", html), (2, "http://a.b/d", None)], "page_id long, url string, html string")
+    good, bad = articles.extract_articles(pages).orderBy("page_id").collect()
+    assert (good["title"], good["author"], str(good["publish_date"]), good["word_count"], good["success"]) == ("A title of some length", "A. Writer", "2024-03-05", 30, True)
+    assert (bad["title"], bad["content"], bad["success"]) == (None, "", False)
+    day = lambda s: str(one(spark, articles.parse_article_date(F.lit(s))))
+    assert [day(s) for s in ("on 03/25/2024", "25/03/2024", "3/5/2024", "March 5, 2024", "5 Mar 2024", "no date", "99/99/2024")] == ["2024-03-25", "2024-03-25", "2024-03-05", "2024-03-05", "2024-03-05", "None", "None"]
+
+
+def test_components_of_a_page(spark):
+    html = HTML + "<p>The first paragraph of this page</p><p>The second paragraph of this page</p><p>The third paragraph of this page</p>"
+    parsed = parse.parse_pages(spark.createDataFrame([(1, "http://a.b/c", html), (2, "http://a.b/d", None)], "page_id long, url string, html string"))
+    full, empty = (r["components"] for r in articles.page_components(parsed).orderBy("url").collect())
+    assert [(c["type"], len(c["texts"]), len(c["urls"])) for c in full] == [("hero", 2, 1), ("section", 1, 0), ("gallery", 0, 2)]
+    assert [c["texts"] for c in empty] == [["Content not available"]]
+
+
+def test_keyword_metrics_v2(spark):
+    page = "<title>Red shoes</title><h1>Fine red shoes</h1><p>We sell red shoes, and red shoes only</p>"
+    parsed = parse.parse_pages(spark.createDataFrame([(1, "http://a.b/", page), (2, "http://a.b/x/y", "<p>Nothing at all to be read here</p>")], "page_id long, url string, html string"))
+    got = {r["phrase"]: r for r in keywords.keyword_metrics_v2(parsed, spark.createDataFrame([("a.b", "red shoes"), ("a.b", "blue hats")], "site string, phrase string")).collect()}
+    red = got["red shoes"]
+    assert (red["pages_used"], red["occurrences"], red["importance"], red["density"], red["density_score"]) == (1, 2, 3.0, 2 / 6, 40.0)
+    assert (round(red["coverage"], 6), red["on_page"], red["total"]) == (round(300 / 3.5, 6), 65.0, 74.9)
+    assert (got["blue hats"]["total"], got["blue hats"]["importance"]) == (0.0, 1.0)
+
+
 def test_nav_labels(spark):
     good = lambda s: one(spark, regions.is_nav_label(F.lit(s)))
     assert [good(s) for s in ("FAQ", "555-123-4567", "Read more", "Our small old town house", "a b c d e fg", "12", "12345", "me@x.org", "")] == [True, False, False, True, True, False, True, False, False]
