@@ -156,7 +156,7 @@ ORACLES = {
         s AS (SELECT site, weight, CASE WHEN length(w) <= 3 THEN w {' '.join(f"WHEN ends_with(w, '{x}') AND length(w) > {len(x) + 2} THEN left(w, length(w) - {len(x)})" for x in SUFFIXES)} ELSE w END AS word
             FROM w WHERE length(w) > 2 AND w NOT IN ({_quoted(STOPWORDS)}))
         SELECT site, word, sum(weight)::BIGINT AS score, count(*) AS occurrences FROM s WHERE word NOT IN ({_quoted(GENERIC)}) GROUP BY ALL""",
-    "extract_articles": f"""WITH {_ARTICLES} SELECT page_id, site_name, url, title, content, NULL::VARCHAR AS author, NULL::DATE AS publish_date,
+    "extract_articles": f"""WITH {_ARTICLES} SELECT page_id, site_name, url, title, content, NULL::VARCHAR AS author, NULL::VARCHAR AS publish_date,
         CASE WHEN content = '' THEN 0 ELSE len(string_split(content, ' ')) END::INT AS word_count, title IS NOT NULL AND content <> '' AS success FROM articles""",
     "article_batch_summary": f"WITH {_ARTICLES} SELECT site_name, count(*) FILTER (WHERE title IS NOT NULL AND content <> '') AS successful, count(*) AS total FROM articles GROUP BY 1",
     "bandwidth_adjusted_load": f"{_F} SELECT page_id, load_time_ms + content_length_bytes * 8 / 5000000.0::DOUBLE * 1000 AS load_ms FROM flog",
