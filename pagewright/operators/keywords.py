@@ -158,3 +158,10 @@ def keyword_metrics_v2(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
 def keyword_summary_v2(metrics: DataFrame) -> DataFrame:
     """Mean total by importance, of each site."""
     return metrics.groupBy("site").agg((F.sum(F.col("total") * F.col("importance")) / F.sum("importance")).alias("overall"), F.count_if(F.col("pages_used") > 0).alias("used"), F.count(F.lit(1)).alias("keywords"))
+
+
+def keyword_comparison(parsed: DataFrame, primary: str, k: int = 20) -> DataFrame:
+    """(site, phrase, total): the ``k`` focus keywords of one site scored on every site, 0 where unused."""
+    top = [r["phrase"] for r in focus_keywords(parsed.where(F.col("site") == primary), k).orderBy("rank").collect()]  # k rows at most
+    wanted = parsed.select("site").distinct().select("site", F.explode(F.array(*map(F.lit, top)).cast("array<string>")).alias("phrase"))
+    return keyword_metrics(parsed, wanted).select("site", "phrase", "total")

@@ -125,6 +125,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "single_word_scores": lambda t: keywords.single_word_scores(t.parsed),
     "keyword_metrics_v2": _keyword_metrics_v2,
     "keyword_summary_v2": lambda t: keywords.keyword_summary_v2(_keyword_metrics_v2(t)),
+    "keyword_comparison": lambda t: keywords.keyword_comparison(t.parsed, _first_site(t)),
     "extract_articles": lambda t: articles.extract_articles(t.pages).withColumn("publish_date", F.col("publish_date").cast("string")),
     "article_batch_summary": lambda t: articles.article_batch_summary(articles.extract_articles(t.pages)),
     "page_components": lambda t: articles.page_components(t.parsed).select("site", "url", F.to_json("components").alias("components")),

@@ -172,6 +172,15 @@ def test_keyword_metrics_v2(spark):
     assert (got["blue hats"]["total"], got["blue hats"]["importance"]) == (0.0, 1.0)
 
 
+def test_keyword_comparison(spark):
+    rows = [(1, "http://a.b/", "<title>Red shoes</title><p>Red shoes for all who walk</p>"), (2, "http://c.d/", "<title>Other</title><p>Where red shoes are not made</p>"), (3, "http://e.f/", None)]
+    parsed = parse.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {(r["site"], r["phrase"]): r["total"] for r in keywords.keyword_comparison(parsed, "a.b").collect()}
+    assert set(got) == {(s, "red shoes") for s in ("a.b", "c.d", "e.f")}
+    assert got["a.b", "red shoes"] > got["c.d", "red shoes"] > got["e.f", "red shoes"] == 0
+    assert keywords.keyword_comparison(parsed, "none.such").count() == 0
+
+
 def test_nav_labels(spark):
     good = lambda s: one(spark, regions.is_nav_label(F.lit(s)))
     assert [good(s) for s in ("FAQ", "555-123-4567", "Read more", "Our small old town house", "a b c d e fg", "12", "12345", "me@x.org", "")] == [True, False, False, True, True, False, True, False, False]
