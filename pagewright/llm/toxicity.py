@@ -34,7 +34,7 @@ IDENTITY = [
     ["frauen", "männer", "femmes", "hommes", "mujeres", "hombres"],
     ["muslime", "christen", "juden", "musulmans", "chrétiens", "juifs", "musulmanes", "cristianos", "judíos"],
 ]
-#: Candidates counted over all rows, features kept, and labelled rows of each class in the fitting sample, at most.
+#: Candidates counted over all rows and features kept, at most; labelled rows of each class drawn for the fitting sample, on average.
 CANDIDATES, FEATURES, SAMPLE = 20_000, 3_000, 6_000
 #: Weight of the squared weights and of the squared score changes.
 RIDGE, PENALTY = 1e-5, 5.0
@@ -109,7 +109,7 @@ def fit(held: list[list[int]], y: np.ndarray, share: np.ndarray, changed: list[t
 
 
 def train_model(train: DataFrame) -> tuple[dict[str, float], float]:
-    """``train(text, toxic)`` -> weight by feature, and the intercept."""
+    """``train(doc_id, text, toxic)`` -> weight by feature, and the intercept."""
     toxic, clean = train.where("toxic = 1"), train.where("toxic = 0")
     total = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
@@ -122,8 +122,9 @@ def train_model(train: DataFrame) -> tuple[dict[str, float], float]:
     kept = sorted((f for f in met if ratio[f] >= 3), key=lambda f: (-np.log(ratio[f]) * np.sqrt(met[f]), f))[:FEATURES]
     names = list(dict.fromkeys([*kept, *sorted({f for g in IDENTITY for t in g for f in features(t)})]))
     place = {f: i for i, f in enumerate(names)}
-    draw = F.expr("pmod(xxhash64(text, 29), 1000000)")
-    sample = toxic.where(draw < min(1e6, 1e6 * SAMPLE / n1)).union(clean.where(draw < min(1e6, 1e6 * SAMPLE / n0)))
+    # drawn by row, not by text: a group of copies comes in its share; a repeated row comes once
+    draw = F.expr("pmod(xxhash64(doc_id, text, 29), 1000000)")
+    sample = toxic.where(draw < min(1e6, 1e6 * SAMPLE / n1)).union(clean.where(draw < min(1e6, 1e6 * SAMPLE / n0))).dropDuplicates(["doc_id", "text"])
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -140,10 +141,10 @@ def train_model(train: DataFrame) -> tuple[dict[str, float], float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(text, toxic)`` of the rows that may be learned from: labelled, crc32 of the id modulo 5 not 0."""
+    """``(doc_id, text, toxic)`` of the rows that may be learned from: labelled, crc32 of the id modulo 5 not 0."""
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.where(~held_out()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, "doc_id").select("text", "toxic")
+    return rows.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, "doc_id").select("doc_id", "text", "toxic")
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
