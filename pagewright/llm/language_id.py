@@ -77,14 +77,15 @@ def spherical(x: np.ndarray, k: int, seed: int = 5) -> tuple[np.ndarray, np.ndar
 
 
 def train_model(train: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """``train(text, lang)`` -> idf, and for every centroid its language, vector and floor."""
+    """``train(doc_id, text, lang)`` -> idf, and for every centroid its language, vector and floor."""
     rows = train.where(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     df = document_frequencies(rows)
     idf = (np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 0.1).astype(np.float32)
-    # a thinned draw first, so that no language's rows meet in one task
+    # a thinned draw first, so that no language's rows meet in one task; by row, not by text, so that a group of
+    # copies comes in its share, and a repeated row once
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.xxhash64("text")
-    thin = rows.select("text", "lang").join(F.broadcast(sizes), "lang").where(F.expr("pmod(xxhash64(text, 17), 1000000)") < F.lit(3e6 * SAMPLE) / F.col("n"))
+    draw = F.xxhash64("doc_id", "text")
+    thin = rows.select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang").where(F.expr("pmod(xxhash64(doc_id, text, 17), 1000000)") < F.lit(3e6 * SAMPLE) / F.col("n")).dropDuplicates(["doc_id", "text", "lang"])
     sample = thin.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(draw))).where(F.col("r") <= SAMPLE)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,14 +135,14 @@ def identify(docs: DataFrame) -> DataFrame:
     centroids. Nothing to learn from: all ``und``. Ties go to the first language by name. Empty table: no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    model = train_model(rows.where(~held_out()).select("text", "lang"))
+    model = train_model(rows.where(~held_out()))
     out = predict(rows.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "_lang.lang_pred", "_lang.score", "_lang.rejected")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language is undetermined or rejected; columns as they were."""
-    model = train_model(docs.where(~held_out()).select(F.col("text").cast("string"), F.col("lang").cast("string")))
+    model = train_model(docs.where(~held_out()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string")))
     return predict(docs, model).where("not _lang.rejected").select(*docs.columns)
 
 
