@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Words whose ids a Python worker remembers; beyond, it starts afresh. Memory only: ids don't depend on it.
-REMEMBERED = 1_200_000
+#: Words in each of the two generations whose ids a Python worker remembers. Memory only: ids don't depend on it.
+REMEMBERED = 250_000
 #: Rows in an Arrow batch that pass 1 yields.
 YIELD = 400
 
@@ -37,8 +37,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts -> their ids as little-endian uint16, through the tokenizer's file at ``path``.
 
     A byte-level BPE never merges across the start of a word that follows a visible character and a space,
-    so a text's ids are those of its words in turn; each worker keeps the ids of words it has met. Where
-    white space runs on, the text is split only at spaces after a visible character.
+    so a text's ids are those of its words in turn; each worker keeps the ids of words it has met. When
+    the young generation is full it becomes the old one, and old words that occur again move over. Where white space runs on, the text is split only at spaces after a visible character.
     """
     import os
     import re
@@ -50,8 +50,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     kept = sys.modules.setdefault("_pagewright_kept", types.ModuleType("_pagewright_kept"))
     state = kept.__dict__.setdefault("ids", {})
     if path not in state:
-        state[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = state[path]
+        state[path] = (Tokenizer.from_file(path), [{}, {}])
+    tokenizer, ages = state[path]
     run, cut = re.compile(r"\s "), re.compile(r"(?<=\S) ")
     ids = lambda words: [array("H", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -61,10 +61,12 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         met = set()
         for w in words:
             met.update(w[1:])
-        new = list(met.difference(known))
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(met)
+        lacking = met.difference(ages[0])
+        if len(ages[0]) + len(lacking) > REMEMBERED:
+            ages[:], lacking = ({}, ages[0]), met
+        known, old = ages
+        known.update((w, old[w]) for w in lacking.intersection(old))
+        new = list(lacking.difference(known))
         known.update(zip(new, ids([" " + w for w in new]), strict=True))
         return [f + b"".join(map(known.__getitem__, w[1:])) for f, w in zip(first, words, strict=True)]
 
