@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 1,024."""
-    return packing.pack(docs)
+    """Token sequences of 1,024. Workers still hold what earlier stages left, so they remember fewer words."""
+    return packing.pack(docs, remembered=250_000)
 
 
 STAGES = [

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 #: Words in each of the two generations whose ids a Python worker remembers. Memory only: ids don't depend on it.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 #: Rows in an Arrow batch that pass 1 yields.
 YIELD = 400
 
@@ -33,7 +33,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, remembered: int = REMEMBERED) -> Callable[[list[str]], list[bytes]]:
     """Texts -> their ids as little-endian uint16, through the tokenizer's file at ``path``.
 
     A byte-level BPE never merges across the start of a word that follows a visible character and a space,
@@ -62,7 +62,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         for w in words:
             met.update(w[1:])
         lacking = met.difference(ages[0])
-        if len(ages[0]) + len(lacking) > REMEMBERED:
+        if len(ages[0]) + len(lacking) > remembered:
             ages[:], lacking = ({}, ages[0]), met
         known, old = ages
         known.update((w, old[w]) for w in lacking.intersection(old))
@@ -73,11 +73,11 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-def token_rows(docs: DataFrame, path: str, end: int) -> DataFrame:
+def token_rows(docs: DataFrame, path: str, end: int, remembered: int = REMEMBERED) -> DataFrame:
     """``(part, before, doc_id, n, ids binary)``: ids with the end id, and the tokens before in the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(path, remembered), TaskContext.get().partitionId(), 0
         last = np.array([end], "<u2").tobytes()
         for batch in batches:
             for at in range(0, len(batch), YIELD):
@@ -91,7 +91,7 @@ def token_rows(docs: DataFrame, path: str, end: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "part bigint, before bigint, doc_id bigint, n bigint, ids binary")
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = 1024, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = 1024, end: int = 0, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset (and ``ids array<int>`` on request). Sequences hold ``length`` ids, the last one what is left.
 
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 1024, end: int
     rows are packed as often as they occur; a null doc_id stays null. Empty table: no rows. Extra columns are
     left out.
     """
-    rows = saved(token_rows(docs, path or default_tokenizer(), end), "tokens")
+    rows = saved(token_rows(docs, path or default_tokenizer(), end, remembered), "tokens")
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
     # one row per task of pass 1, so this window and the broadcast hold as many rows as there were tasks
     offsets = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
