@@ -1,0 +1,182 @@
+"""Near-duplicates by Jaccard similarity of word shingles: an exact set-similarity join, then components.
+
+Shingles are 64-bit hashes, ordered by value, the commonest last. Two sets within the threshold share one of the
+first |s| - ceil(threshold x |s|) + 1 hashes of each (prefix filter), so documents meet in a shuffle on those. A hash
+that few documents hold ties all of them pair by pair. One that many hold ties each to one of few hubs, and then those
+that all links have left outside the largest component there to all others, so that no pair is lost. Sizes and places
+in both orders drop pairs that cannot reach the threshold; the rest are counted exactly.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved
+from .components import components
+
+WORDS, THRESHOLD = 5, 0.8
+#: Documents at a hash up to which every pair is tied, and hubs of hashes that more documents hold.
+PAIRWISE, HUBS = 16, 8
+#: Common hashes: of one set in so many, those met so often, so many at most.
+SAMPLE, MET, MOST = 16, 4, 200_000
+
+
+def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
+    """Hashes of one text's distinct k-word shingles, ascending; of all its words if they are fewer."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.int64)
+    n, k = len(words), min(k, len(words))
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
+    h = np.full(n - k + 1, k, np.uint64)
+    for i in range(k):
+        h = (h ^ w[i : n - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique((h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+
+
+def bits_of(s: np.ndarray) -> bytes:
+    """A bitmap of 1,024 bits; two sets differ in at least as many hashes as their bitmaps in bits."""
+    on = np.zeros(1024, np.uint8)
+    on[(s & 1023)] = 1
+    return np.packbits(on).tobytes()
+
+
+def _signature(s: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(s.tobytes())).view(np.int64))
+
+
+def with_shingles(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """``(sig, s)`` of every row: one hash of all, and the hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                sets = [shingles(t, k) for t in b.column(0).slice(at, 200).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_signature, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sig", "s"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "sig bigint, s array<bigint>")
+
+
+def common_shingles(docs: DataFrame, k: int = WORDS) -> np.ndarray:
+    """The commonest hashes of one text in ``SAMPLE``, ``MOST`` at most, ascending. They only order the others: any choice
+    finds the same pairs."""
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = with_shingles(sample, k).select("sig", F.explode("s").alias("key")).distinct().groupBy("key").count()
+    top = counts.where(F.col("count") >= MET).orderBy(F.desc("count"), "key").limit(MOST)
+    return np.array(sorted(r["key"] for r in top.collect()), np.int64)
+
+
+def with_prefixes(docs: DataFrame, common: np.ndarray, k: int, threshold: float) -> DataFrame:
+    """``(doc_id, sig, n, bits, first)`` of every row: signature, size and bitmap of its set, and its prefix."""
+    held = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = held.value
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                sig, n, bits, first = [], [], [], []
+                for t in part.column(1).cast(pa.binary()).to_pylist():
+                    v = shingles(t, k)
+                    sig.append(_signature(v))
+                    n.append(len(v))
+                    bits.append(bits_of(v))
+                    if len(last):
+                        late = last[np.minimum(np.searchsorted(last, v), len(last) - 1)] == v
+                        v = np.concatenate((v[~late], v[late]))
+                    first.append(v[: len(v) - ceil(threshold * len(v) - 1e-9) + 1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "sig", "n", "bits", "first"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, sig bigint, n int, bits binary, first array<bigint>")
+
+
+def _ends(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(x, y)`` that share a hash at ``x.i`` and ``y.i`` -> distinct ``(a, b)`` that can still overlap enough."""
+    most = F.least("x.i", "y.i") + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    enough = most >= (F.col("x.n") + F.col("y.n")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    return pairs.where("x.sig <> y.sig").where(enough).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+
+
+def meetings(prefixes: DataFrame) -> DataFrame:
+    """``prefixes(sig, n, first)``, distinct -> ``(key, held, x, hub)`` for every hash that several sets hold."""
+    keyed = prefixes.where("n > 0").select("sig", "n", F.posexplode("first").alias("i", "key"))
+    # the order of hubs depends on the document and one of few seeds, so that hashes of one group agree on them
+    order = F.xxhash64("sig", F.pmod("key", F.lit(HUBS)))
+    by = "over (partition by key)"
+    met = keyed.withColumn("o", order).select("key", F.struct("sig", "n", "i").alias("x"), F.expr(f"count(*) {by}").alias("held"), F.expr(f"min(struct(o, sig, n, i)) {by}").alias("hub"))
+    return met.where("held > 1").select("key", "held", "x", F.struct("hub.sig", "hub.n", "hub.i").alias("hub"))
+
+
+def candidates(shared: DataFrame, threshold: float) -> DataFrame:
+    """Every pair at hashes that few hold, and each with the hub at the others."""
+    few = shared.where(F.col("held") <= PAIRWISE).groupBy("key").agg(F.collect_list("x").alias("all"))  # PAIRWISE at most
+    pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.sig < y.sig")
+    return _ends(pairs.union(shared.where(F.col("held") > PAIRWISE).select("x", F.col("hub").alias("y"))), threshold)
+
+
+def still_apart(shared: DataFrame, tied: DataFrame, threshold: float) -> DataFrame:
+    """Pairs at hashes that many hold and whose ends no link has tied: all but the largest component there, against all."""
+    many = shared.where(F.col("held") > PAIRWISE).select("key", "x", F.col("x.sig").alias("sig"))
+    named = saved(many.join(tied.select(F.col("a").alias("sig"), F.col("b").alias("root")), "sig", "left").select("key", "x", F.coalesce("root", "sig").alias("root")), "many")
+    largest = named.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rest = named.join(largest, "key").where("root <> main").select("key", F.col("x").alias("y"), F.col("root").alias("other"))
+    return _ends(named.join(rest, "key").where("root <> other").select("x", "y"), threshold)
+
+
+def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``pairs(a, b)`` that meet the threshold: dropped where bitmaps differ in more bits than sets may in hashes, then
+    counted on whole sets, which are made again for what is left."""
+    bit = lambda end: nodes.select(F.col("sig").alias(end), F.col("n").alias(f"n{end}"), F.hex("bits").alias(f"bits{end}"))
+    words = [F.bit_count(F.conv(F.substring("bitsa", i, 8), 16, 10).cast("bigint").bitwiseXOR(F.conv(F.substring("bitsb", i, 8), 16, 10).cast("bigint"))) for i in range(1, 256, 8)]
+    apart = sum(words[1:], words[0])
+    may = apart <= (F.col("na") + F.col("nb")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6
+    left = saved(pairs.join(bit("a"), "a").join(bit("b"), "b").where(may).select("a", "b"), "left")
+    ends = left.select(F.col("a").alias("sig")).union(left.select(F.col("b").alias("sig"))).distinct()
+    found = saved(nodes.join(ends, "sig", "left_semi").select("sig", "least"), "ends")
+    again = docs.join(found.select("least").distinct(), F.col("doc_id").cast("bigint").eqNullSafe(F.col("least")), "left_semi")
+    sets = saved(with_shingles(again, k).join(found, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")), "sets")
+    both = left.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
+    n = F.size(F.array_intersect("sa", "sb"))
+    return saved(both.where(n >= (F.size("sa") + F.size("sb") - n) * F.lit(threshold) - 1e-9).select("a", "b"), "links")
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, component_id)``, one row per input row: components of "Jaccard
+    similarity of shingle sets at least ``threshold``", named by their least doc_id.
+
+    Texts are lower-cased (A-Z) and cut at ASCII white space. Texts without words are copies of each other. A null
+    doc_id names a component only if no other id does (then null). Empty table: no rows.
+    """
+    common = common_shingles(docs, k)
+    rows = saved(with_prefixes(docs, common, k, threshold).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
+    # copies fold into one row before anything is emitted
+    one = rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"))
+    nodes = saved(rows.select("rid", "n", "bits").join(one, "rid"), "nodes")
+    shared = saved(meetings(rows.select("rid", "sig", "n", "first").join(nodes.select("rid"), "rid", "left_semi")), "shared")
+    pairs = saved(candidates(shared, threshold), "pairs")
+    linked = links(docs, nodes, pairs, k, threshold)
+    tied = components(linked)
+    more = saved(still_apart(shared, tied, threshold).join(pairs, ["a", "b"], "left_anti"), "apart")
+    if not more.isEmpty():
+        tied = components(linked.union(links(docs, nodes, more, k, threshold)))
+    root = nodes.join(tied.select(F.col("a").alias("sig"), F.col("b").alias("root")), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    labels = root.join(root.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
+    return rows.select("doc_id", "sig").join(labels, "sig").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` without the near-duplicates of a smaller doc_id; all columns and their order stay.
+    Rows repeating a doc_id stay with it; rows without an id stay."""
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
