@@ -1,9 +1,9 @@
 """Scoring documents with a gated recurrent language model trained on the corpus.
 
 1. Word counts over all training documents, summed within tasks first.
-2. The commonest words get ids; the model is trained data-parallel on whole documents of a fixed share of
-   the training documents: in each round every task makes one pass of truncated backpropagation over its
-   own documents from the common weights, and the weights are averaged, by token counts, in Spark.
+2. The commonest words get ids; the model is trained data-parallel on all
+   training documents, each in one round: in each round every task makes one pass of truncated backpropagation over its
+   own documents of the round from the common weights, and the weights are averaged, by token counts, in Spark.
    Of the start, which is the unigram model, and the rounds, the best on validation documents is kept.
 3. One pass scores whole documents. A word beyond the model's vocabulary has the probability that the model
    gives to any such word, times its smoothed share of their counts, so that scores are probabilities of
@@ -29,8 +29,10 @@ from .common import crc_bucket, saved, table
 
 #: Commonest words whose counts travel with the tasks.
 CARRIED = 250_000
-#: One in so many training documents is trained on, in so many rounds; as many as in a round validate.
-SHARE, ROUNDS = 12, 3
+#: One in so many training documents is trained on, in so many rounds.
+SHARE, ROUNDS = 1, 3
+#: One in so many training documents also chooses among the rounds.
+VALIDATE = 36
 #: Different words that a task counts before it passes them on.
 MOST = 300_000
 #: The end of a document among the counts; no word can hold white space.
@@ -157,8 +159,10 @@ def score_documents(docs: DataFrame, carried: int = CARRIED, share: int = SHARE,
     by_id[[gru.END, gru.OTHER]] = ends, max(0, total - ends - sum(c for _, c in common[: len(ids)]))
     for w, c in common[: len(ids)]:
         by_id[ids[w]] = c
-    draw = F.expr(f"pmod(xxhash64(doc_id, text, 31), {share * rounds})")
-    sample = saved(train.withColumn("round", draw.cast("int")).where(F.col("round") <= rounds).select("text", "round"), "training")
+    draw = F.expr(f"pmod(xxhash64(doc_id, text, 31), {share * rounds})").cast("int")
+    check = F.expr(f"pmod(xxhash64(doc_id, text, 37), {VALIDATE}) = 0")
+    wanted = F.array_compact(F.array(F.when(draw < rounds, draw), F.when(check, F.lit(rounds))))
+    sample = saved(train.select("text", F.explode(wanted).alias("round")), "training")
     model = train_model(sample, gru.fresh(by_id), ids, rounds)
 
     other_mass = mass - sum(c + 0.5 for _, c in common[: len(ids)]) - (ends + 0.5 if ends else 0)
