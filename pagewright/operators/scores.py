@@ -42,13 +42,14 @@ def words_curve(avg: Column) -> Column:
 
 
 def crawlability(fixed: bool = False) -> Column:
-    """Link density, pages with links, and linked share. Below half a link a page the curve is linear; from
-    there to 2 it keeps the reference behaviour unless ``fixed``; the sum is clamped."""
+    """Link density, share of pages with links, and reach. From half a link a page to 2 the density keeps the reference
+    behaviour, up to 200, and is 0 below, unless ``fixed``: then linear up to 50. The sum is clamped."""
     per = F.col("internal") / F.col("pages")
-    low = per / 2 * 50 if fixed else per / 0.5 * 50
-    density = F.when(per < 2, low).when(per <= 10, 50 + (per - 2) / 8 * 50).otherwise(100.0)
+    low = per / 2 * 50 if fixed else F.when(per >= 0.5, per / 0.5 * 50).otherwise(0.0)
+    density = F.when(per < 2, low).when(per < 5, 50 + (per - 2) / 3 * 50).otherwise(100.0)
     linked = F.col("linked_pages") / F.col("pages") * 100
-    return clamp_0_100(0.4 * density + 0.6 * linked)
+    reach = F.least(per / 10 * 100, F.lit(100.0))
+    return F.round(clamp_0_100(0.4 * density + 0.3 * linked + 0.3 * reach), 2)
 
 
 def site_scores(counts: DataFrame, robots: bool = True, sitemap: bool = True) -> DataFrame:
