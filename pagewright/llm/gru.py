@@ -16,8 +16,11 @@ VOCABULARY = CLASSES * MEMBERS
 END, OTHER = 0, 1
 #: Steps in a window of scoring at most, and states that it holds at a time; steps in a window of training, and streams
 #: trained side by side.
-SCORE_STEPS, SCORE_STATES, STEPS, STREAMS = 512, 1 << 15, 20, 16
-RATE, CLIP = 0.1, 1.0
+SCORE_STEPS, SCORE_STATES, STEPS, STREAMS = 512, 1 << 14, 20, 256
+#: Windows that a pass over few texts has at least, by fewer streams.
+WINDOWS = 100
+#: Adam: the rate, how both means fade, and the share of the windows over which the rate rises at first.
+RATE, FADE, FADE_SQUARES, WARM = 0.03, 0.9, 0.99, 0.1
 
 Model = dict[str, np.ndarray]
 
@@ -37,43 +40,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _step(m: Model, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step from the last ids and states: new state, gates, candidate and its recurrent part."""
-    x, u = m["x"][ids] + m["b"], h @ m["u"]
-    zr = _sigmoid(x[:, : 2 * STATE] + u[:, : 2 * STATE])
-    un = u[:, 2 * STATE :]
-    n = np.tanh(x[:, 2 * STATE :] + zr[:, STATE:] * un)
-    z = zr[:, :STATE]
-    return n + z * (h - n), zr, n, un
+def _classes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """An order of ``ids`` by class; classes and members in it, and where each class begins there."""
+    classes = ids // MEMBERS
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    classes = classes[order]
+    return order, classes, ids[order] - classes * MEMBERS, np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    x /= x.sum(1, keepdims=True)
-    return x
+def _bounded(m: Model) -> bool:
+    """Whether no logit can overflow after states within -1 and 1, so that softmaxes need no shift."""
+    return bool(max((abs(m["c"]).sum(0) + abs(m["cb"])).max(), (abs(m["w"]).sum(2) + abs(m["wb"])).max()) < 60)
 
 
-def _by_class(classes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(classes.astype(np.uint8), kind="stable")
-    at = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    return [(k, order[at[k] : at[k + 1]]) for k in range(CLASSES) if at[k] < at[k + 1]]
+def _member_logits(m: Model, states: np.ndarray, cut: list[int]) -> np.ndarray:
+    """Logits of the members of each state's class; states in the order of classes."""
+    out = np.empty((len(states), MEMBERS), np.result_type(states, m["w"]))
+    for k in range(CLASSES):
+        a, b = cut[k], cut[k + 1]
+        if a < b:
+            np.matmul(states[a:b], m["w"][k].T, out=out[a:b])
+            out[a:b] += m["wb"][k]
+    return out
 
 
-def _log_softmax_at(logit: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
-    """Log-softmax at one column per row; ``bounded`` logits cannot overflow and need no shift."""
+def _exp(logits: np.ndarray, bounded: bool) -> np.ndarray:
+    """exp in place, shifted where it must be; returns the row sums."""
     if not bounded:
-        logit -= logit.max(1, keepdims=True)
-    out = logit[np.arange(len(at)), at]
-    return out - np.log(np.exp(logit, out=logit) @ np.ones(logit.shape[1], logit.dtype))
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], logits.dtype)
 
 
 def log10_probabilities(m: Model, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log10 of each id's probability after its state (components within -1 and 1)."""
-    bounded = bool(max((abs(m["c"]).sum(0) + abs(m["cb"])).max(), (abs(m["w"]).sum(2) + abs(m["wb"])).max()) < 60)
-    classes, members = np.divmod(ids, MEMBERS)
-    out = _log_softmax_at(h @ m["c"] + m["cb"], classes, bounded)
-    for k, rows in _by_class(classes):
-        out[rows] += _log_softmax_at(h[rows] @ m["w"][k].T + m["wb"][k], members[rows], bounded)
+    bounded, rows = _bounded(m), np.arange(len(ids))
+    order, classes, members, cut = _classes(ids)
+    states, found = h[order], np.zeros(len(ids))
+    for logits, at in ((states @ m["c"] + m["cb"], classes), (_member_logits(m, states, cut), members)):
+        if not bounded:
+            logits -= logits.max(1, keepdims=True)
+        found += logits[rows, at]
+        found -= np.log(_exp(logits, True))
+    out = np.empty(len(ids))
+    out[order] = found
     return out / np.log(10)
 
 
@@ -127,60 +137,101 @@ def score(m: Model, texts: list[np.ndarray]) -> np.ndarray:
 def _gradients(m: Model, last: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
     """Truncated backpropagation through one window: ``last``, ``ids`` (steps, streams), state before it ->
     gradients, state after it, and the ids whose rows the gradient of "x" holds."""
-    past, keep = [], []
-    for t in range(len(ids)):
-        h = np.where((last[t] == END)[:, None], np.float32(0), h)  # a document begins
-        new, zr, n, un = _step(m, last[t], h)
-        past.append((h, zr, n, un))
-        keep.append(new)
-        h = new
-    states, flat = np.concatenate(keep), ids.ravel()
-    classes, members = np.divmod(flat, MEMBERS)
-    g = {k: np.zeros_like(v) for k, v in m.items() if k != "x"}
-    d = _softmax(states @ m["c"] + m["cb"])
-    d[np.arange(len(flat)), classes] -= 1
-    g["c"], g["cb"], dh_all = states.T @ d, d.sum(0), d @ m["c"].T
-    for k, rows in _by_class(classes):
-        d = _softmax(states[rows] @ m["w"][k].T + m["wb"][k])
-        d[np.arange(len(rows)), members[rows]] -= 1
-        g["w"][k], g["wb"][k] = d.T @ states[rows], d.sum(0)
-        dh_all[rows] += d @ m["w"][k]
-    dh_all, dh, gates = dh_all.reshape(len(ids), -1, STATE), np.float32(0), []
-    for t in reversed(range(len(ids))):
-        before, zr, n, un = past[t]
-        z, r = zr[:, :STATE], zr[:, STATE:]
-        dh = dh + dh_all[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        du = np.concatenate((dz, dr, dn * r), axis=1)
-        g["u"] += before.T @ du
-        gates.append(np.concatenate((dz, dr, dn), axis=1))
-        dh = np.where((last[t] == END)[:, None], np.float32(0), dh * z + du @ m["u"].T)
-    gates = np.concatenate(gates[::-1])
-    g["b"] = gates.sum(0)
-    order = np.argsort(last.ravel(), kind="stable")
-    rows, at = np.unique(last.ravel()[order], return_index=True)
-    g["x"] = np.add.reduceat(gates[order], at)
-    return g, h, rows
+    (steps, streams), two, kind = ids.shape, 2 * STATE, m["u"].dtype
+    begins, inputs = last == END, m["x"][last] + m["b"]
+    before, after, un = (np.empty((steps, streams, STATE), kind) for _ in range(3))
+    gates = np.empty((steps, streams, 3 * STATE), kind)
+    z, r, c = gates[:, :, :STATE], gates[:, :, STATE:two], gates[:, :, two:]
+    for t in range(steps):
+        before[t] = h
+        before[t][begins[t]] = 0  # a document begins
+        u = before[t] @ m["u"]
+        gates[t, :, :two] = _sigmoid(inputs[t, :, :two] + u[:, :two])
+        un[t] = u[:, two:]
+        c[t] = np.tanh(inputs[t, :, two:] + r[t] * un[t])
+        h = after[t]
+        np.subtract(before[t], c[t], out=h)
+        h *= z[t]
+        h += c[t]
+    bounded, flat = _bounded(m), ids.ravel()
+    order, classes, members, cut = _classes(flat)
+    states, rows, g = after.reshape(-1, STATE)[order], np.arange(len(flat)), {}
+    d = states @ m["c"] + m["cb"]
+    d *= 1 / _exp(d, bounded)[:, None]
+    d[rows, classes] -= 1
+    g["c"], g["cb"], dh = states.T @ d, d.sum(0), d @ m["c"].T
+    d = _member_logits(m, states, cut)
+    d *= 1 / _exp(d, bounded)[:, None]
+    d[rows, members] -= 1
+    g["w"], g["wb"] = np.zeros_like(m["w"]), np.zeros_like(m["wb"])
+    for k in range(CLASSES):
+        a, b = cut[k], cut[k + 1]
+        if a < b:
+            np.matmul(d[a:b].T, states[a:b], out=g["w"][k])
+            g["wb"][k] = d[a:b].sum(0)
+            dh[a:b] += d[a:b] @ m["w"][k]
+    each = np.empty_like(dh)
+    each[order] = dh
+    each = each.reshape(steps, streams, STATE)
+    # what a change of the new state does to the inputs of candidate, update and reset gate
+    to_c = (1 - z) * (1 - c * c)
+    to_z = (before - c) * z * (1 - z)
+    to_r = un * r * (1 - r)
+    dx, du, dh, turned = np.empty_like(gates), np.empty_like(gates), np.zeros((streams, STATE), kind), np.ascontiguousarray(m["u"].T)
+    for t in reversed(range(steps)):
+        dh += each[t]
+        dx[t, :, two:] = dh * to_c[t]
+        dx[t, :, :STATE] = dh * to_z[t]
+        dx[t, :, STATE:two] = dx[t, :, two:] * to_r[t]
+        du[t, :, :two] = dx[t, :, :two]
+        du[t, :, two:] = dx[t, :, two:] * r[t]
+        dh *= z[t]
+        dh += du[t] @ turned
+        dh[begins[t]] = 0
+    dx, came = dx.reshape(-1, 3 * STATE), last.ravel()
+    g["u"], g["b"] = before.reshape(-1, STATE).T @ du.reshape(-1, 3 * STATE), dx.sum(0)
+    order = np.argsort(came.astype(np.int16), kind="stable")
+    found, at = np.unique(came[order], return_index=True)
+    g["x"] = np.add.reduceat(dx[order], at)
+    return g, h, found
 
 
 def train(m: Model, texts: list[np.ndarray]) -> Model:
-    """One pass over whole texts, laid end to end in parallel streams, by Adagrad."""
+    """One pass over whole texts, laid end to end in parallel streams, by Adam with a rate that rises, then falls. What the
+    streams leave over is a last stream of its own. Rows of "x" move when their word occurs."""
     m, flat = {k: v.copy() for k, v in m.items()}, np.concatenate([[END], *texts]).astype(np.int32)
-    streams = max(1, min(STREAMS, (len(flat) - 1) // (2 * STEPS)))
-    length = (len(flat) - 1) // streams
-    last = flat[: streams * length].reshape(streams, length).T
-    ids = flat[1 : streams * length + 1].reshape(streams, length).T
-    h, seen = np.zeros((streams, STATE), np.float32), {k: np.full_like(v, 1e-3) for k, v in m.items()}
-    for at in range(0, length, STEPS):
-        g, h, rows = _gradients(m, last[at : at + STEPS], ids[at : at + STEPS], h)
-        scale = 1 / max(1, ids[at : at + STEPS].size)
-        norm = np.sqrt(sum(float((v * scale).ravel() @ (v * scale).ravel()) for v in g.values()))
-        scale *= min(1.0, CLIP / max(norm, 1e-12))
-        for k, v in g.items():
-            v = v * np.float32(scale)
-            at_rows = rows if k == "x" else slice(None)
-            seen[k][at_rows] += v * v
-            m[k][at_rows] -= np.float32(RATE) * v / np.sqrt(seen[k][at_rows])
+    total = len(flat) - 1
+    streams = max(1, min(STREAMS, total // (WINDOWS * STEPS)))
+    length = total // streams
+    rest = flat[streams * length :, None]
+    parts = [
+        (flat[: streams * length].reshape(streams, length).T, flat[1 : streams * length + 1].reshape(streams, length).T),
+        (rest[:-1], rest[1:]),
+    ]
+    mean, squares = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    n, windows = 0, sum(-(-len(ids) // STEPS) for _, ids in parts)
+    for last, ids in parts:
+        h = np.zeros((ids.shape[1], STATE), np.float32)
+        for at in range(0, len(ids), STEPS):
+            n += 1
+            now = ids[at : at + STEPS]
+            g, h, rows = _gradients(m, last[at : at + STEPS], now, h)
+            # a window counts by its tokens, so that a few left over don't pull like a full one
+            rate = RATE * min(1, n / (WARM * windows)) * max(0.1, 1 - n / windows) * min(1, now.size / (streams * STEPS))
+            rate, even = np.float32(rate / (1 - FADE**n)), np.float32(1 / (1 - FADE_SQUARES**n))
+            for k, v in g.items():
+                v *= np.float32(1 / now.size)
+                some = rows if k == "x" else slice(None)
+                a, b = mean[k][some], squares[k][some]
+                a *= FADE
+                a += (1 - FADE) * v
+                v *= v
+                v *= 1 - FADE_SQUARES
+                b *= FADE_SQUARES
+                b += v
+                if k == "x":
+                    mean[k][some], squares[k][some] = a, b
+                np.sqrt(b * even, out=v)
+                v += 1e-6
+                m[k][some] -= rate * a / v
     return m

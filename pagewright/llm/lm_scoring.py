@@ -29,10 +29,12 @@ from .common import crc_bucket, saved, table
 
 #: Commonest words whose counts travel with the tasks.
 CARRIED = 250_000
-#: One in so many training documents is trained on, in so many rounds.
-SHARE, ROUNDS = 1, 3
+#: Rounds among which the training documents are dealt out.
+ROUNDS = 3
 #: One in so many training documents also chooses among the rounds.
-VALIDATE = 36
+VALIDATE = 150
+#: Numbers of a weight matrix that travel as one block.
+BLOCK = 4096
 #: Different words that a task counts before it passes them on.
 MOST = 300_000
 #: The end of a document among the counts; no word can hold white space.
@@ -88,14 +90,16 @@ def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def _average(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Means of blocks of weights, by tokens."""
+
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         weight = pdf["weight"].to_numpy()
         total = sum(np.frombuffer(v, "<f4") * w for v, w in zip(pdf["value"], weight, strict=True)) / max(weight.sum(), 1)
         first = pdf.iloc[:1].copy()
         first["value"], first["weight"] = [total.astype("<f4").tobytes()], [weight.sum()]
-        return first[["name", "fold", "value", "weight"]]
+        return first[["block", "fold", "value", "weight"]]
 
-    return parts.groupBy(*by).applyInPandas(mean, "name string, fold int, value binary, weight bigint")
+    return parts.groupBy(*by).applyInPandas(mean, "block int, fold int, value binary, weight bigint")
 
 
 def validate(sample: DataFrame, model: gru.Model, ids: dict[bytes, int], round_: int) -> float:
@@ -124,21 +128,27 @@ def train_model(sample: DataFrame, model: gru.Model, ids: dict[bytes, int], roun
             start, known = held.value
             texts = [np.array([*(known.get(w, gru.OTHER) for w in tokens(t)), gru.END], np.int32) for b in batches for t in b.column(0).cast(pa.binary()).to_pylist()]
             if texts:
-                got, weight = gru.train(start, texts), sum(map(len, texts))
+                got, weight = np.concatenate([v.ravel() for v in gru.train(start, texts).values()]), sum(map(len, texts))
+                blocks = [got[at : at + BLOCK].astype("<f4").tobytes() for at in range(0, len(got), BLOCK)]
                 fold = TaskContext.get().partitionId() % folds
-                yield pa.RecordBatch.from_arrays([pa.array(list(got)), pa.array([fold] * len(got), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in got.values()]), pa.array([weight] * len(got), pa.int64())], ["name", "fold", "value", "weight"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(blocks)), pa.int32()), pa.array([fold] * len(blocks), pa.int32()), pa.array(blocks), pa.array([weight] * len(blocks), pa.int64())],
+                    ["block", "fold", "value", "weight"],
+                )
 
-        parts = sample.where(F.col("round") == r).select("text").mapInArrow(run, "name string, fold int, value binary, weight bigint")
-        means = _average(_average(parts, ["name", "fold"]), ["name"]).collect()
+        parts = sample.where(F.col("round") == r).select("text").mapInArrow(run, "block int, fold int, value binary, weight bigint")
+        means = _average(_average(parts, ["block", "fold"]), ["block"]).collect()
         if means:
-            model = {m["name"]: np.frombuffer(m["value"], "<f4").reshape(model[m["name"]].shape).copy() for m in means}
+            whole, at = np.frombuffer(b"".join(bytes(m["value"]) for m in sorted(means, key=lambda m: m["block"])), "<f4"), 0
+            for k, v in model.items():
+                model, at = {**model, k: whole[at : at + v.size].reshape(v.shape).copy()}, at + v.size
             score = validate(sample, model, ids, rounds)
             if score > best_score:
                 best, best_score = model, score
     return best
 
 
-def score_documents(docs: DataFrame, carried: int = CARRIED, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, carried: int = CARRIED, rounds: int = ROUNDS) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``,
     one row per input row.
 
@@ -159,10 +169,10 @@ def score_documents(docs: DataFrame, carried: int = CARRIED, share: int = SHARE,
     by_id[[gru.END, gru.OTHER]] = ends, max(0, total - ends - sum(c for _, c in common[: len(ids)]))
     for w, c in common[: len(ids)]:
         by_id[ids[w]] = c
-    draw = F.expr(f"pmod(xxhash64(doc_id, text, 31), {share * rounds})").cast("int")
+    draw = F.expr(f"pmod(xxhash64(doc_id, text, 31), {rounds})").cast("int")
     check = F.expr(f"pmod(xxhash64(doc_id, text, 37), {VALIDATE}) = 0")
-    wanted = F.array_compact(F.array(F.when(draw < rounds, draw), F.when(check, F.lit(rounds))))
-    sample = saved(train.select("text", F.explode(wanted).alias("round")), "training")
+    wanted = F.array_compact(F.array(draw, F.when(check, F.lit(rounds))))
+    sample = saved(train.select("text", F.explode(wanted).alias("round")), "training", by="round")
     model = train_model(sample, gru.fresh(by_id), ids, rounds)
 
     other_mass = mass - sum(c + 0.5 for _, c in common[: len(ids)]) - (ends + 0.5 if ends else 0)
