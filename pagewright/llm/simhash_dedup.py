@@ -10,6 +10,10 @@ within 3 bits of that member: links are stars around it, verified, never all pai
 
 Before that, the same meeting on the two 32-bit halves (a pair within 3 bits differs by at most 1 in one of
 them) finds the fingerprints that can have a neighbour at all; only those emit 64-bit balls.
+
+``keep_one``, the pipeline's stage, asks for a Jaccard similarity of 0.8 over five-word shingles instead of for
+bits. Balls tie the close copies there, each link verified on whole sets; what lies beyond 3 bits is found by
+an exact join of shingle sets between the components that the balls leave (``shingle_sets.py``).
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingle_sets
 from .common import saved, table
 from .components import components
 
@@ -108,11 +113,56 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     return rows.join(labels, "fp").select("doc_id", F.expr("lpad(lower(hex(fp)), 16, '0')").alias("fingerprint"), "component_id")
 
 
+def _ball_pairs(nodes: DataFrame) -> DataFrame:
+    """``nodes(sig, fp)`` -> pairs ``(a, b)`` of sets: those of one fingerprint with its least, and the least ones
+    of linked fingerprints. Stars again, never all pairs."""
+    first = saved(nodes.groupBy("fp").agg(F.min("sig").alias("head")), "heads")
+    same = nodes.join(first, "fp").where("sig <> head").select(F.col("sig").alias("x"), F.col("head").alias("y"))
+    tied = ball_links(saved(near_fingerprints(first.select("fp")), "near"))
+    head = lambda end, name: first.select(F.col("fp").alias(end), F.col("head").alias(name))
+    other = tied.join(head("a", "x"), "a").join(head("b", "y"), "b").select("x", "y")
+    return same.union(other).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _between(pairs: DataFrame, tied: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` whose ends no path of links ties yet."""
+    root = lambda end: tied.select(F.col("a").alias(end), F.col("b").alias(f"root_{end}"))
+    named = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return named.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+
+
+def similar(docs: DataFrame, k: int = shingle_sets.WORDS, threshold: float = shingle_sets.THRESHOLD) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, component_id)``, one row per input row: components of "Jaccard
+    similarity of k-word shingle sets at least ``threshold``", named by their least doc_id.
+
+    Texts are lower-cased (A-Z) and cut at ASCII white space. Texts without words are copies of each other. A null
+    doc_id names a component only if no other id does (then null). Repeated rows stay. Empty table: no rows. Extra
+    columns are left out.
+    """
+    common = shingle_sets.common_shingles(docs, k)
+    rows = saved(shingle_sets.with_prefixes(docs, common, k, threshold).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
+    # copies fold into one row before anything is emitted
+    one = rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"))
+    nodes = saved(rows.select("rid", "n", "fp", "bits").join(one, "rid"), "nodes")
+    close = shingle_sets.links(docs, nodes, saved(_ball_pairs(nodes.where("n > 0")), "close"), k, threshold)
+    tied = components(close)
+    shared = saved(shingle_sets.meetings(rows.select("rid", "sig", "n", "first").join(nodes.select("rid"), "rid", "left_semi")), "shared")
+    pairs = saved(_between(shingle_sets.candidates(shared, threshold), tied), "pairs")
+    linked = close.union(shingle_sets.links(docs, nodes, pairs, k, threshold))
+    tied = components(linked)
+    more = saved(shingle_sets.still_apart(shared, tied, threshold).join(pairs, ["a", "b"], "left_anti"), "apart")
+    if not more.isEmpty():
+        tied = components(linked.union(shingle_sets.links(docs, nodes, more, k, threshold)))
+    root = nodes.join(tied.select(F.col("a").alias("sig"), F.col("b").alias("root")), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    labels = root.join(root.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
+    return rows.select("doc_id", "sig").join(labels, "sig").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the near-duplicates of a smaller doc_id; all columns and their order stay.
-    Rows repeating a doc_id stay with it; rows without an id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    Null and empty texts are copies of each other. Rows repeating a doc_id stay with it; rows without an id stay.
+    Empty table: no rows. Extra columns stay, whatever their names."""
+    gone = similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
