@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import jaccard_dedup, language_id, mixing, packing, toxicity
+from pagewright.llm import language_id, mixing, packing, simhash_dedup, toxicity
 from pagewright.llm.common import saved, table
 
 
@@ -23,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 over five-word shingles the smallest doc_id stays."""
-    return jaccard_dedup.keep_one(docs)
+    """Of each group linked by a Jaccard similarity of 0.8 over five-word shingles the smallest doc_id stays: close
+    copies are tied by SimHash balls, the rest by an exact join of shingle sets."""
+    return simhash_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", identify_language),
     ("toxicity", drop_toxic),
-    ("Jaccard near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
     ("packing", pack_tokens),
 ]
