@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, table
+from .common import crc_bucket, free_name, table
 
 DIMS = 1 << 13
 #: Rows of a language that its centroids are fitted on, at most, and centroids per language.
@@ -33,6 +33,11 @@ LETTER = re.compile(r"[^\W\d_]")
 TO_SPACE = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a letter occurs; digits and numeric signs such as fractions or circled numbers are none."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text or ""))
+
+
 def counts(text: str | None) -> np.ndarray:
     """Hashed counts of the byte 2- and 3-grams of one text."""
     raw = b" " + b" ".join((text or "").lower().encode("utf-8", "replace").translate(TO_SPACE).split()) + b" "
@@ -97,7 +102,7 @@ def train_model(train: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, np
     return idf, [r["lang"] for r in got], centres, np.array([r["floor"] for r in got]) * FLOOR
 
 
-def predict(docs: DataFrame, model: tuple, text: str = "text", name: str = "_lang") -> DataFrame:
+def predict(docs: DataFrame, model: tuple, name: str, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``name(lang_pred, score, rejected)``."""
     idf, langs, centres, floors = model
     names = sorted(set(langs))
@@ -106,7 +111,7 @@ def predict(docs: DataFrame, model: tuple, text: str = "text", name: str = "_lan
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame({"lang_pred": "und", "score": 0.0, "rejected": True}, index=texts.index)
-        ok = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        ok = [i for i, t in enumerate(texts) if has_letter(t)]
         for s in range(0, len(ok) if langs else 0, 256):
             at = ok[s : s + 256]
             rows = [counts(texts.iloc[i]) for i in at]
@@ -132,18 +137,21 @@ def identify(docs: DataFrame) -> DataFrame:
     Learns from rows that aren't held out (crc32 of the id modulo 3 is not 1; a null id counts as empty
     text) and have a language. A null or empty text, or one without a letter, is ``und`` with score 0 and
     rejected. Other texts always get a learned language; ``rejected`` says that it lies too far from all
-    centroids. Nothing to learn from: all ``und``. Ties go to the first language by name. Empty table: no rows.
+    centroids. Nothing to learn from: all ``und``. Ties go to the first language by name. Whole texts count,
+    however long; repeated rows and null ids stay. Empty table: no rows. Extra columns are left out.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
     model = train_model(rows.where(~held_out()))
-    out = predict(rows.select("doc_id", "text"), model)
+    out = predict(rows.select("doc_id", "text"), model, "_lang")
     return out.select("doc_id", held_out().alias("held_out"), "_lang.lang_pred", "_lang.score", "_lang.rejected")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or rejected; columns as they were."""
-    model = train_model(docs.where(~held_out()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string")))
-    return predict(docs, model).where("not _lang.rejected").select(*docs.columns)
+    """``docs`` without the rows whose language is undetermined or rejected; columns and their order as they were,
+    whatever their names. Null and empty texts and texts without a letter go; repeated rows share one fate; rows
+    without an id are judged like any other. Empty table: no rows."""
+    model, name = train_model(docs.where(~held_out()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))), free_name(docs, "_lang")
+    return predict(docs, model, name).where(~F.col(name)["rejected"]).select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
