@@ -3,9 +3,10 @@
 A source's target is a share of all words by its weight, three times its own words at most, what is over being
 shared anew. A source gives as many complete epochs as its target holds; the rest is a weighted sample
 without replacement: each document draws an exponential key over its quality, and documents are taken in the
-order of the keys until the budget is full. The order is walked in two steps, so that no source's documents
-meet in one task: keys fall into ``slices`` per source, slice totals are prefix-summed, and only the slice in
-which the budget ends is sorted row by row.
+order of the keys until the budget is full. The order is walked in three steps, so that no source's documents
+meet in one task: words are summed by sixteenths of a doubling of the key and prefix-summed, then those of the part
+in which the budget ends once more by ``FINE`` sub-parts, whatever the qualities; only the sub-part in which it
+ends is walked document by document, copies as one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, saved, table
+from .common import BLANKS, free_name, saved, table
+
+#: Parts of a doubling of the key, and sub-parts of a part.
+COARSE, FINE = 16, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -25,14 +29,17 @@ def word_count(text: Column) -> Column:
 
 
 def quality(text: Column, words: Column) -> Column:
-    """Weight in [0.1, 1]: full for words of 3 to 9 characters on average, less the farther from that."""
-    mean = F.length(F.coalesce(text.cast("string"), F.lit(""))) / F.greatest(words, F.lit(1)) - 1
+    """Weight in [0.05, 1]: full for words of 3 to 9 characters on average, less the farther from that; and full where a
+    fifth of the words are different ones, less in proportion where they repeat more."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    mean = F.length(whole) / F.greatest(words, F.lit(1)) - 1
     off = F.greatest(F.lit(3.0) - mean, mean - F.lit(9.0), F.lit(0.0))
-    return F.greatest(F.lit(0.1), 1 / (1 + off))
+    varied = 5.0 * F.size(F.array_distinct(F.split(whole, BLANKS))) / F.greatest(words, F.lit(1))
+    return F.greatest(F.lit(0.05), F.least(F.lit(1.0), varied) / (1 + off))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """``sizes(source, source_size)``, one row per source -> with ``target``. Sources by code point, null
+    """``sizes(source, source_size)``, one row per source -> ``(goal, source_size, target)``, goal the source. Sources by code point, null
     last, weigh 1, 2, 3, repeating. A level common to all uncapped sources makes the targets' sum the sum of
     the sizes; it is found in the order in which sources reach their cap."""
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
@@ -47,66 +54,90 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     # the first source whose cap lies above the level there is the first that stays uncapped
     ranked = stepped.withColumn("r", F.row_number().over(by)).withColumn("s", F.when(F.col("cap") > F.col("level") * F.col("w"), F.struct("r", "level")))
     chosen = F.min("s").over(everything)["level"]
-    return ranked.withColumn("chosen", chosen).select("source", "source_size", F.when(F.col("chosen").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("chosen") * F.col("w"))).alias("target"))
-
-
-def _keyed(docs: DataFrame, slices: int) -> DataFrame:
-    size = word_count(F.col("text"))
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    key = -F.log(u) / F.col("q")
-    return (
-        docs.select("doc_id", "source", "text")
-        .withColumn("size", size)
-        .withColumn("q", quality(F.col("text"), F.col("size")))
-        .withColumn("key", key)
-        .withColumn("slice", F.least(F.lit(slices - 1), F.floor((1 - F.exp(-F.col("key"))) * slices)))
-        .drop("text", "q")
+    return ranked.withColumn("chosen", chosen).select(F.col("source").alias("goal"), "source_size", F.when(F.col("chosen").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("chosen") * F.col("w"))).alias("target"))
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Every row of ``docs`` with its columns ``keep``, and the columns that the mix adds, under free names: source_size,
+    target, size and times (how often the row is taken)."""
+    names = {n: free_name(docs, f"_{n}") for n in ("size", "key", "bin", "sub", "src", "rid", "part", "source_size", "target", "epochs", "budget", "last", "before", "fine", "start", "n", "times", "quality")}
+    c = {k: F.col(v) for k, v in names.items()}
+    # a copy has its original's key: the id and the text decide, not the place
+    seen = F.concat_ws("|", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.col("text").cast("string")).cast("string"))
+    u = (F.conv(F.substring(F.md5(seen), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    scaled = F.log2(c["key"]) * COARSE
+    # a source as a key that is never null
+    keyed = (
+        docs.withColumn(names["size"], word_count(F.col("text")))
+        .withColumn(names["quality"], quality(F.col("text"), c["size"]))
+        .withColumn(names["key"], -F.log(u) / c["quality"])
+        .withColumn(names["src"], F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
+        .withColumn(names["bin"], F.floor(scaled).cast("int"))
+        .withColumn(names["sub"], F.floor((scaled - F.floor(scaled)) * FINE).cast("int"))
+        .withColumn(names["rid"], F.monotonically_increasing_id())
     )
+    keyed = saved(keyed.select(*keep, *(names[n] for n in ("src", "size", "key", "bin", "sub", "rid"))), "mixing")
+    sums = saved(keyed.groupBy(names["src"], names["bin"]).agg(F.sum(c["size"]).alias(names["n"])), "parts")
+    sizes = sums.groupBy(names["src"]).agg(F.sum(c["n"]).alias("source_size"))
+    named = sizes.select(F.expr(f"if({names['src']} = 'null', null, substring({names['src']}, 2))").alias("source"), "source_size", names["src"])
+    goals = named.select("source", names["src"]).join(targets(named.select("source", "source_size"), weights, most), F.expr("source <=> goal")).drop("source", "goal")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
+    goals = goals.select(names["src"], F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), epochs.alias(names["epochs"]), (F.col("target") - epochs * F.col("source_size")).alias(names["budget"]))
+    goals = saved(goals, "goals")
+
+    def ends_in(part: DataFrame, by: str, base: Column, last: str, before: str) -> DataFrame:
+        """The part of each source in which its budget ends, and the words before it."""
+        running = base + F.sum(c["n"]).over(Window.partitionBy(names["src"]).orderBy(by))
+        span = part.withColumn(before, running - c["n"])
+        found = (F.col(before) < c["budget"]) & (F.col(before) + c["n"] >= c["budget"])
+        return span.where(found).select(names["src"], F.col(by).alias(last), before)
+
+    marks = saved(ends_in(sums.join(goals, names["src"]), names["bin"], F.lit(0), names["last"], names["before"]), "marks")
+    inside = keyed.join(marks, names["src"]).where(c["bin"] == c["last"])
+    subs = saved(inside.groupBy(names["src"], names["sub"], names["before"]).agg(F.sum(c["size"]).alias(names["n"])), "sub-parts")
+    fine = saved(ends_in(subs.join(goals, names["src"]), names["sub"], c["before"], names["fine"], names["start"]), "sub-marks")
+    # one row per source; Spark broadcasts it below its size threshold and else joins by shuffle, splitting hot sources
+    whole = goals.join(marks.drop(names["before"]), names["src"], "left").join(fine, names["src"], "left")
+    rows = keyed.join(whole, names["src"])
+    more = F.coalesce(((c["bin"] < c["last"]) | ((c["bin"] == c["last"]) & (c["sub"] < c["fine"]))).cast("int"), F.lit(0))
+    ends_here = F.coalesce((c["bin"] == c["last"]) & (c["sub"] == c["fine"]), F.lit(False))
+    clear = rows.where(~ends_here).withColumn(names["times"], c["epochs"] + more)
+    # copies count as one, by the task that wrote them, so that a crowd of them is never sorted in one task
+    edge = rows.where(ends_here).withColumn(names["part"], F.shiftright(names["rid"], 33))
+    same = [names[n] for n in ("src", "key", "size", "part")]
+    crowds = edge.groupBy(*same).agg(F.count(F.lit(1)).alias(names["n"]))
+    order = Window.partitionBy(names["src"]).orderBy(names["key"], names["size"], names["part"])
+    crowds = crowds.withColumn(names["before"], F.sum(c["n"] * c["size"]).over(order) - c["n"] * c["size"]).drop(names["n"])
+    upto = c["start"] + c["before"] + c["size"] * F.row_number().over(Window.partitionBy(*same).orderBy(names["rid"]))
+    # nearer with than without: the middle of the document lies before the budget's end
+    cut = edge.join(crowds, same).withColumn(names["times"], c["epochs"] + ((upto - c["size"] / 2) <= c["budget"]).cast("int"))
+    out = [*keep, *(names[n] for n in ("size", "source_size", "target", "times"))]
+    return clear.select(*out).union(cut.select(*out)), names
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slices: int = 512) -> DataFrame:
-    """``docs(doc_id, text, source)`` -> ``(doc_id, size, source_size, target, taken)``, one row per input row.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """``docs(doc_id, text, source)`` -> ``(doc_id, size, source_size, target, taken)``, one row per input row, and
+    ``source`` and ``times``.
 
     ``taken`` is size times the number of times the mix takes the document: the source's complete epochs,
     and one more if the document's key comes before the budget is full. The document in which the budget
     ends is taken if that brings the sum nearer to the target. Null and empty texts have size 0 and are taken
-    as 0 words. A null source is a source of its own, the last. Ties of the key (rows repeating a doc_id)
-    are broken by size; equal rows can swap. A corpus without words gives targets of 0. Empty table: no
-    rows. Extra columns are left out.
+    as 0 words; a long text is a document like any other. A null source is a source of its own, the last. Repeated
+    rows have one key and are taken one by one. A corpus without words gives targets of 0. Empty table: no
+    rows. Extra columns are left out. Sources themselves, one row each, are ranked in one task.
     """
-    keyed = saved(_keyed(docs, slices), "mixing")
-    sums = saved(keyed.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
-    goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
-    goals = saved(goals.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "goals")
-    inner = Window.partitionBy("source").orderBy("slice")
-    spans = sums.withColumn("before", F.sum("words").over(inner) - F.col("words"))
-    g, s = goals.alias("g"), spans.alias("s")
-    marks = saved(
-        s.join(g, F.expr("s.source <=> g.source"))
-        .where("s.before < g.budget and s.before + s.words >= g.budget and g.budget > 0")
-        .select(F.col("s.source").alias("source"), F.col("s.slice").alias("last"), "before"),
-        "marks",
-    )
-    plan = goals.alias("g").join(marks.alias("m"), F.expr("g.source <=> m.source"), "left").select("g.*", "m.last", "m.before").withColumnRenamed("source", "_source")
-    # one row per source; Spark broadcasts it below its size threshold and else joins by shuffle, splitting hot sources
-    rows = keyed.join(plan, F.expr("source <=> _source")).drop("_source")
-    edge = rows.where("slice = last")
-    within = Window.partitionBy("source").orderBy("key", "size", "doc_id")
-    upto = F.col("before") + F.sum("size").over(within)
-    # nearer with than without: the middle of the document lies before the budget's end
-    cut = edge.withColumn("more", ((upto - F.col("size") / 2) <= F.col("budget")).cast("int"))
-    clear = rows.where("last is null or slice <> last").withColumn("more", F.coalesce((F.col("slice") < F.col("last")).cast("int"), F.lit(0)))
-    return clear.unionByName(cut).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"), "source", (F.col("epochs") + F.col("more")).alias("times"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, columns as they were."""
-    plan = mix(docs, **options).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("times").alias("_times"))
-    have = docs.withColumn("_words", word_count(F.col("text")))
-    on = F.expr("coalesce(doc_id, -1) = _id and (doc_id is null) = _none and _words = _size and source <=> _source")
-    taken = have.join(plan.where("_times > 0"), on)
-    return taken.withColumn("_copy", F.explode(F.expr("sequence(1L, _times)"))).select(*docs.columns)
+    rows, n = _plan(docs.select("doc_id", "text", "source"), weights, most, ["doc_id", "source"])
+    col = lambda k: F.col(n[k]).alias(k)
+    return rows.select("doc_id", col("size"), col("source_size"), col("target"), (F.col(n["size"]) * F.col(n["times"])).alias("taken"), "source", col("times"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as ``mix`` takes it; columns and their order as they were,
+    whatever their names. Rows without words come with their source's complete epochs or not at all. Repeated rows
+    and null ids are rows of their own. Empty table: no rows."""
+    rows, n = _plan(docs, weights, most, docs.columns)
+    copy = free_name(rows, "_copy")
+    return rows.where(F.col(n["times"]) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n["times"]).cast("int")))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
