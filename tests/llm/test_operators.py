@@ -1,6 +1,5 @@
 import zlib
 
-import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -108,15 +107,6 @@ def test_vector_links_equal_brute_force(spark):
     assert embedding_dedup.near_duplicate_vectors(table.where("false")).count() == 0
 
 
-def test_licenses_equal_sql(spark):
-    duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet' UNION ALL SELECT 900001, 'CC-BY cc by all rights reserved' || chr(10) || 'Released under MIT license', 'en', 's', 9 UNION ALL SELECT 900002, NULL, NULL, NULL, NULL")
-    docs = spark.createDataFrame(duck.sql("SELECT * FROM documents").df().astype(object).where(lambda f: f.notna(), None), "doc_id long, text string, lang string, source string, n_chars long")
-    show = lambda f: sorted(tuple(str(None if pd.isna(v) else float(v) if isinstance(v, (int, float)) else v) for v in r) for r in f.astype(object).itertuples(index=False))
-    a, b = licenses.scan(docs).toPandas(), duck.sql(licenses.SQL).df()
-    assert show(a[sorted(a)]) == show(b[sorted(b)])
-
-
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
