@@ -36,7 +36,7 @@ IDENTITY = [
     ["muslime", "christen", "juden", "musulmans", "chrétiens", "juifs", "musulmanes", "cristianos", "judíos"],
 ]
 #: Labelled rows of each class, and UTF-8 bytes of their texts, in the sample that the classifier is fitted on, on average.
-SAMPLE, SAMPLE_BYTES = 6_000, 64_000_000
+SAMPLE, SAMPLE_BYTES = 3_000, 16_000_000
 #: Weight of the squared weights and of the squared score changes, and steps of the fit.
 RIDGE, PENALTY, STEPS = 1e-4, 5.0, 150
 #: Labels up to this many rows are broadcast; more are joined by shuffle.
@@ -97,9 +97,9 @@ def gathered(sample: DataFrame) -> DataFrame:
 def fit(held: list[np.ndarray], y: np.ndarray, share: np.ndarray, changed: list[tuple[np.ndarray, np.ndarray, int]], penalty: float = PENALTY) -> Model:
     """Weights and intercept by full-gradient Adam. ``held``: feature hashes of each row; ``share`` weighs rows so that
     classes keep their true rates; ``changed``: hashes lost and gained by a swap, and how often it occurs."""
-    col = np.concatenate(held or [np.zeros(0, np.uint64)])
-    known, col = np.unique(col, return_inverse=True)
-    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    known, col = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_inverse=True)
+    col = col.astype(np.int32)
+    row = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
     # log ratio of a feature's rates in toxic and clean rows
     rate = lambda mark: (np.bincount(col, mark[row], len(known)) + 1) / (mark.sum() + 2)
     ratio = np.log(rate(y) / rate(1 - y)) if len(known) else np.zeros(0)
@@ -110,13 +110,13 @@ def fit(held: list[np.ndarray], y: np.ndarray, share: np.ndarray, changed: list[
     sign = np.concatenate([np.zeros(0), *(np.repeat([-1.0, 1.0], [len(a), len(b)]) for a, b, _ in moves)]) * ratio[ccol]
     often = np.array([n for *_, n in moves], float)
     often /= max(1.0, often.sum())
-    n, value = len(known), ratio[col]
+    n = len(known)
     w, b = np.zeros(n), float(np.log((share @ y + 1e-3) / (share @ (1 - y) + 1e-3)))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], len(held)) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, (ratio * w)[col], len(held)) + b, -30, 30)))
         e = share * (p - y)
-        g = np.append(np.bincount(col, value * e[row], n) + 2 * RIDGE * w, e.sum())
+        g = np.append(ratio * np.bincount(col, e[row], n) + 2 * RIDGE * w, e.sum())
         if len(moves):
             d = often * np.bincount(crow, sign * w[ccol], len(moves))
             g[:n] += 2 * penalty * np.bincount(ccol, sign * d[crow], n)
@@ -138,13 +138,13 @@ def train_model(train: DataFrame) -> Model:
     draw = F.expr("pmod(xxhash64(doc_id, text, 29), 1000000)")
     sample = train.where(draw < F.when(F.col("toxic") == 1, 1e6 * share[1]).otherwise(1e6 * share[0])).dropDuplicates(["doc_id", "text"])
     found = saved(gathered(sample), "toxicity")
-    rows = found.where("held is not null").select("toxic", "held").collect()
+    rows = found.where("held is not null").select("toxic", "held").toArrow().to_pydict()
     # as many as ways to leave out or swap a term of the lists
     moves = found.where("lost is not null").groupBy("lost", "gained").agg(F.sum("n").alias("n")).orderBy("lost", "gained").collect()
     as_hashes = lambda x: np.frombuffer(bytes(x), np.uint64)
-    y = np.array([r["toxic"] for r in rows], float)
+    y = np.array(rows["toxic"], float)
     weigh = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum())) / (n[1] + n[0])
-    known, w, b = fit([as_hashes(r["held"]) for r in rows], y, weigh, [(as_hashes(r["lost"]), as_hashes(r["gained"]), r["n"]) for r in moves])
+    known, w, b = fit([as_hashes(h) for h in rows["held"]], y, weigh, [(as_hashes(r["lost"]), as_hashes(r["gained"]), r["n"]) for r in moves])
     kept = np.abs(w) > 1e-4
     return known[kept], w[kept], b
 
