@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, scratch
 
 WORDS, THRESHOLD = 5, 0.8
 #: Documents at a hash up to which every pair is tied, and hubs of hashes that more documents hold.
 PAIRWISE, HUBS = 16, 8
+#: Ids up to this number are broadcast to the texts; more meet them by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Common hashes: of one set in so many, those met so often, so many at most.
 SAMPLE, MET, MOST = 16, 4, 200_000
 
@@ -54,10 +56,20 @@ def simhash(s: np.ndarray) -> int:
 
 
 def bits_of(s: np.ndarray) -> bytes:
-    """A bitmap of 1,024 bits; two sets differ in at least as many hashes as their bitmaps in bits."""
-    on = np.zeros(1024, np.uint8)
-    on[(s & 1023)] = 1
-    return np.packbits(on).tobytes()
+    """A bitmap of four bits or more to a hash, a power of two in all; two sets differ in at least as many hashes as their
+    bitmaps in bits."""
+    width = max(1024, 1 << (4 * len(s) - 1).bit_length())
+    on = np.zeros(width, np.uint8)
+    on[s & (width - 1)] = 1
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two bitmaps; the longer is folded to the length of the shorter first."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _signature(s: np.ndarray) -> int:
@@ -125,7 +137,8 @@ def _ends(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def meetings(prefixes: DataFrame) -> DataFrame:
     """``prefixes(sig, n, first)``, distinct -> ``(key, held, x, hub)`` for every hash that several sets hold."""
-    keyed = prefixes.where("n > 0").select("sig", "n", F.posexplode("first").alias("i", "key"))
+    # dealt out by key before anything is added, so that rows travel short
+    keyed = prefixes.where("n > 0").select("sig", "n", F.posexplode("first").alias("i", "key")).repartition("key")
     # the order of hubs depends on the document and one of few seeds, so that hashes of one group agree on them
     order = F.xxhash64("sig", F.pmod("key", F.lit(HUBS)))
     by = "over (partition by key)"
@@ -152,15 +165,22 @@ def still_apart(shared: DataFrame, tied: DataFrame, threshold: float) -> DataFra
 def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     """``pairs(a, b)`` that meet the threshold: dropped where bitmaps differ in more bits than sets may in hashes, then
     counted on whole sets, which are made again for what is left."""
-    bit = lambda end: nodes.select(F.col("sig").alias(end), F.col("n").alias(f"n{end}"), F.hex("bits").alias(f"bits{end}"))
-    words = [F.bit_count(F.conv(F.substring("bitsa", i, 8), 16, 10).cast("bigint").bitwiseXOR(F.conv(F.substring("bitsb", i, 8), 16, 10).cast("bigint"))) for i in range(1, 256, 8)]
-    apart = sum(words[1:], words[0])
-    may = apart <= (F.col("na") + F.col("nb")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6
-    left = saved(pairs.join(bit("a"), "a").join(bit("b"), "b").where(may).select("a", "b"), "left")
-    ends = left.select(F.col("a").alias("sig")).union(left.select(F.col("b").alias("sig"))).distinct()
-    found = saved(nodes.join(ends, "sig", "left_semi").select("sig", "least"), "ends")
-    again = docs.join(found.select("least").distinct(), F.col("doc_id").cast("bigint").eqNullSafe(F.col("least")), "left_semi")
-    sets = saved(with_shingles(again, k).join(found, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")), "sets")
-    both = left.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
-    n = F.size(F.array_intersect("sa", "sb"))
-    return saved(both.where(n >= (F.size("sa") + F.size("sb") - n) * F.lit(threshold) - 1e-9).select("a", "b"), "links")
+    most = (1 - threshold) / (1 + threshold)
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, x, y = (batch.column(c).to_pylist() for c in ("na", "nb", "bitsa", "bitsb"))
+            fit = [bits_apart(*e) <= (i + j) * most + 1e-6 for i, j, *e in zip(na, nb, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    end = lambda e: nodes.select(F.col("sig").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits{e}"))
+    with scratch(docs.sparkSession) as kept:
+        left = kept(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(may, "a bigint, b bigint"), "left")
+        ends = left.select(F.col("a").alias("sig")).union(left.select(F.col("b").alias("sig"))).distinct()
+        found = kept(nodes.join(ends, "sig", "left_semi").select("sig", "least"), "ends")
+        ids = kept(found.select("least").distinct(), "ids")
+        again = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("least")), "left_semi")
+        sets = kept(with_shingles(again, k).join(found, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")), "sets")
+        both = left.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
+        n = F.size(F.array_intersect("sa", "sb"))
+        return saved(both.where(n >= (F.size("sa") + F.size("sb") - n) * F.lit(threshold) - 1e-9).select("a", "b"), "links")

@@ -12,8 +12,8 @@ Before that, the same meeting on the two 32-bit halves (a pair within 3 bits dif
 them) finds the fingerprints that can have a neighbour at all; only those emit 64-bit balls.
 
 ``keep_one``, the pipeline's stage, asks for a Jaccard similarity of 0.8 over five-word shingles instead of for
-bits. Balls tie the close copies there, each link verified on whole sets; what lies beyond 3 bits is found by
-an exact join of shingle sets between the components that the balls leave (``shingle_sets.py``).
+bits. Balls name the close copies there, an exact join of shingle sets those that lie beyond 3 bits
+(``shingle_sets.py``); every pair is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -124,13 +124,6 @@ def _ball_pairs(nodes: DataFrame) -> DataFrame:
     return same.union(other).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _between(pairs: DataFrame, tied: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` whose ends no path of links ties yet."""
-    root = lambda end: tied.select(F.col("a").alias(end), F.col("b").alias(f"root_{end}"))
-    named = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    return named.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-
-
 def similar(docs: DataFrame, k: int = shingle_sets.WORDS, threshold: float = shingle_sets.THRESHOLD) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, component_id)``, one row per input row: components of "Jaccard
     similarity of k-word shingle sets at least ``threshold``", named by their least doc_id.
@@ -144,11 +137,9 @@ def similar(docs: DataFrame, k: int = shingle_sets.WORDS, threshold: float = shi
     # copies fold into one row before anything is emitted
     one = rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"))
     nodes = saved(rows.select("rid", "n", "fp", "bits").join(one, "rid"), "nodes")
-    close = shingle_sets.links(docs, nodes, saved(_ball_pairs(nodes.where("n > 0")), "close"), k, threshold)
-    tied = components(close)
     shared = saved(shingle_sets.meetings(rows.select("rid", "sig", "n", "first").join(nodes.select("rid"), "rid", "left_semi")), "shared")
-    pairs = saved(_between(shingle_sets.candidates(shared, threshold), tied), "pairs")
-    linked = close.union(shingle_sets.links(docs, nodes, pairs, k, threshold))
+    pairs = saved(_ball_pairs(nodes.where("n > 0")).union(shingle_sets.candidates(shared, threshold)).distinct(), "pairs")
+    linked = shingle_sets.links(docs, nodes, pairs, k, threshold)
     tied = components(linked)
     more = saved(shingle_sets.still_apart(shared, tied, threshold).join(pairs, ["a", "b"], "left_anti"), "apart")
     if not more.isEmpty():
