@@ -97,7 +97,7 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, keep: list[str])
     subs = saved(inside.groupBy(names["src"], names["sub"], names["before"]).agg(F.sum(c["size"]).alias(names["n"])), "sub-parts")
     fine = saved(ends_in(subs.join(goals, names["src"]), names["sub"], c["before"], names["fine"], names["start"]), "sub-marks")
     # one row per source; Spark broadcasts it below its size threshold and else joins by shuffle, splitting hot sources
-    whole = goals.join(marks.drop(names["before"]), names["src"], "left").join(fine, names["src"], "left")
+    whole = saved(goals.join(marks.drop(names["before"]), names["src"], "left").join(fine, names["src"], "left"), "plan")
     rows = keyed.join(whole, names["src"])
     more = F.coalesce(((c["bin"] < c["last"]) | ((c["bin"] == c["last"]) & (c["sub"] < c["fine"]))).cast("int"), F.lit(0))
     ends_here = F.coalesce((c["bin"] == c["last"]) & (c["sub"] == c["fine"]), F.lit(False))
