@@ -9,22 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import language_id, mixing, packing, simhash_dedup, toxicity
-from pagewright.llm.common import saved, table
+from pagewright.llm.common import saved, short_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or too far from every known language, go."""
+    short_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    short_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 over five-word shingles the smallest doc_id stays: close
     copies are tied by SimHash balls, the rest by an exact join of shingle sets."""
+    short_batches(spark)
     return simhash_dedup.keep_one(docs)
 
 
@@ -35,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 1,024."""
+    short_batches(spark)
     return packing.pack(docs)
 
 
