@@ -26,7 +26,6 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
