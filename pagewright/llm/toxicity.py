@@ -36,7 +36,7 @@ IDENTITY = [
     ["muslime", "christen", "juden", "musulmans", "chrétiens", "juifs", "musulmanes", "cristianos", "judíos"],
 ]
 #: Labelled rows of each class, and UTF-8 bytes of their texts, in the sample that the classifier is fitted on, on average.
-SAMPLE, SAMPLE_BYTES = 3_000, 16_000_000
+SAMPLE, SAMPLE_BYTES = 1_500, 8_000_000
 #: Weight of the squared weights and of the squared score changes, and steps of the fit.
 RIDGE, PENALTY, STEPS = 1e-4, 5.0, 150
 #: Labels up to this many rows are broadcast; more are joined by shuffle.
