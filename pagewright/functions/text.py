@@ -48,7 +48,7 @@ def simple_stem(word: Column) -> Column:
 
 
 def truncate_text(text: Column, most: int) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
 
 
 def extract_emails(text: Column) -> Column:

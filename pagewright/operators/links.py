@@ -13,10 +13,10 @@ from .flags import is_bad
 
 
 def status_map(index: DataFrame, docs: DataFrame) -> DataFrame:
-    """Statuses of two sources by url, the second winning; each has (site, url, status)."""
-    a = index.groupBy("site", "url").agg(F.max("status").alias("i"))
-    b = docs.groupBy("site", "url").agg(F.max("status").alias("d"))
-    return a.join(b, ["site", "url"], "full").select("site", "url", F.coalesce("d", "i").alias("status"))
+    """Statuses of two sources by url, the second winning; each has (site, url, status, page_id). Within a source the last
+    page, by page_id, wins."""
+    last = lambda df, name: df.groupBy("site", "url").agg(F.max_by("status", "page_id").alias(name))
+    return last(index, "i").join(last(docs, "d"), ["site", "url"], "full").select("site", "url", F.coalesce("d", "i").alias("status"))
 
 
 def broken_internal_links(links: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import clean_text, plain, truncate_text, word_count
+from pagewright.functions.text import clean_text, plain, word_count
 from pagewright.functions.urls import FILE, drop_fragment, is_internal, resolve_url, url_host
 
 #: Content of an element: text and other tags up to one that starts like the closing one. Text is taken in whole
@@ -61,7 +61,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     links = F.transform("anchors", lambda a: F.struct(drop_fragment(resolve_url(a["href"], F.col("url"))).alias("href"), a["label"].alias("label")))
     wide = raw.withColumn("links", links).withColumn("text", F.array_join("paragraphs", " "))
     h1 = F.filter("headings", lambda h: h["tag"] == "h1")
-    first = F.when(F.size("paragraphs") > 0, truncate_text(F.element_at("paragraphs", 1), 200))
+    paragraph = F.element_at("paragraphs", 1)
+    first = F.when(F.size("paragraphs") > 0, F.when(F.length(paragraph) > 200, F.concat(F.left(paragraph, F.lit(200)), F.lit("..."))).otherwise(paragraph))
     return wide.select(
         "page_id", "url", "site", "title", "headings", "paragraphs", "text", "links", "images", "metas", "jsonld", "content_length_bytes",
         F.when(F.size(h1) > 0, F.element_at(h1, 1)["text"]).alias("h1"),

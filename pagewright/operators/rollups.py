@@ -16,24 +16,25 @@ def text_hash(title: Column, text: Column) -> Column:
     return F.sha1(F.concat(title, F.lit("\n"), F.left(text, F.lit(2000))).cast("binary"))
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """Groups of texts equal in their first 2,000 characters: hash, size and first id. Map-side combined."""
-    return docs.groupBy(F.sha1(F.left(F.coalesce("text", F.lit("")), F.lit(2000)).cast("binary")).alias("hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+def exact_duplicates(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """Groups of equal texts: hash, size and first id; of texts equal in their first ``most`` characters on request.
+    Map-side combined."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.sha1((text if most is None else F.left(text, F.lit(most))).cast("binary")).alias("hash")
+    return docs.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
 def simhash64(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> (doc_id, simhash): the low 64 bits of md5 of each word vote on each bit.
-
-    Words of a document are counted before the bits are summed, so a hot word costs one row a document.
-    """
-    words = docs.select("doc_id", F.explode(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")).alias("w"))
-    hashed = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.conv(F.right(F.md5(F.col("w").cast("binary")), F.lit(16)), 16, -10).cast("bigint"))
-    votes = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)]
-    bits = hashed.groupBy("doc_id").agg(*votes)
+    """``docs(doc_id, text)`` -> (doc_id, simhash) for each row: the low 64 bits of md5 of each word vote on each bit.
+    A row's value depends on its own text alone, so nothing is shuffled."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    hashes = F.transform(words, lambda w: F.conv(F.right(F.md5(w.cast("binary")), F.lit(16)), 16, -10).cast("bigint"))
+    rows = docs.select("doc_id", hashes.alias("h"))
     value = F.lit(0).cast("bigint")
     for i in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return docs.select("doc_id").distinct().join(bits.select("doc_id", value.alias("simhash")), "doc_id", "left").select("doc_id", F.coalesce("simhash", F.lit(0).cast("bigint")).alias("simhash"))
+        votes = F.expr(f"size(filter(h, x -> getbit(x, {i}) = 1))")
+        value = value.bitwiseOR(F.when(votes * 2 > F.size("h"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    return rows.select("doc_id", value.alias("simhash"))
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:

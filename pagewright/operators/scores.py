@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import clamp_0_100
+from pagewright.functions.text import clamp_0_100, extract_emails, extract_phones
 
 
 def minus(*rules: tuple[Column, int]) -> Column:
@@ -25,10 +25,10 @@ def site_counts(flags: DataFrame, broken: DataFrame) -> DataFrame:
     return rows.groupBy("site").agg(
         F.count(F.lit(1)).alias("pages"), c("missing_title").alias("no_title"), c("missing_description").alias("no_description"), c("missing_h1").alias("no_h1"), c(F.col("broken") > 0).alias("broken_pages"),
         c(F.col("missing_alt") > 0).alias("alt_pages"), c("noindex").alias("noindex_pages"), c("no_viewport").alias("no_viewport_pages"), c("mixed_content").alias("mixed_pages"), c("deep_url").alias("deep_pages"), c("bad").alias("bad_pages"),
-        c(F.col("thin") == "very_thin").alias("very_thin"), c(F.col("thin") == "thin").alias("thin_pages"), c(important).alias("important"), F.avg(F.when(important, F.col("words"))).alias("avg_words_important"), F.avg("words").alias("avg_words"),
+        c(important & (F.col("thin") == "very_thin")).alias("very_thin"), c(important & (F.col("thin") == "thin")).alias("thin_pages"), c(~important & F.col("thin").isNotNull()).alias("low_text"), c(important).alias("important"), F.avg(F.when(important, F.col("words"))).alias("avg_words_important"), F.avg("words").alias("avg_words"),
         F.avg("load_time_ms").alias("avg_load"), F.percentile("load_time_ms", F.lit(0.9)).alias("p90_load"), c(load > 1500).alias("slow"), c(load > 3000).alias("very_slow"), (F.max("content_length_bytes") / 1024).alias("max_kb"),
         F.max("nav_links").alias("nav_links"), F.sum("n_internal").alias("internal"), c(F.col("n_internal") > 0).alias("linked_pages"), (c(F.col("url").startswith("https://")) > 0).alias("https"),
-        (F.max(F.length("footer_text")) > 0).alias("footer"), F.sum("n_headings").alias("headings"), c((F.col("n_headings") > 0) | (F.col("title") != "")).alias("headed_pages"), F.sum(F.col("words")).alias("words"),
+        (F.max(F.size(extract_emails(F.col("footer_text"))) + F.size(extract_phones(F.col("footer_text")))) > 0).alias("footer"), F.sum("broken").alias("broken_links"), (c(F.col("url").startswith("http://")) > 0).alias("http"), F.sum("n_headings").alias("headings"), c((F.col("n_headings") > 0) | (F.col("title") != "")).alias("headed_pages"), F.sum(F.col("words")).alias("words"),
     )
 
 
@@ -59,7 +59,7 @@ def site_scores(counts: DataFrame, robots: bool = True, sitemap: bool = True) ->
     """
     n = F.col("pages")
     r = lambda c: F.col(c) / n
-    i = lambda c: F.when(F.col("important") > 0, F.col(c) / F.col("important")).otherwise(0.0)
+    i = lambda c: F.col(c) / F.when(F.col("important") > 0, F.col("important")).otherwise(n)
     seo = minus(
         (r("no_title") >= 0.1, 10), (r("no_title") > 0.3, 10), (r("no_description") >= 0.1, 10), (r("no_description") > 0.3, 10), (r("no_h1") >= 0.1, 5), (r("no_h1") > 0.3, 10),
         (F.col("broken_pages") > 0, 5), (F.col("broken_pages") > 10, 10), (r("alt_pages") >= 0.3, 10), ((r("alt_pages") >= 0.1) & (r("alt_pages") < 0.3), 5), ((F.col("alt_pages") > 0) & (r("alt_pages") < 0.1), 2),
@@ -79,23 +79,53 @@ def site_scores(counts: DataFrame, robots: bool = True, sitemap: bool = True) ->
     return rows.withColumn("overall", F.bround(four / 4).cast("int")).drop("c", "s")
 
 
-#: Issue id, category, count column, and the share of pages above which it is of high severity.
-ISSUES = [
-    ("missing_title", "seo", "no_title", 0.2), ("missing_description", "seo", "no_description", 0.2), ("missing_h1", "seo", "no_h1", 2.0), ("broken_links", "structure", "broken_pages", 0.0), ("missing_alt", "seo", "alt_pages", 2.0),
-    ("noindex", "seo", "noindex_pages", 2.0), ("no_viewport", "structure", "no_viewport_pages", 2.0), ("mixed_content", "structure", "mixed_pages", 0.0), ("deep_urls", "structure", "deep_pages", 2.0), ("error_pages", "structure", "bad_pages", 0.0),
-    ("very_thin_content", "content", "very_thin", 0.1), ("thin_content", "content", "thin_pages", 2.0), ("slow_pages", "performance", "slow", 2.0), ("very_slow_pages", "performance", "very_slow", 0.0),
-]
-
-
-def site_issues(counts: DataFrame) -> DataFrame:
-    """One row per site and issue that any page shows."""
-    each = F.array(*[F.struct(F.lit(i).alias("issue"), F.lit(c).alias("category"), F.col(n).alias("affected"), F.when(F.col(n) / F.col("pages") > high, "high").otherwise("medium").alias("severity")) for i, c, n, high in ISSUES])
+def issue_rules(robots: bool = True, sitemap: bool = True) -> list[tuple[str, str, Column, Column]]:
+    """Issue, category, pages affected (0: the issue isn't there) and severity. Issues of the site as a whole affect no
+    single page and count all of them."""
+    n, col = F.col("pages"), F.col
+    always = F.lit
+    graded = lambda name, share, above, below: F.when(col(name) / n > share, above).otherwise(below)
+    whole = lambda found: F.when(found, n).otherwise(0)
+    words = F.coalesce("avg_words_important", "avg_words")
+    return [
+        ("missing_title", "seo", col("no_title"), graded("no_title", 0.2, "high", "medium")),
+        ("missing_description", "seo", col("no_description"), graded("no_description", 0.2, "high", "medium")),
+        ("missing_h1", "seo", col("no_h1"), graded("no_h1", 0.1, "medium", "low")),
+        ("missing_alt", "seo", col("alt_pages"), always("medium")),
+        ("noindex", "seo", col("noindex_pages"), always("medium")),
+        ("no_robots", "seo", whole(F.lit(not robots)), always("low")),
+        ("no_sitemap", "seo", whole(F.lit(not sitemap)), always("low")),
+        ("very_thin_content", "content", col("very_thin"), always("high")),
+        ("thin_content", "content", col("thin_pages"), always("medium")),
+        ("low_text_catalog", "content", col("low_text"), always("low")),
+        ("low_average_words", "content", whole((words < 200) & (col("important") > 0)), always("low")),
+        ("slow_average", "performance", whole(col("avg_load") > 2000), always("high")),
+        ("slow_p90", "performance", whole(col("p90_load") > 3000), always("high")),
+        ("very_slow_pages", "performance", col("very_slow"), always("high")),
+        ("slow_pages", "performance", col("slow"), always("medium")),
+        ("heavy_page", "performance", whole(col("max_kb") > 1500), always("medium")),
+        ("no_navigation", "structure", whole(col("nav_links") == 0), always("high")),
+        ("no_footer_contact", "structure", whole(~col("footer")), always("medium")),
+        ("deep_urls", "structure", F.when(col("deep_pages") > n * 0.2, col("deep_pages")).otherwise(0), always("low")),
+        ("http_only", "structure", whole(col("http") & ~col("https")), always("high")),
+        ("mixed_content", "structure", F.when(col("https"), col("mixed_pages")).otherwise(0), always("medium")),
+        ("no_viewport", "structure", col("no_viewport_pages"), always("medium")),
+        ("broken_links", "structure", col("broken_pages"), F.when(col("broken_links") > 10, "high").otherwise("medium")),
+        ("error_pages", "structure", col("bad_pages"), always("high")),
+    ]
+
+
+def site_issues(counts: DataFrame, robots: bool = True, sitemap: bool = True) -> DataFrame:
+    """One row per site and issue that it shows."""
+    rules = issue_rules(robots, sitemap)
+    each = F.array(*[F.struct(F.lit(i).alias("issue"), F.lit(c).alias("category"), hit.cast("bigint").alias("affected"), grade.alias("severity")) for i, c, hit, grade in rules])
     return counts.select("site", "pages", F.explode(each).alias("i")).select("site", "pages", "i.*").where("affected > 0")
 
 
 def top_issues(issues: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` gravest issues of each site: by severity, then pages affected, then name."""
-    order = Window.partitionBy("site").orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), F.desc("affected"), "issue")
+    grade = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    order = Window.partitionBy("site").orderBy(grade, F.desc("affected"), "issue")
     return issues.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -111,14 +141,23 @@ def comparison_rows(scores: DataFrame, primary: str) -> DataFrame:
     return rows.select("site", "metric", "primary_value", F.col("value").alias("competitor_value"), gap.alias("difference"), verdict.alias("verdict"))
 
 
-def opportunities(stats: DataFrame, primary: str) -> DataFrame:
-    """Gaps of the primary site against the range of all others (``site_stats``)."""
-    one = stats.where(F.col("site") == primary)
-    rest = stats.where(F.col("site") != primary).agg(F.max("words").alias("max_words"), F.min("avg_load").alias("min_load"), F.min("p90_load").alias("min_p90"), F.avg("avg_words").alias("mean_words"), F.max("pages").alias("max_pages"), F.min("max_kb").alias("min_kb"))
-    both = one.crossJoin(F.broadcast(rest))  # one row by one row
+def opportunities(stats: DataFrame, scores: DataFrame, primary: str) -> DataFrame:
+    """Gaps of the primary site against all others (``site_stats``, ``site_scores``); no row without another site."""
+    measures = ["words", "avg_load", "p90_load", "avg_words", "media", "max_kb", "bad_pages", "pages"]
+    grades = ["overall", "seo", "performance", "structure"]
+    rows = stats.select("site", *measures).join(scores.select("site", *grades), "site")
+    one = rows.where(F.col("site") == primary).select(F.col("site").alias("mine"), *[F.col(c).alias(f"p_{c}") for c in (*measures, *grades)])
+    both = rows.where(F.col("site") != primary).crossJoin(F.broadcast(one))  # one row
+    p, col = lambda c: F.col(f"p_{c}"), F.col
+    ratio = col("words") / p("words")
     rules = [
-        ("words", F.col("max_words") > 1.2 * F.col("words")), ("load", F.col("avg_load") > 1.2 * F.col("min_load")), ("p90", F.col("p90_load") > 1.2 * F.col("min_p90")),
-        ("avg_words", F.col("avg_words") < 0.8 * F.col("mean_words")), ("pages", F.col("pages") < 0.7 * F.col("max_pages")), ("page_size", F.col("max_kb") > 1.5 * F.col("min_kb")), ("errors", F.col("bad_pages") > 0),
+        ("words_by_half", F.bool_or(ratio > 1.5)), ("words_by_a_fifth", F.bool_or((ratio > 1.2) & (ratio <= 1.5))),
+        ("load", F.first(p("avg_load")) > 1.2 * F.min("avg_load")), ("p90", F.first(p("p90_load")) > 1.3 * F.min("p90_load")),
+        *[(c, F.first(p(c)) < F.max(c) - 10) for c in grades],
+        ("avg_words", F.first(p("avg_words")) < 0.8 * F.max("avg_words")), ("pages", F.first(p("pages")) < 0.7 * F.max("pages")),
+        ("media", F.first(p("media")) < 0.7 * F.max("media")), ("errors", F.first(p("bad_pages")) > F.max("bad_pages")),
+        ("page_size", F.first(p("max_kb")) > 1.5 * F.avg("max_kb")),
     ]
-    found = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]))
-    return both.select("site", F.explode(found).alias("opportunity"))
+    found = both.groupBy(F.col("mine").alias("site")).agg(*[rule.alias(name) for name, rule in rules])
+    names = F.array_compact(F.array(*[F.when(F.col(name), F.lit(name)) for name, _ in rules]))
+    return found.select("site", F.explode(names).alias("opportunity"))

@@ -113,7 +113,7 @@ ORACLES = {
     "error_rollup": f"{_F} SELECT site, status, errors, errors * 100 / pages AS rate FROM (SELECT site, status, count(*) AS errors FROM flog WHERE status IN (404, 410) OR status BETWEEN 500 AND 599 GROUP BY ALL) JOIN (SELECT site, count(*) AS pages FROM flog GROUP BY site) USING (site)",
     "block_pages": f"""{_F}, r AS (SELECT page_id, CASE WHEN status IN (403, 409, 423, 429, 503) THEN 'http_status_' || status WHEN regexp_matches(lower(left(html, 4096)), 'robot or human|are you a robot|bot detection|captcha|unusual traffic|access denied') THEN 'captcha_content' END AS reason
         FROM pages JOIN flog USING (page_id)) SELECT * FROM r WHERE reason IS NOT NULL""",
-    "status_map": f"{_F} SELECT site, url, max(status) AS status FROM flog GROUP BY ALL",
+    "status_map": f"{_F} SELECT site, url, arg_max(status, page_id) AS status FROM flog GROUP BY ALL",
     "broken_internal_links": f"{_ALL} SELECT * FROM bad_links",
     "uncrawled_links": f"{_ALL} SELECT site, href, count(*) AS links FROM links WHERE kind = 'internal' AND href NOT IN (SELECT url FROM flog) GROUP BY ALL",
     "pages_with_broken": f"{_ALL} SELECT site, url FROM flog WHERE url IN (SELECT url FROM bad_links)",
@@ -121,7 +121,7 @@ ORACLES = {
         SELECT DISTINCT site, url, (SELECT count(*) FROM e WHERE src = url) AS out_degree, (SELECT count(*) FROM e WHERE dst = url) AS in_degree FROM flog""",
     "nav_rollup": f"""{_P_}, n AS (SELECT site, href, count(*) AS frequency, max(label) AS label FROM links WHERE kind = 'internal' AND label <> '' GROUP BY ALL HAVING count(*) > 1)
         SELECT *, row_number() OVER (PARTITION BY site ORDER BY frequency DESC, href)::INT AS rank FROM n QUALIFY rank <= 20""",
-    "exact_duplicates": "SELECT * FROM (SELECT sha1(left(coalesce(text, ''), 2000)) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1) WHERE copies > 1",
+    "exact_duplicates": "SELECT * FROM (SELECT sha1(coalesce(text, '')) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1) WHERE copies > 1",
     "simhash64": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS w FROM documents),
         h AS (SELECT doc_id, w, count(*) AS n, ('0x' || right(md5(w), 16))::UBIGINT AS h FROM w GROUP BY ALL),
         v AS (SELECT doc_id, i, sum(CASE WHEN (h >> i::UBIGINT) & 1 = 1 THEN n ELSE -n END) AS s FROM h, (SELECT unnest(range(64)) AS i) GROUP BY ALL),

@@ -85,7 +85,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "error_rollup": lambda t: fetches.error_rollup(t.fetch),
     "crawl_quality": lambda t: fetches.crawl_quality(t.flags, t.broken),
     "block_pages": lambda t: t.pages.join(t.fetch.select("page_id", "status"), "page_id").select("page_id", parse.classify_block_page(F.col("status"), F.col("html")).alias("reason")).where("reason is not null"),
-    "status_map": lambda t: links.status_map(t.fetch, t.fetch.where("page_id % 2 = 0")),
+    "status_map": lambda t: links.status_map(t.fetch, t.flags.select("site", "url", "status", "page_id")),
     "broken_internal_links": lambda t: links.broken_internal_links(t.links, t.fetch),
     "uncrawled_links": lambda t: links.uncrawled_links(t.links, t.fetch),
     "pages_with_broken": lambda t: links.pages_with_broken(t.fetch.select("site", "url"), t.broken),
@@ -96,7 +96,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "site_issues": lambda t: scores.site_issues(t.counts),
     "top_issues": lambda t: scores.top_issues(scores.site_issues(t.counts)),
     "comparison_rows": lambda t: scores.comparison_rows(scores.site_scores(t.counts), _first_site(t)),
-    "opportunities": lambda t: scores.opportunities(t.stats, _first_site(t)),
+    "opportunities": lambda t: scores.opportunities(t.stats, scores.site_scores(t.counts), _first_site(t)),
     "phrase_scores": lambda t: keywords.phrase_scores(t.parsed),
     "focus_keywords": lambda t: keywords.focus_keywords(t.parsed),
     "keyword_metrics": _keyword_metrics,
