@@ -65,11 +65,6 @@ def crc_bucket(col: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z only; null becomes empty."""
-    return F.translate(F.coalesce(col, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't use, for operators that keep a caller's extra columns."""
     taken, name = {c.lower() for c in df.columns}, stem
