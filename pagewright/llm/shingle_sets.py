@@ -6,13 +6,15 @@ Fingerprints within 3 bits stand for similarities of about 0.95 and more; pairs
 Shingles are 64-bit hashes, ordered by value, the commonest last. Two sets within the threshold share one of the
 first |s| - ceil(threshold x |s|) + 1 hashes of each (prefix filter), so documents meet in a shuffle on those. A hash
 that few documents hold ties all of them pair by pair. One that many hold ties each to one of few hubs, and then those
-that all links have left outside the largest component there to all others, so that no pair is lost. Sizes and places
-in both orders drop pairs that cannot reach the threshold; the rest are counted exactly.
+that all links have left outside the largest component there are compared with all others block by block, so that no pair
+is lost and none below the threshold becomes a row. Sizes and places in both orders drop other pairs that cannot reach
+the threshold; the rest are counted exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -25,6 +27,8 @@ from .common import saved, scratch
 WORDS, THRESHOLD = 5, 0.8
 #: Documents at a hash up to which every pair is tied, and hubs of hashes that more documents hold.
 PAIRWISE, HUBS = 16, 8
+#: Sets and hashes in one block of a group compared block by block, and hashes compared at a time there.
+BLOCK, BLOCK_HASHES, COLUMNS = 256, 2_000_000, 4_096
 #: Ids up to this number are broadcast to the texts; more meet them by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Common hashes: of one set in so many, those met so often, so many at most.
@@ -153,13 +157,69 @@ def candidates(shared: DataFrame, threshold: float) -> DataFrame:
     return _ends(pairs.union(shared.where(F.col("held") > PAIRWISE).select("x", F.col("hub").alias("y"))), threshold)
 
 
-def still_apart(shared: DataFrame, tied: DataFrame, threshold: float) -> DataFrame:
-    """Pairs at hashes that many hold and whose ends no link has tied: all but the largest component there, against all."""
-    many = shared.where(F.col("held") > PAIRWISE).select("key", "x", F.col("x.sig").alias("sig"))
-    named = saved(many.join(tied.select(F.col("a").alias("sig"), F.col("b").alias("root")), "sig", "left").select("key", "x", F.coalesce("root", "sig").alias("root")), "many")
-    largest = named.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = named.join(largest, "key").where("root <> main").select("key", F.col("x").alias("y"), F.col("root").alias("other"))
-    return _ends(named.join(rest, "key").where("root <> other").select("x", "y"), threshold)
+def still_apart(docs: DataFrame, nodes: DataFrame, shared: DataFrame, tied: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` at hashes that many hold and whose ends no link has tied: all but the largest component there,
+    against all. Hashes of one hub count as one group. Groups are compared in blocks of bounded size, and only pairs whose
+    halved hashes overlap enough leave a block; rows grow with a group's size times its number of blocks."""
+    many = shared.where(F.col("held") > PAIRWISE).select(F.col("hub.sig").alias("hub"), F.col("x.sig").alias("sig"), F.col("x.n").alias("n")).distinct()
+    roots = tied.select(F.col("a").alias("sig"), F.col("b").alias("root"))
+    with scratch(docs.sparkSession) as kept:
+        named = kept(many.join(roots, "sig", "left").select("hub", "sig", "n", F.coalesce("root", "sig").alias("root")), "many")
+        parts = named.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+        groups = parts.groupBy("hub").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "root", "n")).alias("top"), F.count(F.lit(1)).alias("parts"))
+        blocks = lambda m, n: F.ceil(F.least(m, F.greatest(m / BLOCK, n / BLOCK_HASHES))).cast("int")
+        sizes = groups.where("parts > 1").select("hub", "main", blocks(F.col("m"), F.col("n")).alias("wide"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("high"))
+        there = kept(named.join(sizes, "hub"), "there")
+        own = lambda of: F.pmod(F.xxhash64("sig"), F.col(of)).cast("int")
+        each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        all_of = there.select("hub", own("wide").alias("i"), each("high").alias("j"), "sig", "n", "root", F.lit(False).alias("rest"))
+        rest = there.where("root <> main").select("hub", each("wide").alias("i"), own("high").alias("j"), "sig", "n", "root", F.lit(True).alias("rest"))
+        sets = whole_sets(docs, nodes, there.select("sig").distinct(), k, kept)
+        halves = kept(sets.select("sig", F.expr("transform(s, h -> cast(shiftright(h, 32) as int))").alias("s")), "halves")
+
+        def near(t: pa.Table) -> pa.Table:
+            return _near_in_block(t, threshold)
+
+        met = all_of.union(rest).join(halves, "sig").groupBy("hub", "i", "j").applyInArrow(near, "a bigint, b bigint")
+        return saved(met.distinct(), "apart")
+
+
+def _near_in_block(t: pa.Table, threshold: float) -> pa.Table:
+    """Rows of ``rest`` against the others of one block, by the overlap of their halved hashes, which is the overlap of
+    the hashes but for those that fall together in a set; these are allowed for."""
+    sig, n, root, rest = (t.column(c).to_numpy() for c in ("sig", "n", "root", "rest"))
+    s = t.column("s").combine_chunks()
+    at = np.repeat(np.arange(len(sig)), s.value_lengths().to_numpy())
+    values, code = np.unique(s.flatten().to_numpy(), return_inverse=True)
+    # once per set, and only what several rows hold
+    once = np.unique(at * np.int64(max(len(values), 1)) + code)
+    at, code = np.divmod(once, max(len(values), 1))
+    joint = n - np.bincount(at, minlength=len(sig))
+    several = np.bincount(code, minlength=len(values)) > 1
+    at, code = at[several[code]], np.cumsum(several)[code[several[code]]] - 1
+    x, y = np.flatnonzero(~rest), np.flatnonzero(rest)
+    over = np.zeros((len(y), len(x)), np.float32)
+    order = np.argsort(code, kind="stable")
+    at, code = at[order], code[order]
+    for start in range(0, int(several.sum()), COLUMNS):
+        i, j = np.searchsorted(code, (start, start + COLUMNS))
+        held = np.zeros((len(sig), COLUMNS), np.float32)
+        held[at[i:j], code[i:j] - start] = 1
+        over += held[y] @ held[x].T
+    over += np.minimum(joint[y][:, None], joint[x][None, :])
+    fit = over >= (n[y][:, None] + n[x][None, :]) * (threshold / (1 + threshold)) - 1e-3
+    i, j = np.nonzero(fit & (root[y][:, None] != root[x][None, :]))
+    a, b = sig[y[i]], sig[x[j]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, sigs: DataFrame, k: int, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``(sig, s)`` of ``sigs(sig)``, distinct: their sets, made again from one text each."""
+    name = uuid.uuid4().hex
+    found = kept(nodes.join(sigs, "sig", "left_semi").select("sig", "least"), f"found-{name}")
+    ids = kept(found.select("least").distinct(), f"ids-{name}")
+    again = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("least")), "left_semi")
+    return kept(with_shingles(again, k).join(found, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")), f"sets-{name}")
 
 
 def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -177,10 +237,7 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, threshold
     with scratch(docs.sparkSession) as kept:
         left = kept(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(may, "a bigint, b bigint"), "left")
         ends = left.select(F.col("a").alias("sig")).union(left.select(F.col("b").alias("sig"))).distinct()
-        found = kept(nodes.join(ends, "sig", "left_semi").select("sig", "least"), "ends")
-        ids = kept(found.select("least").distinct(), "ids")
-        again = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("least")), "left_semi")
-        sets = kept(with_shingles(again, k).join(found, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")), "sets")
+        sets = whole_sets(docs, nodes, ends, k, kept)
         both = left.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
         n = F.size(F.array_intersect("sa", "sb"))
         return saved(both.where(n >= (F.size("sa") + F.size("sb") - n) * F.lit(threshold) - 1e-9).select("a", "b"), "links")

@@ -141,7 +141,7 @@ def similar(docs: DataFrame, k: int = shingle_sets.WORDS, threshold: float = shi
     pairs = saved(_ball_pairs(nodes.where("n > 0")).union(shingle_sets.candidates(shared, threshold)).distinct(), "pairs")
     linked = shingle_sets.links(docs, nodes, pairs, k, threshold)
     tied = components(linked)
-    more = saved(shingle_sets.still_apart(shared, tied, threshold).join(pairs, ["a", "b"], "left_anti"), "apart")
+    more = saved(shingle_sets.still_apart(docs, nodes, shared, tied, k, threshold).join(pairs, ["a", "b"], "left_anti"), "apart")
     if not more.isEmpty():
         tied = components(linked.union(shingle_sets.links(docs, nodes, more, k, threshold)))
     root = nodes.join(tied.select(F.col("a").alias("sig"), F.col("b").alias("root")), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
