@@ -13,7 +13,6 @@ the threshold; the rest are counted exactly.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from math import ceil
 
@@ -28,7 +27,9 @@ WORDS, THRESHOLD = 5, 0.8
 #: Documents at a hash up to which every pair is tied, and hubs of hashes that more documents hold.
 PAIRWISE, HUBS = 16, 8
 #: Sets and hashes in one block of a group compared block by block, and hashes compared at a time there.
-BLOCK, BLOCK_HASHES, COLUMNS = 256, 2_000_000, 4_096
+BLOCK, BLOCK_HASHES, COLUMNS = 512, 2_000_000, 4_096
+#: Hashes of a set up to which 16 bits of each tell sets apart well enough there.
+LONG = 4_096
 #: Ids up to this number are broadcast to the texts; more meet them by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Common hashes: of one set in so many, those met so often, so many at most.
@@ -160,7 +161,7 @@ def candidates(shared: DataFrame, threshold: float) -> DataFrame:
 def still_apart(docs: DataFrame, nodes: DataFrame, shared: DataFrame, tied: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` at hashes that many hold and whose ends no link has tied: all but the largest component there,
     against all. Hashes of one hub count as one group. Groups are compared in blocks of bounded size, and only pairs whose
-    halved hashes overlap enough leave a block; rows grow with a group's size times its number of blocks."""
+    shortened hashes overlap enough leave a block; rows grow with a group's size times its number of blocks."""
     many = shared.where(F.col("held") > PAIRWISE).select(F.col("hub.sig").alias("hub"), F.col("x.sig").alias("sig"), F.col("x.n").alias("n")).distinct()
     roots = tied.select(F.col("a").alias("sig"), F.col("b").alias("root"))
     with scratch(docs.sparkSession) as kept:
@@ -174,23 +175,24 @@ def still_apart(docs: DataFrame, nodes: DataFrame, shared: DataFrame, tied: Data
         each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
         all_of = there.select("hub", own("wide").alias("i"), each("high").alias("j"), "sig", "n", "root", F.lit(False).alias("rest"))
         rest = there.where("root <> main").select("hub", each("wide").alias("i"), own("high").alias("j"), "sig", "n", "root", F.lit(True).alias("rest"))
-        sets = whole_sets(docs, nodes, there.select("sig").distinct(), k, kept)
-        halves = kept(sets.select("sig", F.expr("transform(s, h -> cast(shiftright(h, 32) as int))").alias("s")), "halves")
+        short = whole_sets(docs, nodes, there.select("sig").distinct(), with_short_shingles, k, kept)
 
         def near(t: pa.Table) -> pa.Table:
             return _near_in_block(t, threshold)
 
-        met = all_of.union(rest).join(halves, "sig").groupBy("hub", "i", "j").applyInArrow(near, "a bigint, b bigint")
+        met = all_of.union(rest).join(short, "sig").groupBy("hub", "i", "j").applyInArrow(near, "a bigint, b bigint")
         return saved(met.distinct(), "apart")
 
 
 def _near_in_block(t: pa.Table, threshold: float) -> pa.Table:
-    """Rows of ``rest`` against the others of one block, by the overlap of their halved hashes, which is the overlap of
-    the hashes but for those that fall together in a set; these are allowed for."""
+    """Rows of ``rest`` against the others of one block, by the overlap of their shortened hashes: at least that of the
+    hashes but for those that fall together in a set, which are allowed for."""
     sig, n, root, rest = (t.column(c).to_numpy() for c in ("sig", "n", "root", "rest"))
-    s = t.column("s").combine_chunks()
-    at = np.repeat(np.arange(len(sig)), s.value_lengths().to_numpy())
-    values, code = np.unique(s.flatten().to_numpy(), return_inverse=True)
+    sets = [np.frombuffer(s, np.int32 if m > LONG else np.int16) for s, m in zip(t.column("s").to_pylist(), n.tolist(), strict=True)]
+    if n.min() <= LONG:
+        sets = [s.astype(np.int16) for s in sets]
+    at = np.repeat(np.arange(len(sig)), [len(s) for s in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
     # once per set, and only what several rows hold
     once = np.unique(at * np.int64(max(len(values), 1)) + code)
     at, code = np.divmod(once, max(len(values), 1))
@@ -213,13 +215,27 @@ def _near_in_block(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, sigs: DataFrame, k: int, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """``(sig, s)`` of ``sigs(sig)``, distinct: their sets, made again from one text each."""
-    name = uuid.uuid4().hex
-    found = kept(nodes.join(sigs, "sig", "left_semi").select("sig", "least"), f"found-{name}")
-    ids = kept(found.select("least").distinct(), f"ids-{name}")
+def with_short_shingles(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """``(sig, s)`` of every row: one hash of all, and 16 bits of each hash, or 32 in sets of more than ``LONG``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig, short = [], []
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                v = shingles(t, k)
+                sig.append(_signature(v))
+                short.append((v >> 32).astype(np.int32 if len(v) > LONG else np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(short, pa.binary())], ["sig", "s"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "sig bigint, s binary")
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, sigs: DataFrame, made: Callable[[DataFrame, int], DataFrame], k: int, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``(sig, s)`` of ``sigs(sig)``, distinct: their sets, ``made`` again from one text each."""
+    found = kept(nodes.join(sigs, "sig", "left_semi").select("sig", "least"), "found")
+    ids = kept(found.select("least").distinct(), "ids")
     again = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("least")), "left_semi")
-    return kept(with_shingles(again, k).join(found, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")), f"sets-{name}")
+    return kept(made(again, k).join(found, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")), "sets")
 
 
 def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -237,7 +253,7 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, threshold
     with scratch(docs.sparkSession) as kept:
         left = kept(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(may, "a bigint, b bigint"), "left")
         ends = left.select(F.col("a").alias("sig")).union(left.select(F.col("b").alias("sig"))).distinct()
-        sets = whole_sets(docs, nodes, ends, k, kept)
+        sets = whole_sets(docs, nodes, ends, with_shingles, k, kept)
         both = left.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
         n = F.size(F.array_intersect("sa", "sb"))
         return saved(both.where(n >= (F.size("sa") + F.size("sb") - n) * F.lit(threshold) - 1e-9).select("a", "b"), "links")
