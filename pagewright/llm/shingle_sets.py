@@ -27,7 +27,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: Documents at a hash up to which every pair is tied, and hubs of hashes that more documents hold.
 PAIRWISE, HUBS = 16, 8
 #: Sets and hashes in one block of a group compared block by block, and hashes compared at a time there.
-BLOCK, BLOCK_HASHES, COLUMNS = 512, 2_000_000, 4_096
+BLOCK, BLOCK_HASHES, COLUMNS = 128, 2_000_000, 4_096
 #: Hashes of a set up to which 16 bits of each tell sets apart well enough there.
 LONG = 4_096
 #: Ids up to this number are broadcast to the texts; more meet them by shuffle.
@@ -160,10 +160,12 @@ def candidates(shared: DataFrame, threshold: float) -> DataFrame:
 
 def still_apart(docs: DataFrame, nodes: DataFrame, shared: DataFrame, tied: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` at hashes that many hold and whose ends no link has tied: all but the largest component there,
-    against all. Hashes of one hub count as one group. Groups are compared in blocks of bounded size, and only pairs whose
+    against all. Hashes whose hubs are tied count as one group. Groups are compared in blocks of bounded size, and only pairs whose
     shortened hashes overlap enough leave a block; rows grow with a group's size times its number of blocks."""
     many = shared.where(F.col("held") > PAIRWISE).select(F.col("hub.sig").alias("hub"), F.col("x.sig").alias("sig"), F.col("x.n").alias("n")).distinct()
     roots = tied.select(F.col("a").alias("sig"), F.col("b").alias("root"))
+    # hubs of one component count as one, so that pairs which share many hashes meet there once
+    many = many.join(tied.select(F.col("a").alias("hub"), F.col("b").alias("top")), "hub", "left").select(F.coalesce("top", "hub").alias("hub"), "sig", "n").distinct()
     with scratch(docs.sparkSession) as kept:
         named = kept(many.join(roots, "sig", "left").select("hub", "sig", "n", F.coalesce("root", "sig").alias("root")), "many")
         parts = named.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
