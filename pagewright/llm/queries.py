@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, licenses, lm_scoring, mixing, nearest, packing, sharding, simhash_dedup, toxicity
+from . import embedding_dedup, language_id, lexical, licenses, lm_scoring, mixing, nearest, packing, sharding, simhash_dedup, toxicity
 
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_nearest_neighbours": nearest.op8_nearest_neighbours,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op12_lexical_search": lexical.op12_lexical_search,
 }
 
-ORACLES = {"op7_license_scan": licenses.SQL}
+ORACLES = {"op7_license_scan": licenses.SQL, "op12_lexical_search": lexical.SQL}
