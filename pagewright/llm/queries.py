@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, lexical, licenses, lm_scoring, mixing, nearest, packing, sharding, simhash_dedup, toxicity
+from . import alignment, embedding_dedup, language_id, lexical, licenses, lm_scoring, mixing, nearest, packing, sharding, simhash_dedup, toxicity
 
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
     "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 
 ORACLES = {"op7_license_scan": licenses.SQL, "op12_lexical_search": lexical.SQL}
