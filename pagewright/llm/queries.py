@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, embedding_dedup, language_id, lexical, licenses, lm_scoring, mixing, nearest, packing, sharding, simhash_dedup, toxicity
+from . import alignment, embedding_dedup, language_id, lexical, licenses, lm_scoring, main_text, mixing, nearest, packing, sharding, simhash_dedup, toxicity
 
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_nearest_neighbours": nearest.op8_nearest_neighbours,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op11_main_text": main_text.op11_main_text,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
