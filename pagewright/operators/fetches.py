@@ -79,7 +79,7 @@ def site_stats(flags: DataFrame) -> DataFrame:
         n.alias("pages"), F.sum("words").alias("words"), F.avg("words").alias("avg_words"), F.sum("n_images").alias("media"), F.sum("n_links").alias("links"), F.sum("n_internal").alias("internal_links"),
         F.avg("load_time_ms").alias("avg_load"), F.median("load_time_ms").alias("median_load"), q(0.9).alias("p90_load"), q(0.95).alias("p95_load"),
         F.count_if(load > 1500).alias("slow"), F.count_if(load > 3000).alias("very_slow"),
-        (F.avg("content_length_bytes") / 1024).alias("avg_kb"), (F.max("content_length_bytes") / 1024).alias("max_kb"), F.count_if("bad").alias("bad_pages"),
+        (F.avg("content_length_bytes") / 1024).alias("avg_kb"), (F.max("content_length_bytes") / 1024).alias("max_kb"), F.count_if("bad").alias("bad_pages"), F.count_if(F.col("status") >= 400).alias("error_pages"),
         share(F.col("missing_title")).alias("missing_title"), share(F.col("missing_h1")).alias("missing_h1"),
     )
 

@@ -50,7 +50,8 @@ def is_bad(status: Column) -> Column:
 
 def page_flags(parsed: DataFrame, fetch: DataFrame) -> DataFrame:
     """``parse_pages`` joined with the fetch log on url: features, type and every per-page check."""
-    log = fetch.select("url", "status", "load_time_ms", "render_mode").dropDuplicates(["url"])
+    fetched = F.max_by(F.struct("status", "load_time_ms", "render_mode"), F.col("page_id"))  # the last fetch of a URL
+    log = fetch.groupBy("url").agg(fetched.alias("f")).select("url", "f.*")
     rows = parsed.join(log, "url", "left").withColumn("cards", product_cards(F.col("n_images"), F.col("n_internal"))).withColumn("bad", F.coalesce(is_bad(F.col("status")), F.lit(False)))
     typed = rows.withColumn("page_type", infer_page_type(F.col("url"), F.col("words"), F.size("paragraphs"), F.size("headings"), F.col("cards")))
     insecure = F.exists("links", lambda x: x["href"].startswith("http://")) | F.exists("images", lambda i: i["src"].startswith("http://"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.sources.shared import written
+
 from .flags import is_bad
 
 
@@ -52,29 +50,16 @@ def link_degree(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select("site", "url", zero("out_degree"), zero("in_degree"))
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read again, so that rounds don't stack up."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        where = os.path.join(tempfile.gettempdir(), f"pagewright-{os.getuid()}")
-    path = f"{where.rstrip('/')}/links-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def reachable_within(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     """``starts(site, url)`` -> every page within ``max_depth`` links of its site's start, with its depth.
 
     One equi-join and one anti-join a hop; the loop ends when a hop finds nothing new.
     """
-    seen = _shared(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)))
+    seen = written(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)), "links")
     frontier = seen
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, (edges.src == frontier.url) & (edges.site == frontier.site)).select(edges.site, F.col("dst").alias("url")).distinct()
-        frontier = _shared(step.join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = written(step.join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(depth)), "links")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

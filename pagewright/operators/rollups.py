@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.simhash import majority_bits, word_hashes
 from pagewright.functions.text import extract_emails, extract_phones, wordcount_bucket
 
 
@@ -26,15 +27,8 @@ def exact_duplicates(docs: DataFrame, most: int | None = None) -> DataFrame:
 
 def simhash64(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, simhash) for each row: the low 64 bits of md5 of each word vote on each bit.
-    A row's value depends on its own text alone, so nothing is shuffled."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.conv(F.right(F.md5(w.cast("binary")), F.lit(16)), 16, -10).cast("bigint"))
-    rows = docs.select("doc_id", hashes.alias("h"))
-    value = F.lit(0).cast("bigint")
-    for i in range(64):
-        votes = F.expr(f"size(filter(h, x -> getbit(x, {i}) = 1))")
-        value = value.bitwiseOR(F.when(votes * 2 > F.size("h"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return rows.select("doc_id", value.alias("simhash"))
+    A row's value depends on its own text alone, so nothing is shuffled, and its words are counted in one pass."""
+    return docs.select("doc_id", word_hashes(F.col("text")).alias("h")).select("doc_id", majority_bits(F.col("h")).alias("simhash"))
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:

@@ -143,19 +143,18 @@ def comparison_rows(scores: DataFrame, primary: str) -> DataFrame:
 
 def opportunities(stats: DataFrame, scores: DataFrame, primary: str) -> DataFrame:
     """Gaps of the primary site against all others (``site_stats``, ``site_scores``); no row without another site."""
-    measures = ["words", "avg_load", "p90_load", "avg_words", "media", "max_kb", "bad_pages", "pages"]
+    measures = ["words", "avg_load", "p90_load", "avg_words", "media", "max_kb", "error_pages", "pages"]
     grades = ["overall", "seo", "performance", "structure"]
     rows = stats.select("site", *measures).join(scores.select("site", *grades), "site")
     one = rows.where(F.col("site") == primary).select(F.col("site").alias("mine"), *[F.col(c).alias(f"p_{c}") for c in (*measures, *grades)])
     both = rows.where(F.col("site") != primary).crossJoin(F.broadcast(one))  # one row
     p, col = lambda c: F.col(f"p_{c}"), F.col
-    ratio = col("words") / p("words")
     rules = [
-        ("words_by_half", F.bool_or(ratio > 1.5)), ("words_by_a_fifth", F.bool_or((ratio > 1.2) & (ratio <= 1.5))),
+        ("words_by_half", F.bool_or(col("words") > 1.5 * p("words"))), ("words_by_a_fifth", F.bool_or((col("words") > 1.2 * p("words")) & (col("words") <= 1.5 * p("words")))),
         ("load", F.first(p("avg_load")) > 1.2 * F.min("avg_load")), ("p90", F.first(p("p90_load")) > 1.3 * F.min("p90_load")),
         *[(c, F.first(p(c)) < F.max(c) - 10) for c in grades],
         ("avg_words", F.first(p("avg_words")) < 0.8 * F.max("avg_words")), ("pages", F.first(p("pages")) < 0.7 * F.max("pages")),
-        ("media", F.first(p("media")) < 0.7 * F.max("media")), ("errors", F.first(p("bad_pages")) > F.max("bad_pages")),
+        ("media", F.first(p("media")) < 0.7 * F.max("media")), ("errors", F.first(p("error_pages")) > F.max("error_pages")),
         ("page_size", F.first(p("max_kb")) > 1.5 * F.avg("max_kb")),
     ]
     found = both.groupBy(F.col("mine").alias("site")).agg(*[rule.alias(name) for name, rule in rules])

@@ -89,10 +89,54 @@ _ARTICLES = rf"""articles AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-
         {_plain("regexp_extract(b, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS content FROM (SELECT *, regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS b FROM pages)))"""
 _KINDS = f"kinds AS (SELECT site, url, kind FROM parsed, (VALUES {', '.join(f"('{k}', '{w}')" for k, w in KINDS.items())}) v(kind, named_by) WHERE regexp_matches(lower(url || chr(10) || title), named_by))"
 
+def _sim(texts: str) -> str:
+    """Common table expressions ``sim`` and ``reps`` of texts given as (id, site, text)."""
+    return rf"""tx AS ({texts}), sw AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) AS w FROM tx),
+sh AS (SELECT id, w, count(*) AS n, ('0x' || right(md5(w), 16))::UBIGINT AS h FROM sw GROUP BY ALL),
+sv AS (SELECT id, i, sum(CASE WHEN (h >> i::UBIGINT) & 1 = 1 THEN n ELSE -n END) AS s FROM sh, (SELECT unnest(range(64)) AS i) GROUP BY ALL),
+sb AS (SELECT id, sum(CASE WHEN s > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << i::INT) END ELSE 0 END)::BIGINT AS simhash FROM sv GROUP BY id),
+sim AS (SELECT tx.id, tx.site, coalesce(simhash, 0) AS simhash FROM tx LEFT JOIN sb USING (id)), reps AS (SELECT site, simhash, min(id) AS first, count(*) AS members FROM sim GROUP BY ALL)"""
+
+
+_SIM_DOCS = _sim("SELECT doc_id AS id, source AS site, text FROM documents WHERE text <> ''")
+_SIM_PAGES = _sim("SELECT p.page_id AS id, p.site, p.title || chr(10) || left(coalesce(pt.text, ''), 1000) AS text FROM parsed p LEFT JOIN pt USING (page_id) WHERE trim(p.title || coalesce(pt.text, '')) <> ''")
+_NEAR = "bit_count(xor({a}, {b})) <= 12"
+_CLAIMS = r"""claims AS (SELECT site, 'Name' AS field, title AS value, url FROM flags WHERE title <> '' UNION ALL SELECT site, 'Tagline', description, url FROM flags WHERE description <> ''),
+by_source AS (SELECT site, field, value, url, count(*) AS n FROM claims GROUP BY ALL),
+facts AS (SELECT site, 'Business' AS category, 'Profile' AS subcategory, field, 'text' AS type, value, 0.8::DOUBLE AS confidence, sum(n)::BIGINT AS mentions, count(*) AS sources, array_to_string(list_sort(list(url))[1:3], ' ') AS first_sources
+    FROM by_source GROUP BY site, field, value),
+truth AS (SELECT *, row_number() OVER (PARTITION BY site, field ORDER BY sources DESC, mentions DESC, value) = 1 AS chosen FROM facts)"""
+_OVERRIDES = """kinds AS (SELECT ['article', 'landing', 'catalog', 'product', 'media_gallery', 'contact', 'utility', 'generic', 'homepage'] AS k),
+overrides AS (SELECT page_id, k[page_id % 9 + 1] AS page_type, DATE '2024-01-01' + (page_id % 20)::INT AS set_at, 0 AS seq FROM pages, kinds WHERE page_id % 4 = 1
+    UNION ALL SELECT page_id, k[(page_id + 3) % 9 + 1], DATE '2024-01-05' + (page_id % 15)::INT, 1 FROM pages, kinds WHERE page_id % 6 = 1),
+valid AS (SELECT page_id, set_at, arg_max(page_type, seq) AS page_type FROM overrides WHERE page_type <> 'homepage' GROUP BY ALL)"""
+_ARRIVALS = r"""arrivals AS (SELECT site AS run, page_id, 1700000000 + page_id % 997 AS t, title, CASE WHEN p = '' THEN '/' ELSE p END AS path, url, status, words, n_images AS media, load_time_ms, content_length_bytes,
+        CASE WHEN page_id % 2 = 0 THEN page_type END AS page_type FROM (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS p FROM flags)),
+    both_times AS (SELECT * FROM arrivals UNION ALL SELECT * REPLACE (t + 3600 AS t, 304 AS status, NULL AS page_type) FROM arrivals WHERE page_id % 3 = 0)"""
+
 ORACLES = {
+    "near_duplicate_pairs": f"WITH {_SIM_DOCS} SELECT a.site, least(a.first, b.first) AS a, greatest(a.first, b.first) AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM reps a JOIN reps b ON a.site IS NOT DISTINCT FROM b.site AND a.first < b.first AND {_NEAR.format(a='a.simhash', b='b.simhash')}",
+    "near_duplicate_members": f"WITH {_SIM_DOCS} SELECT s.site, s.id, r.first FROM sim s JOIN reps r ON s.site IS NOT DISTINCT FROM r.site AND s.simhash = r.simhash",
+    "dedup_greedy": f"""WITH RECURSIVE {_SIM_DOCS}, o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY id) AS i FROM sim),
+        g AS (SELECT site, i, id, [simhash] AS held, true AS kept FROM o WHERE i = 1 UNION ALL
+            SELECT site, i, id, CASE WHEN near THEN held ELSE list_append(held, simhash) END, NOT near FROM (SELECT o.*, g.held, len(list_filter(g.held, lambda k: {_NEAR.format(a='k', b='o.simhash')})) > 0 AS near FROM g JOIN o ON o.site IS NOT DISTINCT FROM g.site AND o.i = g.i + 1))
+        SELECT site, id, kept FROM g""",
+    "unique_content_ratio": f"""{_P_}, {_SIM_PAGES} SELECT site, sum(members)::BIGINT AS pages, count(*) FILTER (WHERE NOT later) AS unique_pages, count(*) FILTER (WHERE NOT later) / sum(members) * 100 AS unique_ratio
+        FROM (SELECT *, EXISTS (SELECT 1 FROM reps b WHERE b.site = a.site AND b.first < a.first AND {_NEAR.format(a='a.simhash', b='b.simhash')}) AS later FROM reps a) GROUP BY site""",
+    "truth_table": f"{_ALL}, {_CLAIMS} SELECT * FROM truth",
+    "confident_claims": f"{_ALL}, {_CLAIMS} SELECT * FROM truth WHERE confidence > 0.5 AND confidence <= 0.8",
+    "confidence_summary": f"""{_ALL}, {_CLAIMS} SELECT site, count(*) AS total, count(*) FILTER (WHERE confidence > 0.8) AS high, count(*) FILTER (WHERE confidence > 0.5 AND confidence <= 0.8) AS medium, count(*) FILTER (WHERE confidence <= 0.5) AS low,
+        round(avg(confidence), 2) AS average, count(*) FILTER (WHERE NOT chosen) AS contradicted, count(*) FILTER (WHERE category = 'Business') AS business, count(*) FILTER (WHERE category = 'Assets') AS assets FROM truth GROUP BY site""",
+    "override_page_type": f"""{_ALL}, {_OVERRIDES} SELECT p.page_id, coalesce(v.page_type, p.page_type) AS page_type, p.page_type AS inferred_type, strftime(v.set_at, '%Y-%m-%d') AS set_at, v.page_type IS NOT NULL AS overridden
+        FROM (SELECT *, DATE '2024-01-15' AS run_at FROM flags) p ASOF LEFT JOIN valid v ON p.page_id = v.page_id AND p.run_at >= v.set_at""",
+    "page_index": f"""{_ALL}, {_ARRIVALS}, l AS (SELECT run, page_id, arg_max(b, t) AS v, min(t) AS first, count(*) AS n FROM both_times b GROUP BY ALL)
+        SELECT run, page_id, v.title AS title, v.path AS path, v.url AS url, v.status::INT AS status, v.words AS words, v.media AS media, v.load_time_ms AS load_time_ms, v.content_length_bytes AS content_length_bytes,
+        CASE WHEN n = 1 THEN coalesce(v.page_type, 'generic') ELSE v.page_type END AS page_type, row_number() OVER (PARTITION BY run ORDER BY first, page_id)::INT AS position FROM l""",
+    "recent_blocks": "SELECT user_id AS site, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS rank, event_id, ts, '/' || event_id AS url FROM events WHERE event_type = 'error' QUALIFY rank <= 10",
+    "active_blocks": "SELECT user_id AS site, event_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAYS PRECEDING AND CURRENT ROW) AS active FROM events WHERE event_type = 'error'",
     "site_stats": f"""{_ALL} SELECT site, count(*) AS pages, sum(words)::BIGINT AS words, avg(words) AS avg_words, sum(n_images)::BIGINT AS media, sum(n_links)::BIGINT AS links, sum(n_internal)::BIGINT AS internal_links,
         avg(load_time_ms) AS avg_load, median(load_time_ms) AS median_load, quantile_cont(load_time_ms, 0.9) AS p90_load, quantile_cont(load_time_ms, 0.95) AS p95_load, count(*) FILTER (WHERE load_time_ms > 1500) AS slow, count(*) FILTER (WHERE load_time_ms > 3000) AS very_slow,
-        avg(content_length_bytes) / 1024 AS avg_kb, max(content_length_bytes) / 1024 AS max_kb, count(*) FILTER (WHERE bad) AS bad_pages, count(*) FILTER (WHERE missing_title) / count(*) AS missing_title, count(*) FILTER (WHERE missing_h1) / count(*) AS missing_h1 FROM flags GROUP BY site""",
+        avg(content_length_bytes) / 1024 AS avg_kb, max(content_length_bytes) / 1024 AS max_kb, count(*) FILTER (WHERE bad) AS bad_pages, count(*) FILTER (WHERE status >= 400) AS error_pages, count(*) FILTER (WHERE missing_title) / count(*) AS missing_title, count(*) FILTER (WHERE missing_h1) / count(*) AS missing_h1 FROM flags GROUP BY site""",
     "url_functions": r"""SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS host, CASE WHEN p = '' THEN '/' ELSE p END AS path, len(list_filter(string_split(p, '/'), lambda s: s <> ''))::INT AS segments,
         split_part(url, '#', 1) AS light, left(md5(url), 12) AS pid FROM (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS p FROM pages)""",
     "parse_pages": f"{_P_} SELECT page_id, site, title, h1, description, words::INT AS words, n_links::INT AS n_links, n_internal::INT AS n_internal, n_images::INT AS n_images, nav_links::INT AS nav_links, n_paragraphs::INT AS n_paragraphs, n_headings::INT AS n_headings FROM parsed",
@@ -127,7 +171,7 @@ ORACLES = {
         v AS (SELECT doc_id, i, sum(CASE WHEN (h >> i::UBIGINT) & 1 = 1 THEN n ELSE -n END) AS s FROM h, (SELECT unnest(range(64)) AS i) GROUP BY ALL),
         b AS (SELECT doc_id, sum(CASE WHEN s > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << i::INT) END ELSE 0 END)::BIGINT AS simhash FROM v GROUP BY doc_id)
         SELECT d.doc_id, coalesce(simhash, 0) AS simhash FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN b USING (doc_id)""",
-    "rollup_emails": r"""SELECT source, count(DISTINCT email) AS emails, count(*) AS mentions FROM (SELECT source, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}', 0))) AS email FROM documents) GROUP BY source""",
+    "rollup_emails": r"""SELECT source, count(DISTINCT email) AS emails, count(*) AS mentions FROM (SELECT source, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b', 0))) AS email FROM documents) GROUP BY source""",
     "rollup_wordcounts": f"""{_P_} SELECT site, CASE WHEN words < 100 THEN '0-99' WHEN words < 500 THEN '100-499' WHEN words < 1000 THEN '500-999' WHEN words < 2000 THEN '1000-1999' WHEN words < 5000 THEN '2000-4999' ELSE '5000+' END AS bucket,
         count(*) AS pages, avg(words) AS avg_words, min(words)::INT AS min_words, max(words)::INT AS max_words FROM parsed GROUP BY ALL""",
     "rollup_top_paths": f"""{_F}, p AS (SELECT site, array_to_string(string_split(url, '/')[1:4], '/') AS path, count(*) AS pages FROM flog GROUP BY ALL)
@@ -141,7 +185,7 @@ ORACLES = {
         SELECT page_id, site, pos::INT AS pos, level, CASE WHEN level = 2 THEN last_value(CASE WHEN level = 1 THEN href END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) END AS parent, href, label
         FROM n QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1""",
     "footer_contacts": rf"""{_P_}, f AS (SELECT page_id, site, {_plain("regexp_extract(body, '(?s)<footer[^>]*>(.*?)</footer>', 1)")} AS t FROM body)
-        SELECT page_id, site, nullif(regexp_extract(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}', 0), '') AS email,
+        SELECT page_id, site, nullif(regexp_extract(t, '[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}\b', 0), '') AS email,
         nullif(concat({', '.join(f"regexp_extract(t, '{_FOOTER_PHONE}', {i})" for i in (1, 2, 3, 4))}), '') AS phone FROM f""",
     "business_pages": f"{_P_}, {_KINDS} SELECT * FROM kinds",
     "extract_items": f"""{_P_}, {_KINDS} SELECT site, kind, left(md5(left(md5(f.url), 12) || '_' || f.text), 8) AS item_id, f.text AS title, 0.8::DOUBLE + CASE WHEN length(f.text) > 10 THEN 0.1::DOUBLE ELSE 0 END AS confidence, f.url AS url

@@ -3,36 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
 from pagewright.functions import urls as U
-from pagewright.operators import articles, entities, fetches, flags, keywords, links, parse, regions, rollups, scores
+from pagewright.operators import articles, claims, crawl, entities, fetches, flags, keywords, links, overrides, parse, regions, rollups, scores
+from pagewright.operators import near_duplicates as near
 from pagewright.plans.oracles import ORACLES  # noqa: F401
 from pagewright.sources import files
+from pagewright.sources.shared import written
+from pagewright.streaming import blocks, index
 from pagewright.streaming import fetches as stream
 
 
 class Tables:
     """The driver's tables and what is derived from them, built lazily."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, parse_once: bool = False) -> None:
+        self.spark, self.dir, self.parse_once, self._parsed = spark, sf_dir, parse_once, None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     pages = property(lambda s: files.read_pages(s.spark, f"{s.dir}/pages.parquet"))
     docs = property(lambda s: s.read("documents"))
-    parsed = property(lambda s: parse.parse_pages(s.pages))
+
+    @property
+    def parsed(self) -> DataFrame:
+        """The parsed pages; for queries that read them several times a table of the shared folder."""
+        if self._parsed is None:
+            rows = parse.parse_pages(self.pages)
+            self._parsed = written(rows, "parsed") if self.parse_once else rows
+        return self._parsed
+
     fetch = property(lambda s: fetches.fetch_log(s.pages))
     samples = property(lambda s: fetches.samples(s.fetch))
     flags = property(lambda s: flags.page_flags(s.parsed, s.fetch))
     links = property(lambda s: parse.page_links(s.parsed))
     broken = property(lambda s: links.broken_by_page(s.links, s.fetch))
-    counts = property(lambda s: scores.site_counts(s.flags, s.broken))
+    unique = property(lambda s: near.unique_content_ratio(written(near.fingerprints(near.page_content(s.parsed)), "prints")))
+    prints = property(lambda s: written(near.fingerprints(s.docs.select(F.col("source").alias("site"), F.col("doc_id").alias("id"), "text")), "prints"))
+
+    @property
+    def counts(self) -> DataFrame:
+        rows = scores.site_counts(self.flags, self.broken).join(self.unique.select("site", "unique_ratio"), "site", "left")
+        return rows.withColumn("unique_ratio", F.coalesce("unique_ratio", F.lit(100.0)))
+
     stats = property(lambda s: fetches.site_stats(s.flags))
     edges = property(lambda s: links.link_edges(s.links))
 
@@ -62,6 +81,34 @@ def _reachable(t: Tables) -> DataFrame:
     return links.reachable_within(t.edges, starts)
 
 
+def _crawl_order(t: Tables) -> DataFrame:
+    starts = t.pages.select(U.url_host(F.col("url")).alias("site"), U.drop_fragment(F.col("url")).alias("url"))
+    return crawl.crawl_order(written(crawl.ordered_edges(t.links), "edges"), starts)
+
+
+def _claims(t: Tables) -> DataFrame:
+    parsed = t.parsed
+    items = [claims.claims(entities.extract_items(parsed, (k,)), "Business", f"{k.title()}s", F.col("title"), F.col("title"), F.col("confidence"), k) for k in ("service", "product", "team")]
+    places = claims.claims(entities.extract_locations(parsed), "Business", "Locations", F.col("name"), "address", F.col("confidence"), "location")
+    return reduce(DataFrame.unionByName, [claims.profile_claims(t.flags), *items, places, claims.media_claims(parse.page_images(parsed))])
+
+
+def _overrides(t: Tables) -> DataFrame:
+    """Page types as users would have set them, by arithmetic on page_id: two rounds in January 2024, some after the run of
+    the 15th, some of no known type."""
+    kinds = F.array(*[F.lit(k) for k in [*overrides.PAGE_TYPES, "homepage"]])
+    day = lambda n: F.timestamp_seconds(F.lit(1_704_067_200) + 86_400 * n)
+    p = F.col("page_id")
+    one = t.pages.where("page_id % 4 = 1").select("page_id", F.element_at(kinds, (p % 9 + 1).cast("int")).alias("page_type"), day(p % 20).alias("set_at"), F.lit(0).alias("seq"))
+    two = t.pages.where("page_id % 6 = 1").select("page_id", F.element_at(kinds, ((p + 3) % 9 + 1).cast("int")).alias("page_type"), day(4 + p % 15).alias("set_at"), F.lit(1).alias("seq"))
+    return one.unionByName(two)
+
+
+def _override_page_type(t: Tables) -> DataFrame:
+    run = t.flags.select("page_id", "page_type", F.timestamp_seconds(F.lit(1_704_067_200 + 86_400 * 14)).alias("run_at"))
+    return overrides.override_page_type(run, _overrides(t)).withColumn("set_at", F.date_format("set_at", "yyyy-MM-dd"))
+
+
 def _progress(t: Tables) -> DataFrame:
     return stream.progress_counts(stream.fetch_rows(t.read("events")))
 
@@ -130,15 +177,34 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "article_batch_summary": lambda t: articles.article_batch_summary(articles.extract_articles(t.pages)),
     "page_components": lambda t: articles.page_components(t.parsed).select("site", "url", F.to_json("components").alias("components")),
     "bandwidth_adjusted_load": lambda t: t.fetch.select("page_id", X.bandwidth_adjusted_load(F.col("load_time_ms"), F.col("content_length_bytes"), 5.0).alias("load_ms")),
+    "near_duplicate_pairs": lambda t: near.near_duplicate_pairs(t.prints),
+    "near_duplicate_members": lambda t: near.near_duplicate_members(t.prints),
+    "dedup_greedy": lambda t: near.dedup_greedy(t.prints),
+    "unique_content_ratio": lambda t: t.unique,
+    "crawl_order": _crawl_order,
+    "truth_table": lambda t: claims.truth_table(_claims(t)),
+    "confident_claims": lambda t: claims.filter_by_confidence(claims.truth_table(_claims(t)), "medium"),
+    "confidence_summary": lambda t: claims.confidence_summary(claims.truth_table(_claims(t))),
+    "override_page_type": _override_page_type,
+    "page_index": lambda t: index.index_view(index.page_index_stream(index.page_events(t.flags))),
+    "recent_blocks": lambda t: blocks.recent_blocks(blocks.block_events(t.read("events"))),
+    "active_blocks": lambda t: blocks.active_blocks(blocks.block_events(t.read("events")), 3 * 86_400),
     "json_profile": lambda t: files.json_profile(t.read("events").select(F.col("event_id").alias("id"), F.col("props").alias("payload"))),
     "progress_counts": _progress,
     "load_time_windows": lambda t: stream.load_time_windows(stream.fetch_rows(t.read("events"))),
 }
 
 
-def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: build(Tables(spark, sf_dir))
+#: Queries that read the parsed pages more than once.
+PARSE_ONCE = {
+    "keyword_metrics", "keyword_metrics_v2", "keyword_summary", "keyword_summary_v2", "keyword_comparison", "site_scores", "site_issues", "top_issues", "comparison_rows", "opportunities", "crawl_quality", "page_components",
+    "truth_table", "confident_claims", "confidence_summary",
+}
+
+
+def _query(name: str, build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(Tables(spark, sf_dir, name in PARSE_ONCE))
 
 
-QUERIES = {name: _query(build) for name, build in _BUILD.items()}
+QUERIES = {name: _query(name, build) for name, build in _BUILD.items()}
 FLAGSHIP = QUERIES["site_stats"]
