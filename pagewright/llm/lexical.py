@@ -124,9 +124,14 @@ def slices(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 def build_index(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """``docs(doc_id, text)`` -> the index as a table of the shared folder, the number of documents with a term, and
     the number of all their terms. A null text has no terms; repeated rows are documents of their own."""
-    count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM)).cast("bigint")
-    some, total = docs.select(count.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
-    total = total or 0
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clean = term_bytes()
+        for batch in batches:
+            n = [len((text.as_py() or "").encode().translate(clean).split()) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)]), pa.array([sum(n)])], ["some", "total"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(sizes, "some bigint, total bigint")
+    some, total = (x or 0 for x in counted.agg(F.sum("some"), F.sum("total")).first())
 
     def shard_rows(number: int, ids: list, counts: list, lengths: list, vocabulary: dict) -> Iterator[pa.RecordBatch]:
         order = np.argsort(np.array(ids), kind="stable")
