@@ -20,12 +20,16 @@ PHONES = [
 SUFFIXES = ["ing", "ed", "s", "es", "ly", "er", "est"]
 
 
-def plain(html: Column) -> Column:
-    """Text of an HTML fragment: tags and entities resolved, white space squeezed."""
-    text = F.regexp_replace(html, "<[^>]*>", " ")
+def entities(text: Column) -> Column:
+    """Character references of an attribute's value, decoded."""
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return clean_text(text)
+    return text
+
+
+def plain(html: Column) -> Column:
+    """Text of an HTML fragment: tags and entities resolved, white space squeezed."""
+    return clean_text(entities(F.regexp_replace(html, "<[^>]*>", " ")))
 
 
 def clean_text(text: Column) -> Column:

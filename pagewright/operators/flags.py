@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: URL parts that tell a page's type.
 UTILITY = ["login", "signin", "sign-in", "account", "checkout", "privacy", "terms", "legal", "cookie", "auth", "register", "signup", "sign-up", "dashboard"]
-CONTACT = ["contact", "locations", "find-us", "findus", "location", "about-us", "aboutus"]
-CATALOG = ["shop", "category", "catalog", "products", "listings", "collection", "browse", "store", "all-products"]
+CONTACT = ["contact", "find-us", "findus", "location", "about-us", "aboutus"]
+CATALOG = ["shop", "category", "catalog", "products", "listings", "collection", "browse", "store"]
 PRODUCT = ["/product/", "/item/", "/p/", "/products/", "/shop/"]
-ARTICLE = ["blog", "news", "article", "post", "/blog/", "/news/", "/articles/", "/posts/", "/story/", "/stories/"]
-GALLERY = ["gallery", "gallery/", "photos", "images", "media", "portfolio", "video", "videos", "/gallery/", "/photos/"]
+ARTICLE = ["blog", "news", "article", "post", "/story/", "/stories/"]
+GALLERY = ["gallery", "photos", "images", "media", "portfolio", "video"]
 
 
 def has_any(url: Column, parts: list[str]) -> Column:
@@ -56,7 +56,7 @@ def page_flags(parsed: DataFrame, fetch: DataFrame) -> DataFrame:
     typed = rows.withColumn("page_type", infer_page_type(F.col("url"), F.col("words"), F.size("paragraphs"), F.size("headings"), F.col("cards")))
     insecure = F.exists("links", lambda x: x["href"].startswith("http://")) | F.exists("images", lambda i: i["src"].startswith("http://"))
     return typed.select(
-        "page_id", "site", "url", "status", "load_time_ms", "render_mode", "content_length_bytes", "title", "h1", "description", "text", "words", "n_links", "n_internal", "n_images", "nav_links", "footer_text", "cards", "page_type", "bad",
+        "page_id", "site", "url", "status", "load_time_ms", "render_mode", "content_length_bytes", "title", "h1", "description", "text", "words", "n_links", "n_internal", "n_images", "nav_links", "footer_text", "footer_social", "cards", "page_type", "bad",
         F.size("paragraphs").alias("n_paragraphs"),
         F.size("headings").alias("n_headings"),
         (F.col("title") == "").alias("missing_title"),

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import clean_text, plain, word_count
+from pagewright.functions.text import clean_text, entities, plain, word_count
 from pagewright.functions.urls import FILE, drop_fragment, is_internal, resolve_url, url_host
 
 #: Content of an element: text and other tags up to one that starts like the closing one. Text is taken in whole
 #: runs, so that matching goes as deep as there are tags, not characters.
-PARAGRAPH = r"<p(?:\s[^>]*)?>((?:[^<]++|<[^/p][^>]*>|</[^p][^>]*>)*)"
-ANCHOR = r'<a\s[^>]*href="([^"#][^"]*)"[^>]*>((?:[^<]++|<[^/][^>]*>|</[^a][^>]*>)*)</a>'
-HEADING = r"<(h[1-6])(?:\s[^>]*)?>((?:[^<]++|<[^/][^>]*>|</[^h][^>]*>)*)</h[1-6]>"
-IMAGE = r"<img\s([^>]*)>"
-META = r"<meta\s([^>]*)>"
-JSONLD = r'<script[^>]*type="application/ld\+json"[^>]*>([^<]*)</script>'
+PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>((?:[^<]++|<[^/p][^>]*>|</[^p][^>]*>)*)"
+ANCHOR = r"(?i)<a\s[^>]*>(?:[^<]++|<(?!/|a\s)[^>]*>|</(?!a\s*>)[^>]*>)*</a\s*>"
+HEADING = r"(?i)<(h[1-6])(?:\s[^>]*)?>((?:[^<]++|<[^/][^>]*>|</[^h][^>]*>)*)</h[1-6]>"
+IMAGE = r"(?i)<img\s([^>]*)>"
+META = r"(?i)<meta\s([^>]*)>"
+JSONLD = r"""(?i)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>([^<]*)</script>"""
+#: The first image inside an element whose class or id has the word logo.
+LOGO_BOX = (
+    r"""(?i)<(?:a|div|span|header|h1|p|li|figure|section)\s[^>]*?(?:class|id)\s*=\s*(?:"[^"]*\blogo\b[^"]*"|'[^']*\blogo\b[^']*'|logo\b)[^>]*>"""
+    r"(?:[^<]++|<(?!/(?:div|header|section|li|figure|h1)\b|img\b)[^>]*+>)*+<img\s([^>]*)>"
+)
+#: Domains of social platforms.
+SOCIAL = r"(?i)href\s*=\s*[\"']?[^\"'>\s]*(facebook\.com|fb\.com|twitter\.com|x\.com|instagram\.com|linkedin\.com|youtube\.com|youtu\.be|tiktok\.com|pinterest\.com|github\.com)"
 
 
 def _all(col: Column, pattern: str, group: int = 1) -> Column:
@@ -23,11 +30,23 @@ def _all(col: Column, pattern: str, group: int = 1) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf'(?:^|\s){name}="([^"]*)"', 1)
+    """The value of an attribute in a tag's inner text: in double quotes, in single ones or without; empty if missing."""
+    pattern = rf"""(?i)(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return entities(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+
+
+def anchor_href(piece: Column) -> Column:
+    """Target of an anchor element; empty if it has none or one within the page."""
+    href = F.trim(attribute(F.regexp_extract(piece, r"(?i)^<a\s([^>]*)>", 1), "href"))
+    return F.when(href.startswith("#"), "").otherwise(href)
+
+
+def anchor_label(piece: Column) -> Column:
+    return F.regexp_replace(piece, r"(?i)^<a\s[^>]*>|</a\s*>$", "")
 
 
 def without_scripts(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    return F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -40,20 +59,20 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     body = F.col("body")
     zipped = lambda pattern: F.arrays_zip(_all(body, pattern, 1).alias("a"), _all(body, pattern, 2).alias("b"))
     metas = F.transform(_all(html, META), lambda t: F.struct(F.lower(F.coalesce(F.nullif(attribute(t, "name"), F.lit("")), attribute(t, "property"))).alias("k"), attribute(t, "content").alias("v")))
-    base = pages.withColumn("body", without_scripts(html))
+    base = pages.withColumn("body", without_scripts(html)).withColumn("boxes", F.when(F.lower(body).contains("logo"), _all(body, LOGO_BOX)).otherwise(F.array()))
     raw = base.select(
         F.col("page_id"),
         F.col("url"),
         url_host(F.col("url")).alias("site"),
-        plain(F.regexp_extract(html, r"<title[^>]*>([^<]*)</title>", 1)).alias("title"),
-        F.filter(F.transform(zipped(HEADING), lambda h: F.struct(h["a"].alias("tag"), plain(h["b"]).alias("text"))), lambda h: h["text"] != "").alias("headings"),
+        plain(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]*)</title>", 1)).alias("title"),
+        F.filter(F.transform(zipped(HEADING), lambda h: F.struct(F.lower(h["a"]).alias("tag"), plain(h["b"]).alias("text"))), lambda h: h["text"] != "").alias("headings"),
         F.filter(F.transform(_all(body, PARAGRAPH), plain), lambda p: F.length(p) > 20).alias("paragraphs"),
-        F.transform(zipped(ANCHOR), lambda a: F.struct(a["a"].alias("href"), plain(a["b"]).alias("label"))).alias("anchors"),
-        F.transform(_all(body, IMAGE), lambda t: F.struct(attribute(t, "src").alias("src"), attribute(t, "alt").alias("alt"))).alias("images"),
+        F.filter(F.transform(_all(body, ANCHOR, 0), lambda a: F.struct(anchor_href(a).alias("href"), plain(anchor_label(a)).alias("label"))), lambda a: a["href"] != "").alias("anchors"),
+        F.transform(_all(body, IMAGE), lambda t: image(t, F.col("boxes"))).alias("images"),
         F.filter(metas, lambda m: m["k"] != "").alias("metas"),
-        F.regexp_extract(html, r'<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1).alias("canonical_href"),
-        F.regexp_extract(html, r"(?s)<nav[^>]*>(.*?)</nav>", 1).alias("nav"),
-        F.regexp_extract(html, r"(?s)<footer[^>]*>(.*?)</footer>", 1).alias("footer"),
+        F.coalesce(F.try_element_at(F.transform(F.filter(_all(html, r"(?i)<link\s([^>]*)>"), lambda t: F.lower(attribute(t, "rel")) == "canonical"), lambda t: attribute(t, "href")), F.lit(1)), F.lit("")).alias("canonical_href"),
+        F.regexp_extract(html, r"(?is)<nav[^>]*>(.*?)</nav>", 1).alias("nav"),
+        F.regexp_extract(html, r"(?is)<footer[^>]*>(.*?)</footer>", 1).alias("footer"),
         _all(html, JSONLD).alias("jsonld"),
         F.octet_length(html).cast("bigint").alias("content_length_bytes"),
     )
@@ -70,8 +89,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         F.when(F.col("canonical_href") == "", F.col("url")).otherwise(resolve_url(F.col("canonical_href"), F.col("url"))).alias("canonical"),
         F.coalesce(meta("robots"), F.lit("")).alias("robots"),
         (F.coalesce(meta("viewport"), F.lit("")) != "").alias("has_viewport"),
-        F.size(_all(F.col("nav"), ANCHOR)).alias("nav_links"),
-        F.regexp_extract_all("nav", F.lit(ANCHOR), F.lit(2)).alias("nav_labels"),
+        F.size(F.filter(_all(F.col("nav"), ANCHOR, 0), lambda a: anchor_href(a) != "")).alias("nav_links"),
+        F.transform(_all(F.col("nav"), ANCHOR, 0), anchor_label).alias("nav_labels"),
+        F.col("footer").rlike(SOCIAL).alias("footer_social"),
         clean_text(plain(F.col("footer"))).alias("footer_text"),
         word_count(F.col("text")).alias("words"),
         F.size("links").alias("n_links"),
@@ -80,6 +100,17 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def image(tag: Column, boxes: Column) -> Column:
+    """An img tag as (src, alt, css, id, srcset, width, height, boxed): ``data-src`` stands in for a missing src; boxed, if
+    it stands in an element called a logo; sizes are whole pixels, null where they are none."""
+    pixels = lambda name: F.nullif(F.regexp_extract(attribute(tag, name), r"^\s*([0-9]{1,6})(?:px)?(?:\.[0-9]+)?\s*$", 1), F.lit("")).cast("int")
+    src = F.coalesce(F.nullif(attribute(tag, "src"), F.lit("")), attribute(tag, "data-src"))
+    return F.struct(
+        src.alias("src"), attribute(tag, "alt").alias("alt"), attribute(tag, "class").alias("css"), attribute(tag, "id").alias("id"), attribute(tag, "srcset").alias("srcset"),
+        pixels("width").alias("width"), pixels("height").alias("height"), F.array_contains(boxes, tag).alias("boxed"),
+    )
+
+
 def page_links(parsed: DataFrame) -> DataFrame:
     """One row per anchor: site, url, pos, href, label, kind."""
     rows = parsed.select("site", "url", F.posexplode("links").alias("pos", "link"))
@@ -96,10 +127,11 @@ def page_paragraphs(parsed: DataFrame) -> DataFrame:
 
 
 def page_images(parsed: DataFrame) -> DataFrame:
-    """Images of a page by absolute URL, the first of each kept."""
+    """Images of a page by absolute URL, the first of each kept, with its size in pixels and whether it is a GIF."""
     rows = parsed.select("site", "url", F.posexplode("images").alias("pos", "i")).where("i.src <> ''")
-    rows = rows.select("site", "url", resolve_url(F.col("i.src"), F.col("url")).alias("img_url"), "pos", F.col("i.alt").alias("alt"))
-    return rows.groupBy("site", "url", "img_url").agg(F.min("pos").alias("pos"), F.min_by("alt", "pos").alias("alt"))
+    rows = rows.select("site", "url", resolve_url(F.col("i.src"), F.col("url")).alias("img_url"), "pos", F.col("i.alt").alias("alt"), "i.width", "i.height")
+    first = [F.min_by(c, "pos").alias(c) for c in ("alt", "width", "height")]
+    return rows.groupBy("site", "url", "img_url").agg(F.min("pos").alias("pos"), *first).withColumn("gif", F.lower("img_url").rlike(r"\.gif(?:[?#]|$)"))
 
 
 def page_files(parsed: DataFrame) -> DataFrame:

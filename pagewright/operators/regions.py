@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.text import EMAIL, plain
 from pagewright.functions.urls import drop_fragment, resolve_url, url_host
-from pagewright.operators.parse import ANCHOR, without_scripts
+from pagewright.operators.parse import ANCHOR, anchor_href, anchor_label, without_scripts
 
 #: What no navigation label holds, labels that always are some, and what longer labels don't hold.
 LABEL_PHONE = r"\([0-9]{3}\)\s*[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}"
@@ -36,13 +36,15 @@ def is_nav_label(label: Column) -> Column:
 
 def _pieces(pages: DataFrame, region: str, pattern: str) -> DataFrame:
     """(page_id, url, site, pos, piece): what ``pattern`` finds, in order, in the first ``region`` of each page."""
-    html = F.regexp_extract(without_scripts(F.coalesce("html", F.lit(""))), rf"(?s)<{region}[^>]*>(.*?)</{region}>", 1)
+    html = F.regexp_extract(without_scripts(F.coalesce("html", F.lit(""))), rf"(?is)<{region}[^>]*>(.*?)</{region}>", 1)
     return pages.select("page_id", "url", url_host(F.col("url")).alias("site"), F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).alias("pos", "piece"))
 
 
 def _link(rows: DataFrame) -> DataFrame:
-    href = drop_fragment(resolve_url(F.regexp_extract("piece", ANCHOR, 1), F.col("url")))
-    return rows.withColumn("href", F.when(F.col("piece").rlike("^<a"), href)).withColumn("label", plain(F.regexp_extract("piece", ANCHOR, 2)))
+    """Anchors among the pieces get an absolute href and a label; anchors without a target go."""
+    to, is_link = anchor_href(F.col("piece")), F.col("piece").rlike(r"(?i)^<a\s")
+    rows = rows.where(~is_link | (to != "")).withColumn("href", F.when(is_link, drop_fragment(resolve_url(to, F.col("url")))))
+    return rows.withColumn("label", plain(anchor_label(F.col("piece"))))
 
 
 def nav_nodes(pages: DataFrame) -> DataFrame:
@@ -52,9 +54,9 @@ def nav_nodes(pages: DataFrame) -> DataFrame:
     Links inside a nested list are of level 2, their parent is the last link of level 1 before them. The windows are over
     one page's navigation. A page without navigation has no rows.
     """
-    rows = _link(_pieces(pages, "nav", rf"<ul\b|</ul>|{ANCHOR}"))
+    rows = _link(_pieces(pages, "nav", rf"(?i)<ul\b|</ul>|{ANCHOR}"))
     order = Window.partitionBy("page_id", "url").orderBy("pos")
-    step = F.when(F.col("piece") == "<ul", 1).when(F.col("piece") == "</ul>", -1).otherwise(0)
+    step = F.when(F.lower("piece") == "<ul", 1).when(F.lower("piece") == "</ul>", -1).otherwise(0)
     rows = rows.withColumn("level", F.when(F.sum(step).over(order) > 1, 2).otherwise(1)).where("href is not null").where(is_nav_label(F.col("label")))
     top = F.when(F.col("level") == 1, F.col("href"))
     rows = rows.withColumn("parent", F.when(F.col("level") == 2, F.last(top, ignorenulls=True).over(order)))
@@ -65,7 +67,7 @@ def nav_nodes(pages: DataFrame) -> DataFrame:
 def footer_links(pages: DataFrame) -> DataFrame:
     """``pages`` -> (page_id, site, pos, heading, href, label): labelled links of the page's first ``<footer>``
     with the last heading before them, null if there is none."""
-    heading = r"<h[1-6][^>]*>[^<]*</h[1-6]>"
+    heading = r"(?i)<h[1-6][^>]*>[^<]*</h[1-6]>"
     rows = _link(_pieces(pages, "footer", f"{heading}|{ANCHOR}"))
     order = Window.partitionBy("page_id", "url").orderBy("pos")
     last = F.last(F.when(F.col("href").isNull(), plain(F.col("piece"))), ignorenulls=True).over(order)

@@ -28,7 +28,7 @@ def site_counts(flags: DataFrame, broken: DataFrame) -> DataFrame:
         c(important & (F.col("thin") == "very_thin")).alias("very_thin"), c(important & (F.col("thin") == "thin")).alias("thin_pages"), c(~important & F.col("thin").isNotNull()).alias("low_text"), c(important).alias("important"), F.avg(F.when(important, F.col("words"))).alias("avg_words_important"), F.avg("words").alias("avg_words"),
         F.avg("load_time_ms").alias("avg_load"), F.percentile("load_time_ms", F.lit(0.9)).alias("p90_load"), c(load > 1500).alias("slow"), c(load > 3000).alias("very_slow"), (F.max("content_length_bytes") / 1024).alias("max_kb"),
         F.max("nav_links").alias("nav_links"), F.sum("n_internal").alias("internal"), c(F.col("n_internal") > 0).alias("linked_pages"), (c(F.col("url").startswith("https://")) > 0).alias("https"),
-        (F.max(F.size(extract_emails(F.col("footer_text"))) + F.size(extract_phones(F.col("footer_text")))) > 0).alias("footer"), F.sum("broken").alias("broken_links"), (c(F.col("url").startswith("http://")) > 0).alias("http"), F.sum("n_headings").alias("headings"), c((F.col("n_headings") > 0) | (F.col("title") != "")).alias("headed_pages"), F.sum(F.col("words")).alias("words"),
+        F.bool_or((F.size(extract_emails(F.col("footer_text"))) + F.size(extract_phones(F.col("footer_text"))) > 0) | F.col("footer_social")).alias("footer"), F.sum("broken").alias("broken_links"), (c(F.col("url").startswith("http://")) > 0).alias("http"), F.sum("n_headings").alias("headings"), c((F.col("n_headings") > 0) | (F.col("title") != "")).alias("headed_pages"), F.sum(F.col("words")).alias("words"),
     )
 
 

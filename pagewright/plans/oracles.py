@@ -114,7 +114,32 @@ _ARRIVALS = r"""arrivals AS (SELECT site AS run, page_id, 1700000000 + page_id %
         CASE WHEN page_id % 2 = 0 THEN page_type END AS page_type FROM (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS p FROM flags)),
     both_times AS (SELECT * FROM arrivals UNION ALL SELECT * REPLACE (t + 3600 AS t, 304 AS status, NULL AS page_type) FROM arrivals WHERE page_id % 3 = 0)"""
 
+_GOOD_TITLE = r"""(length({x}) >= 5 AND NOT regexp_matches({x}, '\([0-9]{{3}}\)\s*[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}\.[0-9]{{3}}\.[0-9]{{4}}')
+    AND NOT regexp_matches(lower({x}), 'call us at|contact us|get a quote|free|click here|learn more|read more|view more|shop now|buy now|sign up|subscribe|follow us|like us|share|download|sale|special offer')
+    AND length(regexp_replace({x}, '[^a-zA-Z]', '', 'g')) >= 3)"""
+_COMPANY = r"""(length({x}) > 30 OR len(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')) >= 3
+    OR regexp_matches(lower({x}), '\b(inc|llc|ltd|corp|corporation|company|co\.|group|solutions|services|systems|technologies|tech|exterior|interior|construction|building|roofing|siding|landscaping|maintenance|upkeep|northshore|north shore|southshore|south shore|eastside|westside)\b'))"""
+_HOME = r"trim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/') IN ('', 'index', 'index.html', 'home')"
+_ISSUES = """per_page AS (SELECT url, count(*) AS broken FROM bad_links GROUP BY url), pf AS (SELECT f.*, coalesce(b.broken, 0) AS broken FROM flags f LEFT JOIN per_page b USING (url)),
+found AS (SELECT site, url, 'missing_title' AS issue, NULL AS note FROM pf WHERE missing_title UNION ALL SELECT site, url, 'missing_description', NULL FROM pf WHERE missing_description UNION ALL SELECT site, url, 'missing_h1', NULL FROM pf WHERE missing_h1
+    UNION ALL SELECT site, url, CASE WHEN page_type NOT IN ('article', 'landing', 'generic') THEN 'low_text_catalog' WHEN thin = 'thin' THEN 'thin_content' ELSE 'very_thin_content' END, words || ' words (' || page_type || ')' FROM pf WHERE thin IS NOT NULL
+    UNION ALL SELECT site, url, 'slow_pages', load_time_ms || ' ms' FROM pf WHERE load_time_ms > 1500 UNION ALL SELECT site, url, 'very_slow_pages', load_time_ms || ' ms' FROM pf WHERE load_time_ms > 3000
+    UNION ALL SELECT site, url, 'deep_urls', NULL FROM pf WHERE deep_url UNION ALL SELECT site, url, 'mixed_content', NULL FROM pf WHERE mixed_content
+    UNION ALL SELECT p.site, p.url, 'no_viewport', NULL FROM pf p JOIN body b USING (page_id) WHERE NOT regexp_matches(lower(b.html), '<meta[^>]*viewport')
+    UNION ALL SELECT p.site, p.url, 'noindex', NULL FROM pf p JOIN body b USING (page_id) WHERE regexp_matches(lower(b.html), '<meta[^>]*robots[^>]*noindex')
+    UNION ALL SELECT site, url, 'broken_links', broken || ' links' FROM pf WHERE broken > 0 UNION ALL SELECT site, url, 'error_pages', 'status ' || status FROM pf WHERE bad),
+issue_urls AS (SELECT site, issue, url, min(note) AS note FROM found GROUP BY ALL)"""
+
 ORACLES = {
+    "extract_main_text": rf"""WITH a AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS site, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS x FROM pages),
+        b AS (SELECT page_id, site, unnest(x) AS raw, generate_subscripts(x, 1) AS i FROM a), c AS (SELECT page_id, i, {_plain('raw')} AS text FROM b WHERE {_plain('raw')} <> '')
+        SELECT page_id, site, coalesce(string_agg(text, chr(10) ORDER BY i), '') AS main_text, coalesce(sum(len(string_split(text, ' '))), 0)::INT AS words, count(text)::INT AS blocks FROM a LEFT JOIN c USING (page_id) GROUP BY page_id, site""",
+    "page_titles": f"""{_P_} SELECT page_id, url, CASE WHEN {_GOOD_TITLE.format(x='title')} THEN title WHEN h1 IS NOT NULL AND {_GOOD_TITLE.format(x='h1')} AND NOT ({_HOME} AND {_COMPANY.format(x='h1')}) THEN h1 WHEN {_HOME} THEN 'Home' ELSE '' END AS page_title,
+        CASE WHEN {_GOOD_TITLE.format(x='title')} THEN 'title' WHEN h1 IS NOT NULL AND {_GOOD_TITLE.format(x='h1')} AND NOT ({_HOME} AND {_COMPANY.format(x='h1')}) THEN 'h1' WHEN {_HOME} THEN 'home' ELSE 'none' END AS origin FROM parsed""",
+    "brands": f"""{_P_} SELECT site, nullif(title, '') AS name, NULL::VARCHAR AS logo, NULL::VARCHAR AS evidence FROM parsed QUALIFY row_number() OVER (PARTITION BY site ORDER BY {_HOME} DESC, length(url), title <> '' DESC, title DESC) = 1""",
+    "issue_urls": f"{_ALL}, {_ISSUES} SELECT * FROM issue_urls",
+    "issue_examples": f"""{_ALL}, {_ISSUES}, r AS (SELECT *, row_number() OVER (PARTITION BY site, issue ORDER BY url) AS i FROM issue_urls)
+        SELECT site, issue, count(*) AS affected, string_agg(CASE WHEN i <= 3 THEN url || coalesce(' (' || note || ')', '') END, '; ' ORDER BY i) AS examples, greatest(count(*) - 3, 0) AS more FROM r GROUP BY ALL""",
     "near_duplicate_pairs": f"WITH {_SIM_DOCS} SELECT a.site, least(a.first, b.first) AS a, greatest(a.first, b.first) AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM reps a JOIN reps b ON a.site IS NOT DISTINCT FROM b.site AND a.first < b.first AND {_NEAR.format(a='a.simhash', b='b.simhash')}",
     "near_duplicate_members": f"WITH {_SIM_DOCS} SELECT s.site, s.id, r.first FROM sim s JOIN reps r ON s.site IS NOT DISTINCT FROM r.site AND s.simhash = r.simhash",
     "dedup_greedy": f"""WITH RECURSIVE {_SIM_DOCS}, o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY id) AS i FROM sim),

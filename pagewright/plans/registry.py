@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
 from pagewright.functions import urls as U
-from pagewright.operators import articles, claims, crawl, entities, fetches, flags, keywords, links, overrides, parse, regions, rollups, scores
+from pagewright.operators import articles, brand, claims, crawl, entities, fetches, flags, keywords, links, main_text, overrides, parse, regions, report, rollups, scores, titles
 from pagewright.operators import near_duplicates as near
 from pagewright.plans.oracles import ORACLES  # noqa: F401
 from pagewright.sources import files
@@ -109,6 +109,13 @@ def _override_page_type(t: Tables) -> DataFrame:
     return overrides.override_page_type(run, _overrides(t)).withColumn("set_at", F.date_format("set_at", "yyyy-MM-dd"))
 
 
+def _insight_report(t: Tables) -> DataFrame:
+    counts = written(t.counts, "counts")
+    examples = report.issue_examples(report.issue_urls(report.page_issues(t.flags, t.broken)))
+    rows = report.insight_report(scores.site_scores(counts), scores.site_issues(counts), examples, keywords.focus_keywords(t.parsed))
+    return rows.withColumns({c: F.to_json(c) for c in ("categories", "issues", "phrases")})
+
+
 def _progress(t: Tables) -> DataFrame:
     return stream.progress_counts(stream.fetch_rows(t.read("events")))
 
@@ -182,6 +189,13 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "dedup_greedy": lambda t: near.dedup_greedy(t.prints),
     "unique_content_ratio": lambda t: t.unique,
     "crawl_order": _crawl_order,
+    "extract_main_text": lambda t: main_text.extract_main_text(t.pages),
+    "page_titles": lambda t: titles.page_titles(t.parsed),
+    "logo_candidates": lambda t: brand.logo_candidates(t.parsed),
+    "brands": lambda t: brand.brands(t.parsed),
+    "issue_urls": lambda t: report.issue_urls(report.page_issues(t.flags, t.broken)),
+    "issue_examples": lambda t: report.issue_examples(report.issue_urls(report.page_issues(t.flags, t.broken))),
+    "insight_report": _insight_report,
     "truth_table": lambda t: claims.truth_table(_claims(t)),
     "confident_claims": lambda t: claims.filter_by_confidence(claims.truth_table(_claims(t)), "medium"),
     "confidence_summary": lambda t: claims.confidence_summary(claims.truth_table(_claims(t))),
@@ -198,7 +212,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
 #: Queries that read the parsed pages more than once.
 PARSE_ONCE = {
     "keyword_metrics", "keyword_metrics_v2", "keyword_summary", "keyword_summary_v2", "keyword_comparison", "site_scores", "site_issues", "top_issues", "comparison_rows", "opportunities", "crawl_quality", "page_components",
-    "truth_table", "confident_claims", "confidence_summary",
+    "truth_table", "confident_claims", "confidence_summary", "brands", "issue_urls", "issue_examples", "insight_report",
 }
 
 
