@@ -54,4 +54,6 @@ def resolve_url(href: Column, page: Column) -> Column:
 
 
 def is_internal(href: Column, page: Column) -> Column:
-    return url_host(href) == url_host(page)
+    """The page's host or one below it."""
+    to, own = url_host(href), url_host(page)
+    return (to == own) | ((own != "") & to.endswith(F.concat(F.lit("."), own)))

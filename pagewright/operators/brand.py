@@ -14,11 +14,11 @@ WIDEST = 2_000
 
 
 def srcset_candidates(srcset: Column) -> Column:
-    """The candidates of a srcset as array of (url, width): those with a width descriptor, at most ``WIDEST`` wide. Commas
-    without a blank after them are part of a URL."""
-    entries = F.filter(F.split(F.regexp_replace(F.coalesce(srcset, F.lit("")), r"^[\s,]+|[\s,]+$", ""), r",\s+|,(?=\S+\s+[0-9.]+[wx]\s*(?:,|$))"), lambda e: F.trim(e) != "")
-    pair = F.transform(entries, lambda e: F.struct(F.regexp_extract(F.trim(e), r"^(\S+)\s", 1).alias("url"), F.nullif(F.regexp_extract(F.trim(e), r"\s([0-9]{1,9})w$", 1), F.lit("")).cast("int").alias("width")))
-    return F.filter(pair, lambda c: (c["url"] != "") & (c["width"] <= WIDEST))
+    """The candidates of a srcset as array of (url, width): those with a width descriptor, at most ``WIDEST`` wide. A URL
+    is a run without blanks; commas inside it are part of it."""
+    text, pattern = F.coalesce(srcset, F.lit("")), F.lit(r"([^\s,](?:\S*[^\s,])?)\s+([0-9]{1,9})w\s*(?:,|$)")
+    found = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("url"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("width"))
+    return F.filter(F.transform(found, lambda c: F.struct(c["url"].alias("url"), c["width"].cast("int").alias("width"))), lambda c: c["width"] <= WIDEST)
 
 
 def widest(srcset: Column) -> Column:
@@ -56,7 +56,7 @@ def logo_candidates(parsed: DataFrame) -> DataFrame:
 
 def brands(parsed: DataFrame) -> DataFrame:
     """``parse_pages`` -> (site, name, logo, evidence): the title of the site's home page, or of its page with the shortest
-    URL, the smaller of equals; and its best logo: on a home page first, then by evidence, then by pages, then by URL.
+    URL, the greater of equals; and its best logo: on a home page first, then by evidence, then by pages, then by URL.
     Both are one combined maximum a site; every site has a row."""
     page = F.struct(is_home(F.col("url")), -F.length("url"), F.col("title") != "")
     names = parsed.groupBy("site").agg(F.max_by(F.struct("title", "url"), F.struct(page, F.col("title"))).alias("n"))

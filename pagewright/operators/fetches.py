@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import extract_emails, extract_phones
+from pagewright.functions.urls import url_path
+
 from .flags import is_bad
 
 
@@ -22,6 +25,12 @@ def fetch_log(pages: DataFrame) -> DataFrame:
     )
 
 
+def page_statuses(fetch: DataFrame) -> DataFrame:
+    """What every second page itself recorded as its status, by arithmetic on page_id: some moved, some gone since."""
+    status = F.expr("case when page_id % 6 = 0 then 301 when page_id % 10 = 4 then 410 else status end")
+    return fetch.where("page_id % 2 = 0").select("site", "url", status.alias("status"), "page_id")
+
+
 def samples(fetch: DataFrame, n: int = 3) -> DataFrame:
     """``n`` load samples per page, 37 ms apart."""
     rows = fetch.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -89,15 +98,17 @@ def page_type_breakdown(flags: DataFrame) -> DataFrame:
 
 
 def crawl_quality(flags: DataFrame, broken: DataFrame) -> DataFrame:
-    """15 measures and the overall health of each site; ``broken(site, url, broken)`` from ``links``."""
+    """15 measures and the overall health of each site; ``broken(site, url, broken)`` from ``links``. A footer counts as found
+    if it holds a labelled link, a link to a social platform, an e-mail address or a phone number."""
     b = broken.groupBy("site").agg(F.sum("broken").alias("broken_links"))
     kind = lambda t: F.count_if(F.col("page_type") == t)
     important = F.col("page_type").isin("article", "landing", "generic")
+    footer = (F.col("footer_links") > 0) | F.col("footer_social") | (F.size(extract_emails(F.col("footer_text"))) + F.size(extract_phones(F.col("footer_text"))) > 0)
     agg = flags.groupBy("site").agg(
-        F.count(F.lit(1)).alias("pages_crawled"), F.countDistinct("url").alias("unique_paths"), F.avg("load_time_ms").alias("avg_load"), F.percentile("load_time_ms", F.lit(0.9)).alias("p90_load"),
-        kind("article").alias("article_pages"), kind("landing").alias("landing_pages"), kind("utility").alias("utility_pages"), F.count_if(F.col("status") == 404).alias("pages_404"),
+        F.count(F.lit(1)).alias("pages_crawled"), F.countDistinct(url_path(F.col("url"))).alias("unique_paths"), F.bround(F.avg("load_time_ms")).cast("int").alias("avg_load"), F.bround(F.percentile("load_time_ms", F.lit(0.9))).cast("int").alias("p90_load"),
+        kind("catalog").alias("catalog_pages"), kind("article").alias("article_pages"), kind("landing").alias("landing_pages"), kind("utility").alias("utility_pages"), F.count_if(F.col("status") == 404).alias("pages_404"),
         F.count_if(F.col("thin").isNotNull() & important).alias("thin_important"), F.count_if(F.col("thin").isNotNull() & ~important).alias("thin_catalog"),
-        (F.max("nav_links") > 0).alias("nav_found"), (F.max(F.length("footer_text")) > 0).alias("footer_found"),
+        (F.max("nav_links") > 0).alias("nav_found"), F.bool_or(footer).alias("footer_found"),
     )
     n = F.col("pages_crawled")
     rows = agg.join(b, "site", "left").withColumn("broken_links", F.coalesce("broken_links", F.lit(0))).withColumn("duplicates", n - F.col("unique_paths"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.images import MODERN, image_format
+
 #: URL parts that tell a page's type.
 UTILITY = ["login", "signin", "sign-in", "account", "checkout", "privacy", "terms", "legal", "cookie", "auth", "register", "signup", "sign-up", "dashboard"]
 CONTACT = ["contact", "find-us", "findus", "location", "about-us", "aboutus"]
@@ -48,21 +50,26 @@ def is_bad(status: Column) -> Column:
     return status.isin(404, 410) | status.between(500, 599)
 
 
-def page_flags(parsed: DataFrame, fetch: DataFrame) -> DataFrame:
-    """``parse_pages`` joined with the fetch log on url: features, type and every per-page check."""
+def page_flags(parsed: DataFrame, fetch: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """``parse_pages`` joined with the fetch log on url: features, type and every per-page check; ``images`` from
+    ``check_images``, without which no image counts as very large."""
     fetched = F.max_by(F.struct("status", "load_time_ms", "render_mode"), F.col("page_id"))  # the last fetch of a URL
     log = fetch.groupBy("url").agg(fetched.alias("f")).select("url", "f.*")
-    rows = parsed.join(log, "url", "left").withColumn("cards", product_cards(F.col("n_images"), F.col("n_internal"))).withColumn("bad", F.coalesce(is_bad(F.col("status")), F.lit(False)))
+    base = parsed.join(log, "url", "left")
+    base = base.join(images.select("url", "very_large_images"), "url", "left") if images is not None else base.withColumn("very_large_images", F.lit(0))
+    rows = base.withColumn("cards", product_cards(F.col("n_images"), F.col("n_internal"))).withColumn("bad", F.coalesce(is_bad(F.col("status")), F.lit(False)))
     typed = rows.withColumn("page_type", infer_page_type(F.col("url"), F.col("words"), F.size("paragraphs"), F.size("headings"), F.col("cards")))
     insecure = F.exists("links", lambda x: x["href"].startswith("http://")) | F.exists("images", lambda i: i["src"].startswith("http://"))
     return typed.select(
-        "page_id", "site", "url", "status", "load_time_ms", "render_mode", "content_length_bytes", "title", "h1", "description", "text", "words", "n_links", "n_internal", "n_images", "nav_links", "footer_text", "footer_social", "cards", "page_type", "bad",
+        "page_id", "site", "url", "status", "load_time_ms", "render_mode", "content_length_bytes", "title", "h1", "description", "text", "words", "n_links", "n_internal", "n_images", "nav_links", "footer_text", "footer_social", "footer_links", "cards", "page_type", "bad",
         F.size("paragraphs").alias("n_paragraphs"),
         F.size("headings").alias("n_headings"),
         (F.col("title") == "").alias("missing_title"),
         (F.col("description") == "").alias("missing_description"),
         F.col("h1").isNull().alias("missing_h1"),
         F.size(F.filter("images", lambda i: F.trim(i["alt"]) == "")).alias("missing_alt"),
+        F.size(F.filter("images", lambda i: image_format(i["src"]).isin(MODERN))).alias("modern_images"),
+        F.coalesce("very_large_images", F.lit(0)).alias("very_large_images"),
         F.lower("robots").contains("noindex").alias("noindex"),
         (~F.col("has_viewport")).alias("no_viewport"),
         (F.col("url").startswith("https://") & insecure).alias("mixed_content"),

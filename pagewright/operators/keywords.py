@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import normalize_text, simple_stem
+from pagewright.functions.text import clamp_0_100, normalize_text, simple_stem
 from pagewright.functions.urls import is_internal, path_segments, url_path
 from pagewright.operators.flags import infer_page_type, product_cards
 
@@ -86,28 +86,56 @@ def density_score(percent: Column) -> Column:
     )
 
 
+def _heads(tag: str) -> Column:
+    return F.transform(F.filter("headings", lambda h: h["tag"] == tag), lambda h: h["text"])
+
+
+def page_places() -> dict[str, Column]:
+    """The texts of a parsed page by the place they stand in."""
+    anchors = F.transform(F.filter("links", lambda x: is_internal(x["href"], F.col("url"))), lambda x: x["label"])
+    return {"text": F.array("text"), "title": F.array("title"), "h1": _heads("h1"), "h2": _heads("h2"), "slug": F.array(slug(F.col("url"))), "anchor": anchors}
+
+
+def tokens(text: Column) -> Column:
+    """Words that count for density: three letters and more, no stopword; at least 1."""
+    return F.greatest(F.lit(1), F.size(F.filter(F.split(normalize_text(text), " "), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))))
+
+
+def phrase_hits(pages: DataFrame, wanted: DataFrame, texts: dict[str, Column], *keep: str) -> DataFrame:
+    """(site, phrase, url, *keep, place, n): how often phrases of up to three words stand in each place of a page. Every
+    place becomes word runs, which meet the phrases of their site in one equi-join; copies of a run in one page's place
+    fold into one row within the tasks."""
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), t.alias("texts")) for p, t in texts.items()]))
+    words = pages.select("site", "url", *keep, each.alias("p")).select("site", "url", *keep, "p.place", F.explode("p.texts").alias("t"))
+    words = words.withColumn("w", F.filter(F.split(normalize_text(F.col("t")), " "), lambda w: w != ""))
+    runs = F.concat(*[F.when(F.size("w") >= n, F.transform(runs_of(F.col("w"), n), lambda r: F.array_join(r, " "))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])
+    met = words.select("site", "url", *keep, "place", F.explode(runs).alias("phrase")).join(wanted, ["site", "phrase"])
+    return met.groupBy("site", "phrase", "url", *keep, "place").agg(F.count(F.lit(1)).alias("n"))
+
+
 def keyword_metrics(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``keywords(site, phrase)`` against every page of the site: pages used, occurrences, page hits by
-    place, coverage, on-page, density and total score.
+    """``keywords(site, phrase)``, of up to three words, against every page of their site: pages whose text holds the phrase,
+    occurrences there, pages by place, coverage, on-page, density and total score.
 
-    Phrases meet page words as word runs of their own length by an equi-join; no text is crossed with keywords.
+    Coverage is the share of pages used, on-page the weighted shares of all pages whose title, h1, h2, slug or internal
+    anchors hold the phrase (fixed values: the weights), density the mean over used pages of occurrences by words that
+    count. A phrase that no text holds scores 0 throughout; total is rounded to one digit.
     """
-    words = F.filter(F.split(normalize_text(F.concat_ws(" ", "title", "text")), " "), lambda w: w != "")
-    pages = parsed.select("site", "url", words.alias("w"), normalize_text(F.col("title")).alias("t"), normalize_text(F.coalesce("h1", F.lit(""))).alias("h"))
-    total = pages.groupBy("site").agg(F.count(F.lit(1)).alias("all_pages"))
-    sizes = keywords.select("site", "phrase").distinct().withColumn("n", F.size(F.split("phrase", " ")))
-    runs = []
-    for n in (2, 3):
-        w = pages.where(F.size("w") >= n).select("site", "url", "t", "h", F.size("w").alias("length"), F.explode(F.transform(runs_of(F.col("w"), n), lambda r: F.array_join(r, " "))).alias("phrase"))
-        runs.append(w.join(sizes.where(F.col("n") == n).drop("n"), ["site", "phrase"]))
-    inside = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
-    per_page = runs[0].unionByName(runs[1]).groupBy("site", "phrase", "url").agg(F.count(F.lit(1)).alias("occurrences"), F.first("length").alias("length"), F.max(inside("t")).alias("in_title"), F.max(inside("h")).alias("in_h1"))
-    agg = per_page.groupBy("site", "phrase").agg(F.count(F.lit(1)).alias("pages_used"), F.sum("occurrences").alias("occurrences"), F.count_if("in_title").alias("title_pages"), F.count_if("in_h1").alias("h1_pages"), F.avg(F.col("occurrences") * 100 / F.col("length")).alias("density"))
-    rows = sizes.drop("n").join(agg, ["site", "phrase"], "left").join(total, "site").na.fill(0)
-    used = F.col("pages_used")
-    ratio = lambda c: F.when(used > 0, F.least(F.lit(1.0), F.col(c) / used)).otherwise(0.0)
-    rows = rows.withColumn("coverage", 100 * used / F.col("all_pages")).withColumn("on_page", 100 * (0.3 * ratio("title_pages") + 0.2 * ratio("h1_pages"))).withColumn("density_score", F.when(used > 0, density_score(F.col("density"))).otherwise(0.0))
-    return rows.withColumn("total", 0.3 * F.col("coverage") + 0.4 * F.col("on_page") + 0.3 * F.col("density_score")).drop("all_pages")
+    wanted = keywords.select("site", "phrase").distinct()
+    met = phrase_hits(parsed.withColumn("tokens", tokens(F.col("text"))), wanted, page_places(), "tokens")
+    at = lambda p: F.col("place") == p
+    shares = {"title": 0.30, "h1": 0.20, "h2": 0.20, "slug": 0.15, "anchor": 0.15}
+    facts = met.groupBy("site", "phrase").agg(
+        F.count_if(at("text")).alias("pages_used"), F.sum(F.when(at("text"), F.col("n")).otherwise(0)).alias("occurrences"), *[F.count_if(at(p)).alias(f"{p}_pages") for p in shares],
+        F.avg(F.when(at("text"), F.col("n") * 100 / F.col("tokens"))).alias("density"),
+    )
+    total = parsed.groupBy("site").agg(F.count(F.lit(1)).alias("all_pages"))
+    rows = wanted.join(facts, ["site", "phrase"], "left").join(total, "site").na.fill(0)
+    used, pages = F.col("pages_used") > 0, F.col("all_pages")
+    score = lambda c: F.when(used, c).otherwise(0.0)
+    on_page = sum((F.least(F.lit(1.0), F.col(f"{p}_pages") / pages) * (100 * s) for p, s in shares.items()), F.lit(0.0))
+    rows = rows.withColumns({"coverage": score(100 * F.col("pages_used") / pages), "on_page": score(clamp_0_100(on_page)), "density_score": score(clamp_0_100(density_score(F.col("density"))))})
+    return rows.withColumn("total", F.bround(0.3 * F.col("coverage") + 0.4 * F.col("on_page") + 0.3 * F.col("density_score"), 1)).drop("all_pages")
 
 
 def keyword_summary(metrics: DataFrame) -> DataFrame:
@@ -120,23 +148,13 @@ def keyword_metrics_v2(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
     Coverage is the weight of pages whose text holds the phrase, on-page whether any title, h1, h2, slug or anchor
     does, total .6 coverage + .3 on-page + .1 density; a phrase that no text holds scores 0. Importance is 3 in a home
     page's title or navigation, 2 in a title or h1 of a landing, product or catalog page, else 1.
-    Every place of a page becomes word runs, counted before they meet the keywords in one equi-join.
     """
     home = F.lower(F.regexp_replace(url_path(F.col("url")), "^/+|/+$", "")).isin("", "index", "index.html", "home")
     kind = infer_page_type(F.col("url"), F.col("words"), F.size("paragraphs"), F.size("headings"), product_cards(F.col("n_images"), F.col("n_internal")))
-    heads = lambda tag: F.transform(F.filter("headings", lambda h: h["tag"] == tag), lambda h: h["text"])
-    anchors = F.transform(F.filter("links", lambda x: is_internal(x["href"], F.col("url"))), lambda x: x["label"])
-    texts = {"text": F.array("text"), "title": F.array("title"), "h1": heads("h1"), "h2": heads("h2"), "slug": F.array(slug(F.col("url"))), "anchor": anchors, "nav": F.col("nav_labels")}
-    pages = parsed.withColumn("kind", F.when(home, "home").otherwise(kind))
     weight = F.coalesce(*[F.when(F.col("kind") == k, F.lit(w)) for k, w in PAGE_WEIGHTS.items()], F.lit(1.0))
-    tokens = F.size(F.filter(F.split(normalize_text(F.col("text")), " "), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)))
-    pages = pages.select("site", "url", "kind", weight.alias("weight"), F.greatest(F.lit(1), tokens).alias("tokens"), F.explode(F.array(*[F.struct(F.lit(p).alias("place"), t.alias("texts")) for p, t in texts.items()])).alias("p"))
-    words = pages.select("site", "url", "kind", "weight", "tokens", "p.place", F.explode("p.texts").alias("t")).withColumn("w", F.filter(F.split(normalize_text(F.col("t")), " "), lambda w: w != ""))
-    runs = F.concat(*[F.when(F.size("w") >= n, F.transform(runs_of(F.col("w"), n), lambda r: F.array_join(r, " "))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])
+    pages = parsed.withColumn("kind", F.when(home, "home").otherwise(kind)).withColumn("weight", weight).withColumn("tokens", tokens(F.col("text")))
     wanted = keywords.select("site", "phrase").distinct()
-    # copies of a run in one page's place fold into one row within the tasks
-    met = words.select("site", "url", "kind", "weight", "tokens", "place", F.explode(runs).alias("phrase")).join(wanted, ["site", "phrase"])
-    met = met.groupBy("site", "phrase", "url", "kind", "weight", "tokens", "place").agg(F.count(F.lit(1)).alias("n"))
+    met = phrase_hits(pages, wanted, page_places() | {"nav": F.col("nav_labels")}, "kind", "weight", "tokens")
     at = lambda *places: F.col("place").isin(*places)
     hits = [F.count_if(at(p)).alias(f"{p}_pages") for p in ("title", "h1", "h2", "slug", "anchor")]
     facts = met.groupBy("site", "phrase").agg(
@@ -144,7 +162,7 @@ def keyword_metrics_v2(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
         F.avg(F.when(at("text"), F.col("n") / F.col("tokens"))).alias("density"),
         F.max(F.when((F.col("kind") == "home") & at("title", "nav"), 3.0).when(F.col("kind").isin("landing", "product", "catalog") & at("title", "h1"), 2.0).otherwise(1.0)).alias("importance"),
     )
-    total = parsed.withColumn("kind", F.when(home, "home").otherwise(kind)).groupBy("site").agg(F.sum(weight).alias("all_weight"))
+    total = pages.groupBy("site").agg(F.sum("weight").alias("all_weight"))
     rows = wanted.join(facts, ["site", "phrase"], "left").join(total, "site").withColumn("importance", F.coalesce("importance", F.lit(1.0))).na.fill(0)
     shares = {"title": 0.40, "h1": 0.25, "h2": 0.15, "slug": 0.10, "anchor": 0.10}
     used = (F.col("pages_used") > 0) & (F.col("weighted_pages") > 0)

@@ -67,8 +67,9 @@ def reachable_within(edges: DataFrame, starts: DataFrame, max_depth: int = 5) ->
 
 
 def nav_rollup(links: DataFrame, top: int = 20) -> DataFrame:
-    """Internal targets linked more than once under a text, the ``top`` most frequent of each site."""
-    rows = links.where("kind = 'internal' and label <> ''").groupBy("site", "href").agg(F.count(F.lit(1)).alias("frequency"), F.max("label").alias("label"))
+    """Internal targets linked more than once under a text, the ``top`` most frequent of each site, with their last label by
+    page and place."""
+    rows = links.where("kind = 'internal' and label <> ''").groupBy("site", "href").agg(F.count(F.lit(1)).alias("frequency"), F.max_by("label", F.struct("url", "pos")).alias("label"))
     order = Window.partitionBy("site").orderBy(F.desc("frequency"), "href")
     return rows.where("frequency > 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 

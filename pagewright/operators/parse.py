@@ -92,6 +92,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         F.size(F.filter(_all(F.col("nav"), ANCHOR, 0), lambda a: anchor_href(a) != "")).alias("nav_links"),
         F.transform(_all(F.col("nav"), ANCHOR, 0), anchor_label).alias("nav_labels"),
         F.col("footer").rlike(SOCIAL).alias("footer_social"),
+        F.size(F.filter(_all(F.col("footer"), ANCHOR, 0), lambda a: (anchor_href(a) != "") & (plain(anchor_label(a)) != ""))).alias("footer_links"),
         clean_text(plain(F.col("footer"))).alias("footer_text"),
         word_count(F.col("text")).alias("words"),
         F.size("links").alias("n_links"),
@@ -149,11 +150,12 @@ def classify_block_page(status: Column, html: Column) -> Column:
 
 
 def classify_content_type(header: Column, url: Column) -> Column:
-    """html, pdf, docx, json, csv, image or text, by header, then extension; html if neither tells."""
+    """html, pdf, docx, json, csv, image or text: by the header if it tells, else by the extension, else html."""
     kind = F.lower(F.trim(F.substring_index(F.coalesce(header, F.lit("")), ";", 1)))
     ext = F.lower(F.regexp_extract(F.substring_index(F.substring_index(url, "#", 1), "?", 1), r"\.([A-Za-z0-9]+)$", 1))
-    return (
-        F.when(kind.contains("html") | ext.isin("html", "htm"), "html").when((kind == "application/pdf") | (ext == "pdf"), "pdf").when(kind.contains("wordprocessingml") | (ext == "docx"), "docx")
-        .when(kind.contains("json") | (ext == "json"), "json").when(kind.contains("csv") | (ext == "csv"), "csv").when(kind.startswith("image/") | ext.isin("png", "jpg", "jpeg", "gif", "webp", "svg"), "image")
-        .when(kind.startswith("text/") | (ext == "txt"), "text").otherwise("html")
+    by_header = (
+        F.when(kind.contains("html"), "html").when(kind == "application/pdf", "pdf").when(kind.contains("wordprocessingml"), "docx").when(kind.contains("json"), "json").when(kind.contains("csv"), "csv")
+        .when(kind.startswith("image/"), "image").when(kind.startswith("text/"), "text")
     )
+    by_name = F.when(ext.isin("html", "htm"), "html").when(ext.isin("pdf", "docx", "json", "csv"), ext).when(ext.isin("png", "jpg", "jpeg", "gif", "webp", "svg"), "image").when(ext == "txt", "text")
+    return F.coalesce(by_header, by_name, F.lit("html"))

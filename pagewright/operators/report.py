@@ -22,6 +22,8 @@ FIXES = {
     "mixed_content": "Load images and links of secure pages by https only.",
     "very_slow_pages": "Make the slowest pages lighter: smaller images, fewer scripts, compressed answers.",
     "slow_pages": "Bring load times under one and a half seconds with caching and smaller files.",
+    "very_large_images": "Shrink images of more than a megabyte, or save them in a modern format.",
+    "no_modern_images": "Offer images as WebP or AVIF as well.",
     "very_thin_content": "Write more on these pages, or merge them: there is too little to read.",
     "thin_content": "Add text that answers what visitors look for there.",
     "low_text_catalog": "Add short descriptions to the products shown.",
@@ -52,6 +54,7 @@ def page_rules() -> list[tuple[str, str, Column, Column]]:
         ("thin_content", "content", important & (col("thin") == "thin"), words),
         ("low_text_catalog", "content", ~important & col("thin").isNotNull(), words),
         ("very_slow_pages", "performance", col("load_time_ms") > 3000, load),
+        ("very_large_images", "performance", col("very_large_images") > 0, F.concat(col("very_large_images").cast("string"), F.lit(" images"))),
         ("slow_pages", "performance", col("load_time_ms") > 1500, load),
         ("deep_urls", "structure", col("deep_url"), none),
         ("mixed_content", "structure", col("mixed_content"), none),

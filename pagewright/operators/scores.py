@@ -28,7 +28,7 @@ def site_counts(flags: DataFrame, broken: DataFrame) -> DataFrame:
         c(important & (F.col("thin") == "very_thin")).alias("very_thin"), c(important & (F.col("thin") == "thin")).alias("thin_pages"), c(~important & F.col("thin").isNotNull()).alias("low_text"), c(important).alias("important"), F.avg(F.when(important, F.col("words"))).alias("avg_words_important"), F.avg("words").alias("avg_words"),
         F.avg("load_time_ms").alias("avg_load"), F.percentile("load_time_ms", F.lit(0.9)).alias("p90_load"), c(load > 1500).alias("slow"), c(load > 3000).alias("very_slow"), (F.max("content_length_bytes") / 1024).alias("max_kb"),
         F.max("nav_links").alias("nav_links"), F.sum("n_internal").alias("internal"), c(F.col("n_internal") > 0).alias("linked_pages"), (c(F.col("url").startswith("https://")) > 0).alias("https"),
-        F.bool_or((F.size(extract_emails(F.col("footer_text"))) + F.size(extract_phones(F.col("footer_text"))) > 0) | F.col("footer_social")).alias("footer"), F.sum("broken").alias("broken_links"), (c(F.col("url").startswith("http://")) > 0).alias("http"), F.sum("n_headings").alias("headings"), c((F.col("n_headings") > 0) | (F.col("title") != "")).alias("headed_pages"), F.sum(F.col("words")).alias("words"),
+        F.bool_or((F.size(extract_emails(F.col("footer_text"))) + F.size(extract_phones(F.col("footer_text"))) > 0) | F.col("footer_social")).alias("footer"), F.sum("broken").alias("broken_links"), (c(F.col("url").startswith("http://")) > 0).alias("http"), c(F.col("very_large_images") > 0).alias("very_large_image_pages"), c(F.col("modern_images") > 0).alias("modern_image_pages"), F.sum("n_headings").alias("headings"), c((F.col("n_headings") > 0) | (F.col("title") != "")).alias("headed_pages"), F.sum(F.col("words")).alias("words"),
     )
 
 
@@ -66,14 +66,14 @@ def site_scores(counts: DataFrame, robots: bool = True, sitemap: bool = True) ->
         (r("noindex_pages") > 0.3, 5), (F.lit(not robots), 2), (F.lit(not sitemap), 2),
     )
     load, p90, slow, kb = F.col("avg_load"), F.col("p90_load"), F.col("slow"), F.col("max_kb")
-    performance = minus((load > 1000, 5), (load > 2000, 10), (p90 > 2000, 5), (p90 > 3000, 10), (slow > 0, 5), (slow > 3, 5), (F.col("very_slow") > 0, 10), (kb > 1024, 5), (kb > 2048, 10))
+    performance = minus((load > 1000, 5), (load > 2000, 10), (p90 > 2000, 5), (p90 > 3000, 10), (slow > 0, 5), (slow > 3, 5), (F.col("very_slow") > 0, 10), (kb > 1024, 5), (kb > 2048, 10), (r("very_large_image_pages") > 0.2, 5))
     words = F.coalesce("avg_words_important", "avg_words")
     content = minus((i("very_thin") > 0.1, 10), (i("very_thin") > 0.3, 10), (i("thin_pages") > 0.2, 5), (i("thin_pages") > 0.4, 10), (words < 200, 5), (words < 100, 10))
     structure = minus((F.col("nav_links") == 0, 15), (~F.col("footer"), 10), (F.col("bad_pages") > 0, 5), (F.col("bad_pages") > 5, 10), (F.col("deep_pages") > 0, 5), (~F.col("https"), 10), (F.col("mixed_pages") > 0, 5), (r("no_viewport_pages") > 0.3, 5))
     unique = F.col("unique_ratio") if "unique_ratio" in counts.columns else F.lit(100.0)
     cover = clamp_0_100(r("headed_pages") * 60 + F.least(F.col("headings") / n / 5, F.lit(1.0)) * 40)
     depth = clamp_0_100(0.5 * words_curve(F.col("avg_words")) + 0.3 * unique + 0.2 * cover)
-    rows = counts.select("site", "pages", seo.alias("seo"), performance.alias("performance"), content.alias("c"), structure.alias("s"), depth.alias("content_depth"), crawlability().alias("crawlability"), nav_type().alias("nav_type"))
+    rows = counts.select("site", "pages", seo.alias("seo"), performance.alias("performance"), content.alias("c"), structure.alias("s"), depth.alias("content_depth"), crawlability().alias("crawlability"), nav_type().alias("nav_type"), "avg_load", "no_h1")
     rows = rows.withColumn("content", clamp_0_100(F.bround(0.7 * F.col("c") + 0.3 * F.col("content_depth")).cast("int"))).withColumn("structure", clamp_0_100(F.bround(0.8 * F.col("s") + 0.2 * F.col("crawlability")).cast("int")))
     four = F.col("seo") + F.col("performance") + F.col("content") + F.col("structure")
     return rows.withColumn("overall", F.bround(four / 4).cast("int")).drop("c", "s")
@@ -104,6 +104,8 @@ def issue_rules(robots: bool = True, sitemap: bool = True) -> list[tuple[str, st
         ("very_slow_pages", "performance", col("very_slow"), always("high")),
         ("slow_pages", "performance", col("slow"), always("medium")),
         ("heavy_page", "performance", whole(col("max_kb") > 1500), always("medium")),
+        ("very_large_images", "performance", col("very_large_image_pages"), always("medium")),
+        ("no_modern_images", "performance", whole(col("modern_image_pages") == 0), always("low")),
         ("no_navigation", "structure", whole(col("nav_links") == 0), always("high")),
         ("no_footer_contact", "structure", whole(~col("footer")), always("medium")),
         ("deep_urls", "structure", F.when(col("deep_pages") > n * 0.2, col("deep_pages")).otherwise(0), always("low")),
@@ -130,15 +132,28 @@ def top_issues(issues: DataFrame, k: int = 5) -> DataFrame:
 
 
 def comparison_rows(scores: DataFrame, primary: str) -> DataFrame:
-    """The primary site against every other, metric by metric, with direction and verdict."""
-    metrics = ["overall", "seo", "performance", "content", "structure", "content_depth", "crawlability"]
-    long = scores.select("site", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("site", "m.*")
-    mine = long.where(F.col("site") == primary).select("metric", F.col("value").alias("primary_value"))
-    gap = F.col("primary_value") - F.col("value")
-    close = F.when(F.col("metric").isin("overall", "content_depth"), 5.0).when(F.col("metric") == "crawlability", 10.0).otherwise(3.0)
+    """The primary site against every other, metric by metric: both values, the difference, direction and verdict.
+
+    Of load times the lower is better, of missing h1 too, which only stands where the sites differ (0 or 1: no page or
+    some); navigation types are equal or different and have no difference. Fixed values: from which gap on a metric is no
+    longer neutral.
+    """
+    gaps = {"overall": 5.0, "seo": 3.0, "performance": 3.0, "content": 3.0, "structure": 3.0, "avg_load": 200.0, "content_depth": 5.0, "crawlability": 10.0, "missing_h1": 0.5}
+    value = lambda m: F.when(F.col("no_h1") > 0, 1.0).otherwise(0.0) if m == "missing_h1" else F.col(m).cast("double")
+    each = [F.struct(F.lit(m).alias("metric"), value(m).alias("value"), F.lit(None).cast("string").alias("name")) for m in gaps]
+    each.append(F.struct(F.lit("nav_type").alias("metric"), F.lit(None).cast("double").alias("value"), F.col("nav_type").alias("name")))
+    long = scores.select("site", F.explode(F.array(*each)).alias("m")).select("site", "m.*")
+    mine = long.where(F.col("site") == primary).select("metric", F.col("value").alias("primary_value"), F.col("name").alias("primary_name"))
     rows = long.where(F.col("site") != primary).join(F.broadcast(mine), "metric")  # one row per metric
-    verdict = F.when(F.abs(gap) < close, "similar").when(gap >= 10, "much better").when(gap > 0, "better").when(gap <= -10, "much worse").otherwise("worse")
-    return rows.select("site", "metric", "primary_value", F.col("value").alias("competitor_value"), gap.alias("difference"), verdict.alias("verdict"))
+    gap = F.col("primary_value") - F.col("value")
+    good = F.when(F.col("metric").isin("avg_load", "missing_h1"), -gap).otherwise(gap)
+    close = F.create_map(*[F.lit(x) for pair in gaps.items() for x in pair])[F.col("metric")]
+    same_name = F.when(F.col("primary_name") == F.col("name"), "neutral").otherwise("different")
+    direction = F.when(F.col("metric") == "nav_type", same_name).when(F.abs(good) <= close, "neutral").when(good > 0, "better").otherwise("worse")
+    far = F.abs(good) >= F.when(F.col("metric") == "avg_load", 1000.0).otherwise(10.0)
+    verdict = F.when(F.col("direction") == "neutral", "similar").when(far & F.col("direction").isin("better", "worse"), F.concat(F.lit("much "), F.col("direction"))).otherwise(F.col("direction"))
+    rows = rows.withColumn("difference", gap).withColumn("direction", direction).where("metric <> 'missing_h1' or difference <> 0")
+    return rows.select("site", "metric", "primary_value", F.col("value").alias("competitor_value"), "difference", F.coalesce("primary_name", F.lit("")).alias("primary_name"), F.coalesce("name", F.lit("")).alias("competitor_name"), "direction", verdict.alias("verdict"))
 
 
 def opportunities(stats: DataFrame, scores: DataFrame, primary: str) -> DataFrame:

@@ -130,7 +130,53 @@ found AS (SELECT site, url, 'missing_title' AS issue, NULL AS note FROM pf WHERE
     UNION ALL SELECT site, url, 'broken_links', broken || ' links' FROM pf WHERE broken > 0 UNION ALL SELECT site, url, 'error_pages', 'status ' || status FROM pf WHERE bad),
 issue_urls AS (SELECT site, issue, url, min(note) AS note FROM found GROUP BY ALL)"""
 
+_SCORES = r"""fo AS (SELECT page_id, regexp_extract(html, '(?s)<footer[^>]*>(.*?)</footer>', 1) AS f, regexp_matches(lower(html), '<meta[^>]*viewport') AS viewport, regexp_matches(lower(html), '<meta[^>]*robots[^>]*noindex') AS robots FROM body),
+bp AS (SELECT url, count(*) AS broken FROM bad_links GROUP BY url), fl AS (SELECT f.*, fo.*, coalesce(broken, 0) AS broken, page_type IN ('article', 'landing', 'generic') AS imp FROM flags f JOIN fo USING (page_id) LEFT JOIN bp USING (url)),
+uq AS (SELECT site, 100 * count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM reps b WHERE b.site = a.site AND b.first < a.first AND bit_count(xor(a.simhash, b.simhash)) <= 12)) / sum(members) AS uniq FROM reps a GROUP BY site),
+ct AS (SELECT site, count(*) AS n, count(*) FILTER (WHERE missing_title) AS no_title, count(*) FILTER (WHERE missing_description) AS no_desc, count(*) FILTER (WHERE missing_h1) AS no_h1, count(*) FILTER (WHERE broken > 0) AS broken_pages, sum(broken) AS broken_links,
+    count(*) FILTER (WHERE robots) AS noindex_pages, count(*) FILTER (WHERE NOT viewport) AS no_viewport_pages, count(*) FILTER (WHERE mixed_content) AS mixed, count(*) FILTER (WHERE deep_url) AS deep, count(*) FILTER (WHERE bad) AS bad_pages,
+    count(*) FILTER (WHERE imp AND thin = 'very_thin') AS vthin, count(*) FILTER (WHERE imp AND thin = 'thin') AS thinp, count(*) FILTER (WHERE NOT imp AND thin IS NOT NULL) AS low_text, count(*) FILTER (WHERE imp) AS important,
+    avg(words) FILTER (WHERE imp) AS awi, avg(words) AS aw, avg(load_time_ms) AS avg_load, quantile_cont(load_time_ms, 0.9) AS p90, count(*) FILTER (WHERE load_time_ms > 1500) AS slow, count(*) FILTER (WHERE load_time_ms > 3000) AS vslow,
+    max(content_length_bytes) / 1024 AS kb, max(nav_links) AS nav, sum(n_internal) AS internal, count(*) FILTER (WHERE n_internal > 0) AS linked, bool_or(starts_with(url, 'https://')) AS https, bool_or(starts_with(url, 'http://')) AS http,
+    bool_or(regexp_matches(f, '@[A-Za-z0-9-]+\.[A-Za-z]{2,}|[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}|(facebook|twitter|instagram|linkedin|youtube|tiktok|pinterest|github)\.com')) AS footer, sum(n_headings) AS heads,
+    count(*) FILTER (WHERE n_headings > 0 OR title <> '') AS headed FROM fl GROUP BY site),
+sc AS (SELECT *, coalesce(uniq, 100) AS u, coalesce(awi, aw) AS w, CASE WHEN important > 0 THEN important ELSE n END AS d, internal / n AS per FROM ct LEFT JOIN uq USING (site)),
+parts AS (SELECT *, greatest(0, 100 - 10 * (no_title / n >= 0.1)::INT - 10 * (no_title / n > 0.3)::INT - 10 * (no_desc / n >= 0.1)::INT - 10 * (no_desc / n > 0.3)::INT - 5 * (no_h1 / n >= 0.1)::INT - 10 * (no_h1 / n > 0.3)::INT
+        - 5 * (broken_pages > 0)::INT - 10 * (broken_pages > 10)::INT - 5 * (noindex_pages / n > 0.3)::INT) AS seo,
+    greatest(0, 100 - 5 * (avg_load > 1000)::INT - 10 * (avg_load > 2000)::INT - 5 * (p90 > 2000)::INT - 10 * (p90 > 3000)::INT - 5 * (slow > 0)::INT - 5 * (slow > 3)::INT - 10 * (vslow > 0)::INT - 5 * (kb > 1024)::INT - 10 * (kb > 2048)::INT) AS performance,
+    greatest(0, 100 - 10 * (vthin / d > 0.1)::INT - 10 * (vthin / d > 0.3)::INT - 5 * (thinp / d > 0.2)::INT - 10 * (thinp / d > 0.4)::INT - 5 * (w < 200)::INT - 10 * (w < 100)::INT) AS c0,
+    greatest(0, 100 - 15 * (nav = 0)::INT - 10 * (NOT footer)::INT - 5 * (bad_pages > 0)::INT - 10 * (bad_pages > 5)::INT - 5 * (deep > 0)::INT - 10 * (NOT https)::INT - 5 * (mixed > 0)::INT - 5 * (no_viewport_pages / n > 0.3)::INT) AS s0,
+    0.5 * (CASE WHEN aw <= 0 THEN 0 WHEN aw < 100 THEN aw / 100 * 30 WHEN aw < 300 THEN 30 + (aw - 100) / 200 * 40 WHEN aw <= 2000 THEN 70 + (aw - 300) / 1700 * 30 ELSE 100 END)::DOUBLE + 0.3::DOUBLE * u
+        + 0.2::DOUBLE * (headed / n * 60 + least(heads / n / 5, 1) * 40) AS depth,
+    round(greatest(0, least(100, 0.4::DOUBLE * (CASE WHEN per < 0.5 THEN 0 WHEN per < 2 THEN per / 0.5 * 50 WHEN per < 5 THEN 50 + (per - 2) / 3 * 50 ELSE 100 END) + 0.3::DOUBLE * (linked / n * 100) + 0.3::DOUBLE * least(per / 10 * 100, 100))), 2) AS crawl,
+    CASE WHEN n <= 5 AND nav = 0 THEN 'single_page' WHEN nav >= 5 THEN 'multi_section' WHEN nav > 0 THEN 'simple_nav' WHEN internal > n * 3 THEN 'implicit_content_links' WHEN n > 20 AND nav < 3 THEN 'app_style' ELSE 'none_detected' END AS nav_type FROM sc),
+graded AS (SELECT *, round_even(0.7::DOUBLE * c0 + 0.3::DOUBLE * least(100, depth), 0)::INT AS content, round_even(0.8::DOUBLE * s0 + 0.2::DOUBLE * crawl, 0)::INT AS structure FROM parts),
+issues AS (SELECT site, n AS pages, unnest(['missing_title', 'missing_description', 'missing_h1', 'noindex', 'very_thin_content', 'thin_content', 'low_text_catalog', 'low_average_words', 'slow_average', 'slow_p90', 'very_slow_pages', 'slow_pages', 'heavy_page', 'no_modern_images',
+        'no_navigation', 'no_footer_contact', 'deep_urls', 'http_only', 'mixed_content', 'no_viewport', 'broken_links', 'error_pages']) AS issue,
+    unnest(['seo', 'seo', 'seo', 'seo', 'content', 'content', 'content', 'content', 'performance', 'performance', 'performance', 'performance', 'performance', 'performance', 'structure', 'structure', 'structure', 'structure', 'structure', 'structure', 'structure', 'structure']) AS category,
+    unnest([no_title, no_desc, no_h1, noindex_pages, vthin, thinp, low_text, n * (w < 200 AND important > 0)::INT, n * (avg_load > 2000)::INT, n * (p90 > 3000)::INT, vslow, slow, n * (kb > 1500)::INT, n, n * (nav = 0)::INT, n * (NOT footer)::INT, CASE WHEN deep > n * 0.2 THEN deep ELSE 0 END,
+        n * (http AND NOT https)::INT, CASE WHEN https THEN mixed ELSE 0 END, no_viewport_pages, broken_pages, bad_pages])::BIGINT AS affected,
+    unnest([CASE WHEN no_title / n > 0.2 THEN 'high' ELSE 'medium' END, CASE WHEN no_desc / n > 0.2 THEN 'high' ELSE 'medium' END, CASE WHEN no_h1 / n > 0.1 THEN 'medium' ELSE 'low' END, 'medium', 'high', 'medium', 'low', 'low', 'high', 'high', 'high', 'medium', 'medium', 'low',
+        'high', 'medium', 'low', 'high', 'medium', 'medium', CASE WHEN broken_links > 10 THEN 'high' ELSE 'medium' END, 'high']) AS severity FROM sc),
+site_issues AS (SELECT * FROM issues WHERE affected > 0), main_site AS (SELECT site AS mine FROM ct ORDER BY n DESC, site LIMIT 1)"""
+
 ORACLES = {
+    "site_scores": f"""{_ALL}, {_SIM_PAGES}, {_SCORES} SELECT site, n AS pages, seo::INT AS seo, performance::INT AS performance, least(100, depth) AS content_depth, crawl AS crawlability, nav_type, avg_load, no_h1, content, structure,
+        round_even((seo + performance + content + structure) / 4, 0)::INT AS overall FROM graded""",
+    "site_issues": f"{_ALL}, {_SIM_PAGES}, {_SCORES} SELECT * FROM site_issues",
+    "top_issues": f"""{_ALL}, {_SIM_PAGES}, {_SCORES} SELECT *, row_number() OVER (PARTITION BY site ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, affected DESC, issue)::INT AS rank FROM site_issues QUALIFY rank <= 5""",
+    "comparison_rows": f"""{_ALL}, {_SIM_PAGES}, {_SCORES}, m AS (SELECT site, nav_type, unnest(['overall', 'seo', 'performance', 'content', 'structure', 'avg_load', 'content_depth', 'crawlability', 'missing_h1', 'nav_type']) AS metric,
+            unnest([round_even((seo + performance + content + structure) / 4, 0), seo, performance, content, structure, avg_load, least(100, depth), crawl, (no_h1 > 0)::INT, NULL]::DOUBLE[]) AS v, unnest([5, 3, 3, 3, 3, 200, 5, 10, 0.5, NULL]::DOUBLE[]) AS close FROM graded),
+        j AS (SELECT o.site, o.metric, p.v AS primary_value, o.v AS competitor_value, p.v - o.v AS difference, CASE WHEN o.metric = 'nav_type' THEN p.nav_type ELSE '' END AS primary_name, CASE WHEN o.metric = 'nav_type' THEN o.nav_type ELSE '' END AS competitor_name, o.close,
+            CASE WHEN o.metric IN ('avg_load', 'missing_h1') THEN o.v - p.v ELSE p.v - o.v END AS good, CASE WHEN o.metric = 'avg_load' THEN 1000 ELSE 10 END AS far FROM m p JOIN main_site ON p.site = mine JOIN m o ON o.metric = p.metric AND o.site <> p.site),
+        d AS (SELECT *, CASE WHEN metric = 'nav_type' THEN CASE WHEN primary_name = competitor_name THEN 'neutral' ELSE 'different' END WHEN abs(good) <= close THEN 'neutral' WHEN good > 0 THEN 'better' ELSE 'worse' END AS direction FROM j WHERE metric <> 'missing_h1' OR difference <> 0)
+        SELECT site, metric, primary_value, competitor_value, difference, primary_name, competitor_name, direction, CASE WHEN direction = 'neutral' THEN 'similar' WHEN abs(good) >= far AND metric <> 'nav_type' THEN 'much ' || direction ELSE direction END AS verdict FROM d""",
+    "opportunities": f"""{_ALL}, {_SIM_PAGES}, {_SCORES}, st AS (SELECT site, sum(words) AS words, avg(words) AS avg_words, sum(n_images) AS media, count(*) FILTER (WHERE status >= 400) AS errors FROM flags GROUP BY site),
+        a AS (SELECT g.*, st.*, round_even((seo + performance + g.content + g.structure) / 4, 0) AS overall FROM graded g JOIN st USING (site)), p AS (SELECT a.* FROM a JOIN main_site ON site = mine), o AS (SELECT a.* FROM a JOIN main_site ON site <> mine)
+        SELECT p.site, x.opportunity FROM p, (SELECT unnest(['words_by_half', 'words_by_a_fifth', 'load', 'p90', 'overall', 'seo', 'performance', 'structure', 'avg_words', 'pages', 'media', 'errors', 'page_size']) AS opportunity, unnest(range(1, 14)) AS i) x
+        WHERE [(SELECT bool_or(o.words > 1.5 * p.words) FROM o), (SELECT bool_or(o.words > 1.2 * p.words AND o.words <= 1.5 * p.words) FROM o), p.avg_load > 1.2 * (SELECT min(avg_load) FROM o), p.p90 > 1.3 * (SELECT min(p90) FROM o), p.overall < (SELECT max(overall) FROM o) - 10,
+            p.seo < (SELECT max(seo) FROM o) - 10, p.performance < (SELECT max(performance) FROM o) - 10, p.structure < (SELECT max(structure) FROM o) - 10, p.avg_words < 0.8 * (SELECT max(avg_words) FROM o), p.n < 0.7 * (SELECT max(n) FROM o), p.media < 0.7 * (SELECT max(media) FROM o),
+            p.errors > (SELECT max(errors) FROM o), p.kb > 1.5 * (SELECT avg(kb) FROM o)][x.i]""",
     "extract_main_text": rf"""WITH a AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS site, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS x FROM pages),
         b AS (SELECT page_id, site, unnest(x) AS raw, generate_subscripts(x, 1) AS i FROM a), c AS (SELECT page_id, i, {_plain('raw')} AS text FROM b WHERE {_plain('raw')} <> '')
         SELECT page_id, site, coalesce(string_agg(text, chr(10) ORDER BY i), '') AS main_text, coalesce(sum(len(string_split(text, ' '))), 0)::INT AS words, count(text)::INT AS blocks FROM a LEFT JOIN c USING (page_id) GROUP BY page_id, site""",
@@ -182,13 +228,21 @@ ORACLES = {
     "error_rollup": f"{_F} SELECT site, status, errors, errors * 100 / pages AS rate FROM (SELECT site, status, count(*) AS errors FROM flog WHERE status IN (404, 410) OR status BETWEEN 500 AND 599 GROUP BY ALL) JOIN (SELECT site, count(*) AS pages FROM flog GROUP BY site) USING (site)",
     "block_pages": f"""{_F}, r AS (SELECT page_id, CASE WHEN status IN (403, 409, 423, 429, 503) THEN 'http_status_' || status WHEN regexp_matches(lower(left(html, 4096)), 'robot or human|are you a robot|bot detection|captcha|unusual traffic|access denied') THEN 'captcha_content' END AS reason
         FROM pages JOIN flog USING (page_id)) SELECT * FROM r WHERE reason IS NOT NULL""",
-    "status_map": f"{_F} SELECT site, url, arg_max(status, page_id) AS status FROM flog GROUP BY ALL",
+    "status_map": f"""{_F}, d AS (SELECT site, url, arg_max(CASE WHEN page_id % 6 = 0 THEN 301 WHEN page_id % 10 = 4 THEN 410 ELSE status END, page_id) AS status FROM flog WHERE page_id % 2 = 0 GROUP BY ALL)
+        SELECT site, url, coalesce(d.status, i.status) AS status FROM (SELECT site, url, arg_max(status, page_id) AS status FROM flog GROUP BY ALL) i LEFT JOIN d USING (site, url)""",
+    "crawl_quality": rf"""{_ALL}, fo AS (SELECT page_id, regexp_extract(html, '(?s)<footer[^>]*>(.*?)</footer>', 1) AS f FROM body), bl AS (SELECT site, count(*) AS n FROM bad_links GROUP BY site),
+        q AS (SELECT site, count(*) AS pages_crawled, count(DISTINCT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1)) AS unique_paths, round_even(avg(load_time_ms), 0)::INT AS avg_load, round_even(quantile_cont(load_time_ms, 0.9), 0)::INT AS p90_load,
+            count(*) FILTER (WHERE page_type = 'catalog') AS catalog_pages, count(*) FILTER (WHERE page_type = 'article') AS article_pages, count(*) FILTER (WHERE page_type = 'landing') AS landing_pages, count(*) FILTER (WHERE page_type = 'utility') AS utility_pages,
+            count(*) FILTER (WHERE status = 404) AS pages_404, count(*) FILTER (WHERE thin IS NOT NULL AND page_type IN ('article', 'landing', 'generic')) AS thin_important, count(*) FILTER (WHERE thin IS NOT NULL AND page_type IN ('catalog', 'product')) AS thin_catalog,
+            max(nav_links) > 0 AS nav_found, bool_or(regexp_matches(f, '<a\s[^>]*href|@[A-Za-z0-9-]+\.[A-Za-z]{{2,}}|[0-9]{{3}}\)?[-. ]?[0-9]{{3}}[-. ]?[0-9]{{4}}')) AS footer_found FROM flags JOIN fo USING (page_id) GROUP BY site)
+        SELECT q.*, coalesce(n, 0) AS broken_links, pages_crawled - unique_paths AS duplicates, CASE WHEN pages_crawled < 10 OR NOT nav_found OR pages_404 / pages_crawled * 100 > 25 THEN 'BAD'
+            WHEN thin_important / pages_crawled * 100 > 20 OR pages_crawled - unique_paths > pages_crawled * 0.1 OR (article_pages + landing_pages = 0 AND pages_crawled > 5) THEN 'WARNING' ELSE 'GOOD' END AS overall_health FROM q LEFT JOIN bl USING (site)""",
     "broken_internal_links": f"{_ALL} SELECT * FROM bad_links",
     "uncrawled_links": f"{_ALL} SELECT site, href, count(*) AS links FROM links WHERE kind = 'internal' AND href NOT IN (SELECT url FROM flog) GROUP BY ALL",
     "pages_with_broken": f"{_ALL} SELECT site, url FROM flog WHERE url IN (SELECT url FROM bad_links)",
     "link_degree": f"""{_ALL}, e AS (SELECT DISTINCT url AS src, href AS dst FROM links WHERE kind = 'internal' AND href <> url)
         SELECT DISTINCT site, url, (SELECT count(*) FROM e WHERE src = url) AS out_degree, (SELECT count(*) FROM e WHERE dst = url) AS in_degree FROM flog""",
-    "nav_rollup": f"""{_P_}, n AS (SELECT site, href, count(*) AS frequency, max(label) AS label FROM links WHERE kind = 'internal' AND label <> '' GROUP BY ALL HAVING count(*) > 1)
+    "nav_rollup": f"""{_P_}, n AS (SELECT site, href, count(*) AS frequency, arg_max(label, (url, pos)) AS label FROM links WHERE kind = 'internal' AND label <> '' GROUP BY ALL HAVING count(*) > 1)
         SELECT *, row_number() OVER (PARTITION BY site ORDER BY frequency DESC, href)::INT AS rank FROM n QUALIFY rank <= 20""",
     "exact_duplicates": "SELECT * FROM (SELECT sha1(coalesce(text, '')) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1) WHERE copies > 1",
     "simhash64": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS w FROM documents),

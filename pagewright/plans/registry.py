@@ -139,7 +139,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "error_rollup": lambda t: fetches.error_rollup(t.fetch),
     "crawl_quality": lambda t: fetches.crawl_quality(t.flags, t.broken),
     "block_pages": lambda t: t.pages.join(t.fetch.select("page_id", "status"), "page_id").select("page_id", parse.classify_block_page(F.col("status"), F.col("html")).alias("reason")).where("reason is not null"),
-    "status_map": lambda t: links.status_map(t.fetch, t.flags.select("site", "url", "status", "page_id")),
+    "status_map": lambda t: links.status_map(t.fetch, fetches.page_statuses(t.fetch)),
     "broken_internal_links": lambda t: links.broken_internal_links(t.links, t.fetch),
     "uncrawled_links": lambda t: links.uncrawled_links(t.links, t.fetch),
     "pages_with_broken": lambda t: links.pages_with_broken(t.fetch.select("site", "url"), t.broken),
