@@ -59,8 +59,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
     """Every row of ``docs`` with its columns ``keep``, and the columns that the mix adds, under free names: source_size,
-    target, size and times (how often the row is taken)."""
-    names = {n: free_name(docs, f"_{n}") for n in ("size", "key", "bin", "sub", "src", "rid", "part", "source_size", "target", "epochs", "budget", "last", "before", "fine", "start", "n", "times", "quality")}
+    target, size, times (how often the row is taken whole) and extra (the words taken beyond complete epochs)."""
+    names = {n: free_name(docs, f"_{n}") for n in ("size", "key", "bin", "sub", "src", "rid", "part", "source_size", "target", "epochs", "budget", "last", "before", "fine", "start", "n", "times", "extra", "quality")}
     c = {k: F.col(v) for k, v in names.items()}
     # a copy has its original's key: the id and the text decide, not the place
     seen = F.concat_ws("|", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.col("text").cast("string")).cast("string"))
@@ -101,7 +101,7 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, keep: list[str])
     rows = keyed.join(whole, names["src"])
     more = F.coalesce(((c["bin"] < c["last"]) | ((c["bin"] == c["last"]) & (c["sub"] < c["fine"]))).cast("int"), F.lit(0))
     ends_here = F.coalesce((c["bin"] == c["last"]) & (c["sub"] == c["fine"]), F.lit(False))
-    clear = rows.where(~ends_here).withColumn(names["times"], c["epochs"] + more)
+    clear = rows.where(~ends_here).withColumn(names["times"], c["epochs"] + more).withColumn(names["extra"], c["size"] * more)
     # copies count as one, by the task that wrote them, so that a crowd of them is never sorted in one task
     edge = rows.where(ends_here).withColumn(names["part"], F.shiftright(names["rid"], 33))
     same = [names[n] for n in ("src", "key", "size", "part")]
@@ -111,7 +111,10 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, keep: list[str])
     upto = c["start"] + c["before"] + c["size"] * F.row_number().over(Window.partitionBy(*same).orderBy(names["rid"]))
     # nearer with than without: the middle of the document lies before the budget's end
     cut = edge.join(crowds, same).withColumn(names["times"], c["epochs"] + ((upto - c["size"] / 2) <= c["budget"]).cast("int"))
-    out = [*keep, *(names[n] for n in ("size", "source_size", "target", "times"))]
+    # of the document in which the budget ends its first words are taken, up to the budget in whole words
+    part = F.floor(c["budget"] + 0.5) - (upto - c["size"])
+    cut = cut.withColumn(names["extra"], F.greatest(F.lit(0), F.least(c["size"], part)))
+    out = [*keep, *(names[n] for n in ("size", "source_size", "target", "epochs", "times", "extra"))]
     return clear.select(*out).union(cut.select(*out)), names
 
 
@@ -119,20 +122,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     """``docs(doc_id, text, source)`` -> ``(doc_id, size, source_size, target, taken)``, one row per input row, and
     ``source`` and ``times``.
 
-    ``taken`` is size times the number of times the mix takes the document: the source's complete epochs,
-    and one more if the document's key comes before the budget is full. The document in which the budget
-    ends is taken if that brings the sum nearer to the target. Null and empty texts have size 0 and are taken
+    ``taken`` is the words that the mix takes of the document: its size by the source's complete epochs, once more if its
+    key comes before the budget is full, and its first words only if the budget ends in it; so a source's words are its
+    target rounded to whole words. ``times`` is how often it comes as a whole document, the last one if that is nearer
+    to the target. Null and empty texts have size 0 and are taken
     as 0 words; a long text is a document like any other. A null source is a source of its own, the last. Repeated
     rows have one key and are taken one by one. A corpus without words gives targets of 0. Empty table: no
     rows. Extra columns are left out. Sources themselves, one row each, are ranked in one task.
     """
     rows, n = _plan(docs.select("doc_id", "text", "source"), weights, most, ["doc_id", "source"])
     col = lambda k: F.col(n[k]).alias(k)
-    return rows.select("doc_id", col("size"), col("source_size"), col("target"), (F.col(n["size"]) * F.col(n["times"])).alias("taken"), "source", col("times"))
+    return rows.select("doc_id", col("size"), col("source_size"), col("target"), (F.col(n["size"]) * F.col(n["epochs"]) + F.col(n["extra"])).alias("taken"), "source", col("times"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as ``mix`` takes it; columns and their order as they were,
+    """``docs`` as the mix takes them, in whole documents: each row as often as ``times`` of ``mix`` says; columns and their order as they were,
     whatever their names. Rows without words come with their source's complete epochs or not at all. Repeated rows
     and null ids are rows of their own. Empty table: no rows."""
     rows, n = _plan(docs, weights, most, docs.columns)

@@ -50,7 +50,7 @@ def brute_mix(rows, spark):
         budget, sum_ = goals[s] - epochs * whole, 0
         for i in sorted(at, key=lambda i: (key[i], size[i])):
             sum_ += size[i]
-            out.append((rows[i][0], size[i] * (epochs + (budget > 0 and sum_ - size[i] / 2 <= budget))))
+            out.append((rows[i][0], size[i] * epochs + max(0, min(size[i], math.floor(budget + 0.5) - (sum_ - size[i])))))
     return out, goals
 
 
@@ -71,6 +71,7 @@ def test_mix_equals_brute_force(spark):
     for s, t in goals.items():
         one = got[got.source.isna() if s is None else got.source == s]
         assert np.allclose(one.target, t) and (one["size"].sum() == one.source_size).all()
+        assert abs(one.taken.sum() - t) <= 0.5 + 1e-9 and (one.taken <= 3 * one["size"]).all()
 
 
 def test_mixed_takes_each_row_as_often_as_planned(spark):
