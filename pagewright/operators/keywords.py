@@ -104,13 +104,20 @@ def tokens(text: Column) -> Column:
 def phrase_hits(pages: DataFrame, wanted: DataFrame, texts: dict[str, Column], *keep: str) -> DataFrame:
     """(site, phrase, url, *keep, place, n): how often phrases of up to three words stand in each place of a page. Every
     place becomes word runs, which meet the phrases of their site in one equi-join; copies of a run in one page's place
-    fold into one row within the tasks."""
+    fold into one row within the tasks. Places that overlap, as a phrase that ends as it begins can have, count from left to
+    right, each word once; only of such phrases are the places gathered, by page."""
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), t.alias("texts")) for p, t in texts.items()]))
     words = pages.select("site", "url", *keep, each.alias("p")).select("site", "url", *keep, "p.place", F.explode("p.texts").alias("t"))
     words = words.withColumn("w", F.filter(F.split(normalize_text(F.col("t")), " "), lambda w: w != ""))
-    runs = F.concat(*[F.when(F.size("w") >= n, F.transform(runs_of(F.col("w"), n), lambda r: F.array_join(r, " "))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])
-    met = words.select("site", "url", *keep, "place", F.explode(runs).alias("phrase")).join(wanted, ["site", "phrase"])
-    return met.groupBy("site", "phrase", "url", *keep, "place").agg(F.count(F.lit(1)).alias("n"))
+    run = lambda r, i: F.struct(F.array_join(r, " ").alias("phrase"), i.alias("at"))
+    runs = F.concat(*[F.when(F.size("w") >= n, F.transform(runs_of(F.col("w"), n), run)).otherwise(F.array().cast("array<struct<phrase:string,at:int>>")) for n in (1, 2, 3)])
+    met = words.select("site", "url", *keep, "place", F.explode(runs).alias("r")).select("site", "url", *keep, "place", "r.*").join(wanted, ["site", "phrase"])
+    parts = F.split("phrase", " ")
+    closes = (F.size(parts) > 1) & (F.element_at(parts, 1) == F.element_at(parts, -1))
+    met = met.groupBy("site", "phrase", "url", *keep, "place").agg(F.count(F.lit(1)).alias("all"), F.collect_list(F.when(closes, F.col("at"))).alias("at"))
+    step = lambda s, i: F.when(i >= s["free"], F.struct((i + F.size(parts)).alias("free"), (s["n"] + 1).alias("n"))).otherwise(s)
+    apart = F.aggregate(F.array_sort("at"), F.struct(F.lit(0).alias("free"), F.lit(0).alias("n")), step, lambda s: s["n"])
+    return met.withColumn("n", F.when(closes, apart.cast("bigint")).otherwise(F.col("all"))).drop("all", "at")
 
 
 def keyword_metrics(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
