@@ -144,9 +144,7 @@ def train_model(train: DataFrame) -> Model:
     as_hashes = lambda x: np.frombuffer(bytes(x), np.uint64)
     y = np.array(rows["toxic"], float)
     weigh = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum())) / (n[1] + n[0])
-    known, w, b = fit([as_hashes(h) for h in rows["held"]], y, weigh, [(as_hashes(r["lost"]), as_hashes(r["gained"]), r["n"]) for r in moves])
-    kept = np.abs(w) > 1e-4
-    return known[kept], w[kept], b
+    return fit([as_hashes(h) for h in rows["held"]], y, weigh, [(as_hashes(r["lost"]), as_hashes(r["gained"]), r["n"]) for r in moves])
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
