@@ -100,8 +100,12 @@ def template_table(spark: SparkSession, order: list[str], templates: list[tuple[
     for n, (label, text) in enumerate(templates):
         words, long = sorted(set(text.split()), key=rank.__getitem__), ceil(STRETCH * len(text.split()))
         need = needed(set(words), threshold)
-        rows += [f"({n}, '{label}', '{' '.join(words)}', {need}, {long}, '{w}', {i})" for i, w in enumerate(words[: len(words) - need + 1])]
-    return spark.sql(f"select n, label, split(words, ' ') as words, need, long, word, place from values {', '.join(rows)} as t(n, label, words, need, long, word, place)")
+        if words:
+            values = (n, label, _literal(words), need, long, _literal(words[: len(words) - need + 1]))
+            rows.append(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(c) for c, v in zip(("n", "label", "words", "need", "long", "prefix"), values, strict=True)]))
+    kind = "array<struct<n:int,label:string,words:array<string>,need:int,long:int,prefix:array<string>>>"
+    each = spark.range(1).select(F.explode(F.array(*rows).cast(kind)).alias("t")).select("t.*")
+    return each.select("n", "label", "words", "need", "long", F.posexplode("prefix").alias("place", "word"))
 
 
 def block_matches(rows: DataFrame, prefixes: DataFrame, order: list[str]) -> DataFrame:
@@ -126,7 +130,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
 
     ``score`` is 1 with a base phrase, else the largest containment of a template that a block meets, else 0.
     A null or empty text has no words: zeros, null places, empty labels. Long texts are read whole. Documents that hold a
-    template several times count once. Repeated rows and null ids stay. Empty table: no rows. Extra columns are left out.
+    template several times count once. Templates without words match nothing, nor does an empty list of them. Repeated rows and null ids stay. Empty table: no rows. Extra columns are left out.
     """
     templates = TEMPLATES if templates is None else templates
     order = word_order(docs, templates)

@@ -70,3 +70,11 @@ def test_licenses_equal_sql(spark):
     a = licenses.scan(spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "doc_id long, text string")).toPandas()
     b = duck.sql(licenses.SQL).df()
     assert show(a[sorted(a)]) == show(b[sorted(b)])
+
+
+def test_no_templates_and_odd_labels(spark):
+    docs = spark.createDataFrame([(1, "all rights reserved by the owner's heirs", *"xxxx"), (2, "alpha beta gamma", *"xxxx"), (3, None, *"xxxx")], KIND)
+    none = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, []).collect()}
+    assert none == {1: ("reserved", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
+    odd = [("o'neil \\", "gamma beta alpha"), ("empty", " \n")]
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs, odd).collect()} == {1: "reserved", 2: "o'neil \\", 3: ""}
