@@ -15,14 +15,26 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-#: Rows that Spark passes to Python at a time, where the session keeps Spark's default.
-BATCH_ROWS = 1_000
+#: Rows that Spark passes to Python at a time, where the session sets no number.
+BATCH_OPTION, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Whole texts are long, and Spark, Arrow and Python each hold a batch of them: take fewer rows than Spark's default."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Whole texts are long, and Spark, Arrow and Python each hold a batch of them: take fewer rows than Spark's default,
+    unless the session names a number of its own."""
+    if BATCH_OPTION not in spark.conf.getAll:
+        spark.conf.set(BATCH_OPTION, str(BATCH_ROWS))
+
+
+@contextmanager
+def batches_restored(spark: SparkSession) -> Iterator[None]:
+    """Whatever ``short_batches`` sets inside ends with the block."""
+    own = BATCH_OPTION in spark.conf.getAll
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(BATCH_OPTION)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
