@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import language_id, mixing, packing, simhash_dedup, toxicity
-from pagewright.llm.common import saved, short_batches, table
+from pagewright.llm.common import batches_restored, saved, short_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or too far from every known language, go."""
+    """Documents without a letter, or too far from every known language, go: null and empty texts among them. Repeated
+    rows stay or go together; an empty table gives none."""
     short_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go. A null or empty text scores as one without features; repeated rows stay or go
+    together; an empty table gives none."""
     short_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
@@ -32,12 +34,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it."""
+    """Each document comes as often as the mix takes it. Documents without words come with their source's complete epochs
+    or not at all; a null source is one source, repeated rows are rows of their own; an empty table gives none."""
     return mixing.mixed(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 1,024."""
+    """Token sequences of 1,024, one row a piece. A null or empty text is its end alone, a long one as many pieces as
+    it needs; repeated rows are packed each; an empty table gives none."""
     short_batches(spark)
     return packing.pack(docs)
 
@@ -56,6 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    with batches_restored(spark):
+        for name, stage in STAGES:
+            docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs
