@@ -76,8 +76,14 @@ def single_word_scores(parsed: DataFrame) -> DataFrame:
 
 
 def focus_keywords(parsed: DataFrame, k: int = 20) -> DataFrame:
-    order = Window.partitionBy("site").orderBy(F.desc("score"), F.desc("pages"), "phrase")
-    return phrase_scores(parsed).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The ``k`` keywords of each site: its phrases by score, pages and name, and where they are fewer than ``k``, single
+    words behind them, with 0 pages. Words compete among the site's 2 ``k`` best; short ones and numbers make none."""
+    best = Window.partitionBy("site").orderBy(F.desc("score"), "phrase")
+    words = single_word_scores(parsed).select("site", F.col("word").alias("phrase"), F.lit(0).cast("bigint").alias("pages"), "score", F.lit(1).alias("single"))
+    words = words.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * k).drop("r").where((F.length("phrase") >= 3) & ~F.col("phrase").rlike("^[0-9]+$"))
+    order = Window.partitionBy("site").orderBy("single", F.desc("score"), F.desc("pages"), "phrase")
+    both = phrase_scores(parsed).withColumn("single", F.lit(0)).unionByName(words)
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("single")
 
 
 def density_score(percent: Column) -> Column:

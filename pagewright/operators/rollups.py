@@ -51,6 +51,22 @@ def rollup_wordcounts(flags: DataFrame) -> DataFrame:
     return flags.groupBy("site", wordcount_bucket(F.col("words")).alias("bucket")).agg(F.count(F.lit(1)).alias("pages"), F.avg("words").alias("avg_words"), F.min("words").alias("min_words"), F.max("words").alias("max_words"))
 
 
+#: Words that make a page one about a service.
+SERVICE_WORDS = "service services solutions consulting support maintenance repair installation design development marketing advertising sales training education".split()
+
+
+def rollup_services(parsed: DataFrame, top: int = 10) -> DataFrame:
+    """Services by site, the ``top`` most mentioned, ties by name: for every service word in a page's text the first
+    heading that holds it names the service, so a page counts once for each such word. Confidence grows to 1 at ten."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    held = F.filter(F.array(*map(F.lit, SERVICE_WORDS)), lambda k: text.contains(k))
+    naming = lambda k: F.get(F.filter("headings", lambda h: F.lower(h["text"]).contains(k)), F.lit(0))["text"]
+    rows = parsed.select("site", F.explode(F.transform(held, naming)).alias("service")).where("service is not null")
+    rows = rows.groupBy("site", "service").agg(F.count(F.lit(1)).alias("pages"))
+    order = Window.partitionBy("site").orderBy(F.desc("pages"), "service")
+    return rows.withColumns({"confidence": F.least(F.lit(1.0), F.col("pages") / 10), "rank": F.row_number().over(order)}).where(F.col("rank") <= top)
+
+
 def rollup_top_paths(pages: DataFrame, top: int = 20) -> DataFrame:
     """First four slash parts of URLs, with their share of the site's pages; the ``top`` of each site."""
     rows = pages.groupBy("site", F.substring_index("url", "/", 4).alias("path")).agg(F.count(F.lit(1)).alias("pages"))

@@ -160,7 +160,30 @@ issues AS (SELECT site, n AS pages, unnest(['missing_title', 'missing_descriptio
         'high', 'medium', 'low', 'high', 'medium', 'medium', CASE WHEN broken_links > 10 THEN 'high' ELSE 'medium' END, 'high']) AS severity FROM sc),
 site_issues AS (SELECT * FROM issues WHERE affected > 0), main_site AS (SELECT site AS mine FROM ct ORDER BY n DESC, site LIMIT 1)"""
 
+_WORDS_OF = r"string_split(trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' ')"
+_PHRASES = rf"""nv AS (SELECT site, url, unnest(regexp_extract_all(regexp_extract(body, '(?s)<nav[^>]*>(.*?)</nav>', 1), '{_A}', 2)) AS raw FROM body),
+located AS (SELECT site, url, 'title' AS place, 10 AS weight, title AS text FROM parsed UNION ALL SELECT site, url, tag, CASE tag WHEN 'h1' THEN 8 ELSE 6 END, text FROM headings WHERE tag IN ('h1', 'h2')
+    UNION ALL SELECT site, url, 'slug', 5, regexp_replace(coalesce(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')[-1], ''), '\.[A-Za-z0-9]+$', '') FROM parsed
+    UNION ALL SELECT site, url, 'nav', 7, {_plain('raw')} FROM nv),
+win AS (SELECT site, url, place, weight, list_filter(w[i:i + n - 1], lambda x: NOT list_contains([{_quoted(STOPWORDS)}], x)) AS kept
+    FROM (SELECT site, url, place, weight, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, {_WORDS_OF.format(x='text')} AS w FROM located), (SELECT unnest([2, 3]) AS n))),
+phrases AS (SELECT site, url, place, weight, array_to_string(kept, ' ') AS phrase FROM win WHERE len(kept) >= 2 AND length(array_to_string(kept, ' ')) >= 4 AND NOT regexp_matches(array_to_string(kept, ' '), '^[0-9 ]+$')),
+scored AS (SELECT site, phrase, count(DISTINCT url) AS pages, (sum(weight) + 3 * (count(DISTINCT url) >= 2)::INT + 2 * bool_or(place IN ('title', 'h1', 'h2'))::INT + (len(string_split(phrase, ' ')) = 3)::INT)::BIGINT AS score FROM phrases GROUP BY site, phrase)"""
+_SERVICES = "service services solutions consulting support maintenance repair installation design development marketing advertising sales training education"
+
 ORACLES = {
+    "phrase_scores": f"{_P_}, {_PHRASES} SELECT * FROM scored",
+    "phrase_scores_v2": f"""{_P_}, {_PHRASES} SELECT site, phrase, count(*) AS occurrences, count(*) FILTER (WHERE place <> 'slug') AS important, count(DISTINCT url) AS pages, 2 * count(*) FILTER (WHERE place <> 'slug') + count(*) AS score FROM phrases
+        WHERE len(list_filter(string_split(phrase, ' '), lambda x: x NOT IN ('company', 'platform', 'service', 'services', 'solution', 'solutions', 'product', 'products', 'tools', 'tool', 'support', 'systems', 'business', 'team'))) > 0 GROUP BY site, phrase""",
+    "comparison_tables": f"""{_ALL}, {_SIM_PAGES}, {_SCORES}, st AS (SELECT site, avg(load_time_ms) AS avg_load, median(load_time_ms) AS median_load, quantile_cont(load_time_ms, 0.9) AS p90_load, avg(content_length_bytes) / 1024 AS avg_kb, max(content_length_bytes) / 1024 AS max_kb,
+            sum(words) AS words, avg(words) AS avg_words, sum(n_images) AS media, count(*) AS pages FROM flags GROUP BY site)
+        SELECT unnest([{', '.join(["'score'"] * 5 + ["'performance'"] * 5 + ["'content'"] * 4)}]) AS section, unnest(['overall', 'performance', 'seo', 'content', 'structure', 'avg_load', 'median_load', 'p90_load', 'avg_kb', 'max_kb', 'words', 'avg_words', 'media', 'pages']) AS metric, g.site,
+            unnest([round_even((seo + performance + content + structure) / 4, 0), performance, seo, content, structure, st.avg_load, median_load, p90_load, avg_kb, max_kb, words, avg_words, media, st.pages]::DOUBLE[]) AS value FROM graded g JOIN st ON st.site = g.site""",
+    "issue_page_counts": f"""{_ALL}, {_SIM_PAGES}, {_SCORES}, st AS (SELECT site, avg(words) AS mean, count(*) FILTER (WHERE status >= 400) AS error_pages, count(*) FILTER (WHERE words > 600) AS long_form_pages FROM flags GROUP BY site)
+        SELECT site, n AS pages, noindex_pages, no_viewport_pages, error_pages, long_form_pages, floor(n * (CASE WHEN mean >= 600 THEN 0.8 WHEN mean >= 300 THEN 0.4 WHEN mean > 0 THEN 0.1 ELSE 0 END)::DOUBLE)::BIGINT AS long_form_estimate, false AS no_robots, false AS no_sitemap FROM ct JOIN st USING (site)""",
+    "rollup_services": f"""{_P_}, k AS (SELECT p.page_id, p.site, unnest(string_split('{_SERVICES}', ' ')) AS k, lower(pt.text) AS t FROM parsed p JOIN pt USING (page_id)),
+        s AS (SELECT k.site, page_id, k, arg_min(h.text, h.pos) AS service FROM k JOIN headings h USING (page_id) WHERE contains(t, k) AND contains(lower(h.text), k) GROUP BY ALL)
+        SELECT site, service, count(*) AS pages, least(1, count(*) / 10)::DOUBLE AS confidence, row_number() OVER (PARTITION BY site ORDER BY count(*) DESC, service)::INT AS rank FROM s GROUP BY site, service QUALIFY rank <= 10""",
     "site_scores": f"""{_ALL}, {_SIM_PAGES}, {_SCORES} SELECT site, n AS pages, seo::INT AS seo, performance::INT AS performance, least(100, depth) AS content_depth, crawl AS crawlability, nav_type, avg_load, no_h1, content, structure,
         round_even((seo + performance + content + structure) / 4, 0)::INT AS overall FROM graded""",
     "site_issues": f"{_ALL}, {_SIM_PAGES}, {_SCORES} SELECT * FROM site_issues",
@@ -286,3 +309,7 @@ ORACLES = {
     "progress_counts": "SELECT user_id AS site, count(*) AS visited, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id",
     "load_time_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, user_id AS site, count(*) AS n, avg(value) AS mean_load, max(value) AS max_load FROM events GROUP BY ALL",
 }
+ORACLES["focus_keywords"] = f"""WITH ones AS ({ORACLES["single_word_scores"]}), phr AS ({ORACLES["phrase_scores"]}),
+    c AS (SELECT site, phrase, pages, score, 0 AS single FROM phr UNION ALL SELECT site, word, 0, score, 1 FROM
+        (SELECT * FROM ones QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, word) <= 40) WHERE length(word) >= 3 AND NOT regexp_matches(word, '^[0-9]+$'))
+    SELECT site, phrase, pages, score, row_number() OVER (PARTITION BY site ORDER BY single, score DESC, pages DESC, phrase)::INT AS rank FROM c QUALIFY rank <= 20"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
 from pagewright.functions import urls as U
-from pagewright.operators import articles, brand, claims, crawl, entities, fetches, flags, keywords, links, main_text, overrides, parse, regions, report, rollups, scores, titles
+from pagewright.operators import articles, brand, claims, compare, crawl, entities, fetches, flags, keywords, links, main_text, overrides, parse, regions, report, rollups, scores, titles
 from pagewright.operators import near_duplicates as near
 from pagewright.plans.oracles import ORACLES  # noqa: F401
 from pagewright.sources import files
@@ -150,6 +150,8 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "site_issues": lambda t: scores.site_issues(t.counts),
     "top_issues": lambda t: scores.top_issues(scores.site_issues(t.counts)),
     "comparison_rows": lambda t: scores.comparison_rows(scores.site_scores(t.counts), _first_site(t)),
+    "comparison_tables": lambda t: compare.comparison_tables(t.stats, scores.site_scores(t.counts)),
+    "issue_page_counts": lambda t: compare.issue_page_counts(t.flags),
     "opportunities": lambda t: scores.opportunities(t.stats, scores.site_scores(t.counts), _first_site(t)),
     "phrase_scores": lambda t: keywords.phrase_scores(t.parsed),
     "focus_keywords": lambda t: keywords.focus_keywords(t.parsed),
@@ -160,6 +162,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "rollup_contacts": lambda t: rollups.rollup_contacts(t.docs),
     "rollup_emails": lambda t: rollups.rollup_emails(t.docs),
     "rollup_wordcounts": lambda t: rollups.rollup_wordcounts(t.flags),
+    "rollup_services": lambda t: rollups.rollup_services(t.parsed),
     "rollup_top_paths": lambda t: rollups.rollup_top_paths(t.fetch),
     "business_profile": lambda t: rollups.business_profile(t.flags),
     "rollup_images": lambda t: rollups.rollup_images(parse.page_images(t.parsed)),
@@ -211,7 +214,8 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
 
 #: Queries that read the parsed pages more than once.
 PARSE_ONCE = {
-    "keyword_metrics", "keyword_metrics_v2", "keyword_summary", "keyword_summary_v2", "keyword_comparison", "site_scores", "site_issues", "top_issues", "comparison_rows", "opportunities", "crawl_quality", "page_components",
+    "keyword_metrics", "keyword_metrics_v2", "keyword_summary", "keyword_summary_v2", "keyword_comparison", "site_scores", "site_issues", "top_issues", "comparison_rows", "comparison_tables", "opportunities", "crawl_quality",
+    "page_components", "phrase_scores", "phrase_scores_v2", "focus_keywords",
     "truth_table", "confident_claims", "confidence_summary", "brands", "issue_urls", "issue_examples", "insight_report",
 }
 

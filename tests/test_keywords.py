@@ -89,3 +89,18 @@ def test_given_pages(spark):
     words = keywords.focus_keywords(parsed, 3).select("site", "phrase").collect()
     wanted = [tuple(r) for r in words] + [(r["site"], w) for r in parsed.select("site", F.split("title", " ").alias("t")).collect()[:10] for w in [norm(r["t"][0])] if w and " " not in w]
     same(ours(parsed, list(set(wanted)), spark), plain(parsed.collect(), set(wanted)))
+
+
+def test_single_words_stand_behind_few_phrases(spark):
+    pages = [
+        (1, "http://a.b/", "<title>Walnut tables 2024</title><h1>Walnut</h1><h2>Team</h2>"),
+        (2, "http://a.b/x", "<title>Oak</title>"),
+        (3, "http://c.d/", "<title>42</title><h2>of the</h2>"),
+    ]
+    parsed = parse.parse_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    rows = keywords.focus_keywords(parsed, 6).orderBy("site", "rank").collect()
+    # three phrases, then the words by score; a number and a generic word are none
+    assert [r["phrase"] for r in rows] == ["walnut tables 2024", "tables 2024", "walnut tables", "walnut", "oak", "table"]
+    assert [r["pages"] for r in rows] == [1, 1, 1, 0, 0, 0] and {r["site"] for r in rows} == {"a.b"}
+    assert [r["phrase"] for r in keywords.focus_keywords(parsed, 2).orderBy("rank").collect()] == ["walnut tables 2024", "tables 2024"]
+    assert keywords.focus_keywords(parsed.where("false")).count() == 0
