@@ -105,7 +105,8 @@ def common_shingles(docs: DataFrame, k: int = WORDS) -> np.ndarray:
 
 
 def with_prefixes(docs: DataFrame, common: np.ndarray, k: int, threshold: float) -> DataFrame:
-    """``(doc_id, sig, n, fp, bits, first)`` of every row: signature, size, SimHash and bitmap of its set, and its prefix."""
+    """``(doc_id, sig, n, fp, bits, own, first)`` of every row: signature, size, SimHash and bitmap of its set, how many of its
+    hashes aren't common, and its prefix, common ones last."""
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,24 +114,24 @@ def with_prefixes(docs: DataFrame, common: np.ndarray, k: int, threshold: float)
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                sig, n, fp, bits, first = [], [], [], [], []
+                sig, n, fp, bits, own, first = [], [], [], [], [], []
                 for t in part.column(1).cast(pa.binary()).to_pylist():
                     v = shingles(t, k)
                     sig.append(_signature(v))
                     n.append(len(v))
                     fp.append(simhash(v))
                     bits.append(bits_of(v))
-                    if len(last):
-                        late = last[np.minimum(np.searchsorted(last, v), len(last) - 1)] == v
-                        v = np.concatenate((v[~late], v[late]))
+                    late = last[np.minimum(np.searchsorted(last, v), len(last) - 1)] == v if len(last) else np.zeros(len(v), bool)
+                    v = np.concatenate((v[~late], v[late]))
+                    own.append(len(v) - int(late.sum()))
                     first.append(v[: len(v) - ceil(threshold * len(v) - 1e-9) + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
-                    ["doc_id", "sig", "n", "fp", "bits", "first"],
+                    [part.column(0), pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(bits, pa.binary()), pa.array(own, pa.int32()), pa.array(first, pa.list_(pa.int64()))],
+                    ["doc_id", "sig", "n", "fp", "bits", "own", "first"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, sig bigint, n int, fp bigint, bits binary, first array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, sig bigint, n int, fp bigint, bits binary, own int, first array<bigint>")
 
 
 def _ends(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -141,14 +142,21 @@ def _ends(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def meetings(prefixes: DataFrame) -> DataFrame:
-    """``prefixes(sig, n, first)``, distinct -> ``(key, held, x, hub)`` for every hash that several sets hold."""
-    # dealt out by key before anything is added, so that rows travel short
-    keyed = prefixes.where("n > 0").select("sig", "n", F.posexplode("first").alias("i", "key")).repartition("key")
+    """``prefixes(sig, n, own, first)``, distinct -> ``(key, held, x, hub)`` for every hash that several sets hold.
+
+    Common hashes, those of ``first`` from place ``own`` on, are counted where they lie and their hubs broadcast, ``MOST``
+    rows at most. Only the others are dealt out by key: the sample met each of them less often than the common ones."""
     # the order of hubs depends on the document and one of few seeds, so that hashes of one group agree on them
-    order = F.xxhash64("sig", F.pmod("key", F.lit(HUBS)))
+    order = F.xxhash64("sig", F.pmod("key", F.lit(HUBS))).alias("o")
+    keyed = prefixes.where("n > 0").select("sig", "n", "own", F.posexplode("first").alias("i", "key"))
     by = "over (partition by key)"
-    met = keyed.withColumn("o", order).select("key", F.struct("sig", "n", "i").alias("x"), F.expr(f"count(*) {by}").alias("held"), F.expr(f"min(struct(o, sig, n, i)) {by}").alias("hub"))
-    return met.where("held > 1").select("key", "held", "x", F.struct("hub.sig", "hub.n", "hub.i").alias("hub"))
+    # dealt out before anything is added, so that rows travel short
+    few = keyed.where("i < own").select("sig", "n", "i", "key").repartition("key").select("*", order)
+    few = few.select("key", "sig", "n", "i", F.expr(f"count(*) {by}").alias("held"), F.expr(f"min(struct(o, sig, n, i)) {by}").alias("hub")).where("held > 1")
+    many = keyed.where("i >= own").select("key", "sig", "n", "i")
+    heads = many.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(order, "sig", "n", "i")).alias("hub")).where("held > 1")
+    met = few.union(many.join(F.broadcast(heads), "key"))
+    return met.select("key", "held", F.struct("sig", "n", "i").alias("x"), F.struct("hub.sig", "hub.n", "hub.i").alias("hub"))
 
 
 def candidates(shared: DataFrame, threshold: float) -> DataFrame:

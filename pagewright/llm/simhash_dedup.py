@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_sets
-from .common import saved, table
+from .common import saved, scratch, table
 from .components import components
 
 RADIUS = 3
@@ -137,7 +137,9 @@ def similar(docs: DataFrame, k: int = shingle_sets.WORDS, threshold: float = shi
     # copies fold into one row before anything is emitted
     one = rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"))
     nodes = saved(rows.select("rid", "n", "fp", "bits").join(one, "rid"), "nodes")
-    shared = saved(shingle_sets.meetings(rows.select("rid", "sig", "n", "first").join(nodes.select("rid"), "rid", "left_semi")), "shared")
+    with scratch(docs.sparkSession) as kept:
+        one_each = kept(rows.select("rid", "sig", "n", "own", "first").join(nodes.select("rid"), "rid", "left_semi"), "first")
+        shared = saved(shingle_sets.meetings(one_each), "shared")
     pairs = saved(_ball_pairs(nodes.where("n > 0")).union(shingle_sets.candidates(shared, threshold)).distinct(), "pairs")
     linked = shingle_sets.links(docs, nodes, pairs, k, threshold)
     tied = components(linked)

@@ -44,3 +44,23 @@ def test_block_keeps_every_pair_of_enough_overlap():
                 both = len(np.intersect1d(sets[i], sets[j]))
                 if i % 2 == 0 and j % 2 and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                     assert (min(i, j), max(i, j)) in got
+
+
+def test_meetings_of_common_and_other_hashes_equal_a_plain_count(spark):
+    rng, rows = random.Random(4), []
+    for sig in range(400):
+        own = rng.sample(range(1000, 1600), rng.randrange(0, 6))
+        late = [k for k in range(5) if rng.random() < 0.5] + [5 + sig]  # a few that most hold, one that no other does
+        rows.append((sig, len(own + late), len(own), own + late))
+    rows.append((400, 0, 0, []))
+    got = shingle_sets.meetings(spark.createDataFrame(rows, "sig long, n int, own int, first array<long>")).collect()
+    at = {}
+    for sig, n, _, first in rows:
+        for i, key in enumerate(first):
+            at.setdefault(key, set()).add((sig, n, i))
+    want = {key: x for key, x in at.items() if len(x) > 1}
+    assert len(got) == sum(map(len, want.values()))
+    for key, x in want.items():
+        here = [r for r in got if r["key"] == key]
+        assert {tuple(r["x"]) for r in here} == x and {r["held"] for r in here} == {len(x)}
+        assert len({tuple(r["hub"]) for r in here}) == 1 and tuple(here[0]["hub"]) in x
