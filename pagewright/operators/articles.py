@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import plain
-from pagewright.functions.urls import url_host
+from pagewright.functions.urls import resolve_url, url_host
 from pagewright.operators.parse import page_files, page_images, without_scripts
 
 #: Phrases of advertising that are cut from articles.
@@ -70,6 +70,16 @@ def article_batch_summary(articles: DataFrame) -> DataFrame:
     return articles.groupBy("site_name").agg(F.count_if("success").alias("successful"), F.count(F.lit(1)).alias("total"))
 
 
+def hero_content(parsed: DataFrame) -> DataFrame:
+    """``parse_pages`` -> (site, url, heading, text, image), a row per page: its first h1, else its first heading, else ""; its
+    first two paragraphs, one a line; its largest image by width times height, the first of equal ones, null if it has none.
+    A missing size counts as 0; an image that is shown twice counts with its larger size."""
+    area = lambda i: F.coalesce(i["width"], F.lit(0)).cast("bigint") * F.coalesce(i["height"], F.lit(0))
+    shown = F.transform(F.filter("images", lambda i: i["src"] != ""), lambda i, n: F.struct((-area(i)).alias("a"), n.alias("n"), i["src"].alias("src")))
+    heading = F.coalesce("h1", F.try_element_at("headings", F.lit(1))["text"], F.lit(""))
+    return parsed.select("site", "url", heading.alias("heading"), F.array_join(F.slice("paragraphs", 1, 2), "\n").alias("text"), resolve_url(F.array_min(shown)["src"], F.col("url")).alias("image"))
+
+
 def page_components(parsed: DataFrame) -> DataFrame:
     """``parse_pages`` -> (site, url, components): hero, section, gallery and files, each where there is something to
     show; a page with nothing gets a section that says so. Written as JSON it is a site's seed."""

@@ -66,6 +66,22 @@ def reachable_within(edges: DataFrame, starts: DataFrame, max_depth: int = 5) ->
     return seen
 
 
+#: Words of a label that keep a crawl from following a link, words that make it one to an article, and the depth
+#: beyond which no link is followed.
+SKIP = "login signup register advertisement popup cookie privacy terms contact about".split()
+ARTICLE = "news article story report breaking update politics world business sports entertainment".split()
+FOLLOW_DEPTH = 3
+
+
+def follow_links(links: DataFrame, depths: DataFrame) -> DataFrame:
+    """``depths(site, url, depth)`` -> (site, url, pos, href, depth, priority): links of pages whose depth is known, 0 if not to
+    be followed, 2 if the label tells of an article, else 1. Labels count without regard to case; a link without a label is a
+    1. Links are never drawn by chance."""
+    holds = lambda words: F.lower(F.coalesce("label", F.lit(""))).rlike("|".join(words))
+    priority = F.when((F.col("depth") > FOLLOW_DEPTH) | holds(SKIP), 0).when(holds(ARTICLE), 2).otherwise(1)
+    return links.join(depths, ["site", "url"]).select("site", "url", "pos", "href", "depth", priority.alias("priority"))
+
+
 def nav_rollup(links: DataFrame, top: int = 20) -> DataFrame:
     """Internal targets linked more than once under a text, the ``top`` most frequent of each site, with their last label by
     page and place."""

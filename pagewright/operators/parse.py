@@ -14,6 +14,8 @@ PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>((?:[^<]++|<[^/p][^>]*>|</[^p][^>]*>)*)"
 ANCHOR = r"(?i)<a\s[^>]*>(?:[^<]++|<(?!/|a\s)[^>]*>|</(?!a\s*>)[^>]*>)*</a\s*>"
 HEADING = r"(?i)<(h[1-6])(?:\s[^>]*)?>((?:[^<]++|<[^/][^>]*>|</[^h][^>]*>)*)</h[1-6]>"
 IMAGE = r"(?i)<img\s([^>]*)>"
+#: A video element up to its first source, or the start of an embedded frame.
+VIDEO = r"(?i)<(?:iframe\b[^>]*+>|video\b[^>]*+>[^<]*+(?:<(?!/video\b|source\b|video\b|iframe\b)[^>]*+>[^<]*+)*+(?:<source\b[^>]*+>)?+)"
 META = r"(?i)<meta\s([^>]*)>"
 JSONLD = r"""(?i)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>([^<]*)</script>"""
 #: The first image inside an element whose class or id has the word logo.
@@ -69,6 +71,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         F.filter(F.transform(_all(body, PARAGRAPH), plain), lambda p: F.length(p) > 20).alias("paragraphs"),
         F.filter(F.transform(_all(body, ANCHOR, 0), lambda a: F.struct(anchor_href(a).alias("href"), plain(anchor_label(a)).alias("label"))), lambda a: a["href"] != "").alias("anchors"),
         F.transform(_all(body, IMAGE), lambda t: image(t, F.col("boxes"))).alias("images"),
+        F.filter(F.transform(_all(body, VIDEO, 0), video), lambda v: v["src"] != "").alias("videos"),
         F.filter(metas, lambda m: m["k"] != "").alias("metas"),
         F.coalesce(F.try_element_at(F.transform(F.filter(_all(html, r"(?i)<link\s([^>]*)>"), lambda t: F.lower(attribute(t, "rel")) == "canonical"), lambda t: attribute(t, "href")), F.lit(1)), F.lit("")).alias("canonical_href"),
         F.regexp_extract(html, r"(?is)<nav[^>]*>(.*?)</nav>", 1).alias("nav"),
@@ -83,7 +86,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     paragraph = F.element_at("paragraphs", 1)
     first = F.when(F.size("paragraphs") > 0, F.when(F.length(paragraph) > 200, F.concat(F.left(paragraph, F.lit(200)), F.lit("..."))).otherwise(paragraph))
     return wide.select(
-        "page_id", "url", "site", "title", "headings", "paragraphs", "text", "links", "images", "metas", "jsonld", "content_length_bytes",
+        "page_id", "url", "site", "title", "headings", "paragraphs", "text", "links", "images", "videos", "metas", "jsonld", "content_length_bytes",
         F.when(F.size(h1) > 0, F.element_at(h1, 1)["text"]).alias("h1"),
         F.coalesce(F.try_element_at(F.filter(F.array(meta("description"), meta("og:description"), first), lambda d: F.coalesce(d, F.lit("")) != ""), F.lit(1)), F.lit("")).alias("description"),
         F.when(F.col("canonical_href") == "", F.col("url")).otherwise(resolve_url(F.col("canonical_href"), F.col("url"))).alias("canonical"),
@@ -112,6 +115,27 @@ def image(tag: Column, boxes: Column) -> Column:
     )
 
 
+def video(piece: Column) -> Column:
+    """What ``VIDEO`` matches as (src, kind): the element's own src, else its first source's; kind mp4 or embed."""
+    frame = F.lower(piece).startswith("<iframe")
+    own, source = attribute(F.regexp_extract(piece, r"^<([^>]*)>", 1), "src"), attribute(F.regexp_extract(piece, r"(?i)<source\b([^>]*)>$", 1), "src")
+    return F.struct(F.trim(F.when(frame | (own != ""), own).otherwise(source)).alias("src"), F.when(frame, "embed").otherwise("mp4").alias("kind"))
+
+
+def page_videos(parsed: DataFrame) -> DataFrame:
+    """(site, url, video_url, pos, kind): videos and embedded frames of a page by absolute URL, the first of each kept; those
+    without a source are none. ``pos`` counts those with one."""
+    rows = parsed.select("site", "url", F.posexplode("videos").alias("pos", "v")).select("site", "url", resolve_url(F.col("v.src"), F.col("url")).alias("video_url"), "pos", "v.kind")
+    return rows.groupBy("site", "url", "video_url").agg(F.min("pos").alias("pos"), F.min_by("kind", "pos").alias("kind"))
+
+
+def page_jsonld(parsed: DataFrame) -> DataFrame:
+    """(site, url, pos, type, payload): JSON-LD blocks of a page that hold JSON; others are left out, and ``pos`` counts all.
+    ``type`` is @type of an object as text, else null."""
+    rows = parsed.select("site", "url", F.posexplode("jsonld").alias("pos", "payload")).withColumn("payload", F.trim("payload"))
+    return rows.where(F.try_parse_json("payload").isNotNull()).select("site", "url", "pos", F.get_json_object("payload", "$['@type']").alias("type"), "payload")
+
+
 def page_links(parsed: DataFrame) -> DataFrame:
     """One row per anchor: site, url, pos, href, label, kind."""
     rows = parsed.select("site", "url", F.posexplode("links").alias("pos", "link"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.simhash import majority_bits, word_hashes
-from pagewright.functions.text import extract_emails, extract_phones, wordcount_bucket
+from pagewright.functions.text import extract_addresses, extract_emails, extract_phones, wordcount_bucket
+from pagewright.functions.urls import url_host
 
 
 def page_id(url: Column) -> Column:
@@ -36,10 +37,10 @@ def simhash_similarity(a: Column, b: Column) -> Column:
 
 
 def rollup_contacts(docs: DataFrame) -> DataFrame:
-    """Distinct e-mail addresses and phone numbers by source."""
-    both = docs.select("source", extract_emails(F.col("text")).alias("e"), extract_phones(F.col("text")).alias("p"))
-    one = lambda c, k: both.select("source", F.explode(c).alias("value"), F.lit(k).alias("kind"))
-    return one("e", "email").unionByName(one("p", "phone")).groupBy("source", "kind").agg(F.count_distinct("value").alias("distinct_values"), F.count(F.lit(1)).alias("mentions"))
+    """Distinct e-mail addresses, phone numbers and street addresses by source, and how many texts hold one, each counted."""
+    found = docs.select("source", extract_emails(F.col("text")).alias("e"), extract_phones(F.col("text")).alias("p"), extract_addresses(F.col("text")).alias("a"))
+    one = lambda c, k: found.select("source", F.explode(c).alias("value"), F.lit(k).alias("kind"))
+    return one("e", "email").unionByName(one("p", "phone")).unionByName(one("a", "address")).groupBy("source", "kind").agg(F.count_distinct("value").alias("distinct_values"), F.count(F.lit(1)).alias("mentions"))
 
 
 def rollup_emails(docs: DataFrame) -> DataFrame:
@@ -79,6 +80,24 @@ def rollup_images(images: DataFrame) -> DataFrame:
     return images.groupBy("site").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("img_url").alias("distinct_images"), F.count_if(F.trim("alt") == "").alias("no_alt"))
 
 
+def image_domains(images: DataFrame, top: int = 10) -> DataFrame:
+    """(site, domain, images, rank): hosts that a site's images come from, the ``top`` with most images of pages, ties by name;
+    ``unknown`` where an image's URL has no host."""
+    domain = F.coalesce(F.nullif(url_host(F.col("img_url")), F.lit("")), F.lit("unknown"))
+    rows = images.groupBy("site", domain.alias("domain")).agg(F.count(F.lit(1)).alias("images"))
+    order = Window.partitionBy("site").orderBy(F.desc("images"), "domain")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def rollup_content_types(types: DataFrame) -> DataFrame:
+    """``types(site, content_type)``, a row per page -> (site, content_type, pages, percent, most_common): how many pages of
+    a site have each type, their share, and whether it is the commonest one, ties to the smaller name."""
+    rows = types.groupBy("site", "content_type").agg(F.count(F.lit(1)).alias("pages"))
+    site = Window.partitionBy("site")
+    order = site.orderBy(F.desc("pages"), "content_type")
+    return rows.withColumns({"percent": F.col("pages") * 100 / F.sum("pages").over(site), "most_common": F.row_number().over(order) == 1})
+
+
 def business_profile(flags: DataFrame) -> DataFrame:
     """Per site: commonest title, ties to the smaller; pages that carry it; first three URLs."""
     titles = flags.where("title <> ''").groupBy("site", "title").agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ from pagewright.operators.entities import KINDS
 from pagewright.operators.keywords import GENERIC, STOPWORDS
 from pagewright.operators.regions import FOOTER_PHONE as _FOOTER_PHONE
 from pagewright.operators.regions import LABEL_ACTIONS, LABEL_COMMON, LABEL_PHONE, LABEL_PROMOTION
+from pagewright.plans.site_oracles import site_oracles
 
 _FETCH = """flog AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS site, url,
     CASE WHEN page_id % 29 = 7 THEN 404 WHEN page_id % 31 = 11 THEN 503 WHEN page_id % 97 = 13 THEN 410 ELSE 200 END AS status,
@@ -313,3 +314,4 @@ ORACLES["focus_keywords"] = f"""WITH ones AS ({ORACLES["single_word_scores"]}),
     c AS (SELECT site, phrase, pages, score, 0 AS single FROM phr UNION ALL SELECT site, word, 0, score, 1 FROM
         (SELECT * FROM ones QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, word) <= 40) WHERE length(word) >= 3 AND NOT regexp_matches(word, '^[0-9]+$'))
     SELECT site, phrase, pages, score, row_number() OVER (PARTITION BY site ORDER BY single, score DESC, pages DESC, phrase)::INT AS rank FROM c QUALIFY rank <= 20"""
+ORACLES |= site_oracles(_PARSED, _RESOLVE)

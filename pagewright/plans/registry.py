@@ -81,6 +81,11 @@ def _reachable(t: Tables) -> DataFrame:
     return links.reachable_within(t.edges, starts)
 
 
+def _content_types(t: Tables) -> DataFrame:
+    """By the URL alone, as the page table has no headers."""
+    return t.pages.select(U.url_host(F.col("url")).alias("site"), parse.classify_content_type(F.lit(None).cast("string"), F.col("url")).alias("content_type"))
+
+
 def _crawl_order(t: Tables) -> DataFrame:
     starts = t.pages.select(U.url_host(F.col("url")).alias("site"), U.drop_fragment(F.col("url")).alias("url"))
     return crawl.crawl_order(written(crawl.ordered_edges(t.links), "edges"), starts)
@@ -128,6 +133,9 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "page_headings": lambda t: parse.page_headings(t.parsed),
     "page_paragraphs": lambda t: parse.page_paragraphs(t.parsed),
     "page_images": lambda t: parse.page_images(t.parsed),
+    "page_videos": lambda t: parse.page_videos(t.parsed),
+    "page_jsonld": lambda t: parse.page_jsonld(t.parsed),
+    "hero_content": lambda t: articles.hero_content(t.parsed),
     "page_files": lambda t: parse.page_files(t.parsed),
     "page_flags": lambda t: t.flags.select("page_id", "page_type", "cards", "bad", "missing_title", "missing_description", "missing_h1", "noindex", "no_viewport", "mixed_content", "deep_url", "thin"),
     "page_type_breakdown": lambda t: fetches.page_type_breakdown(t.flags),
@@ -145,6 +153,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "pages_with_broken": lambda t: links.pages_with_broken(t.fetch.select("site", "url"), t.broken),
     "link_degree": lambda t: links.link_degree(t.edges, t.fetch),
     "reachable_within": _reachable,
+    "follow_links": lambda t: links.follow_links(t.links, _reachable(t)),
     "nav_rollup": lambda t: links.nav_rollup(t.links),
     "site_scores": lambda t: scores.site_scores(t.counts),
     "site_issues": lambda t: scores.site_issues(t.counts),
@@ -166,6 +175,8 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "rollup_top_paths": lambda t: rollups.rollup_top_paths(t.fetch),
     "business_profile": lambda t: rollups.business_profile(t.flags),
     "rollup_images": lambda t: rollups.rollup_images(parse.page_images(t.parsed)),
+    "image_domains": lambda t: rollups.image_domains(parse.page_images(t.parsed)),
+    "rollup_content_types": lambda t: rollups.rollup_content_types(_content_types(t)),
     "social_links": lambda t: rollups.social_links(t.links),
     "extract_faqs": lambda t: rollups.extract_faqs(parse.page_headings(t.parsed)),
     "nav_nodes": lambda t: regions.nav_nodes(t.pages),
@@ -215,7 +226,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
 #: Queries that read the parsed pages more than once.
 PARSE_ONCE = {
     "keyword_metrics", "keyword_metrics_v2", "keyword_summary", "keyword_summary_v2", "keyword_comparison", "site_scores", "site_issues", "top_issues", "comparison_rows", "comparison_tables", "opportunities", "crawl_quality",
-    "page_components", "phrase_scores", "phrase_scores_v2", "focus_keywords",
+    "page_components", "follow_links", "phrase_scores", "phrase_scores_v2", "focus_keywords",
     "truth_table", "confident_claims", "confidence_summary", "brands", "issue_urls", "issue_examples", "insight_report",
 }
 
