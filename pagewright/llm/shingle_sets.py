@@ -30,7 +30,7 @@ PAIRWISE, HUBS = 16, 8
 BLOCK, BLOCK_HASHES, COLUMNS = 128, 2_000_000, 4_096
 #: Hashes of a set up to which 16 bits of each tell sets apart well enough there.
 LONG = 4_096
-#: Ids up to this number are broadcast to the texts; more meet them by shuffle.
+#: Ids, or groups, up to this number are broadcast to the texts, or sets; more meet them by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Common hashes: of one set in so many, those met so often, so many at most.
 SAMPLE, MET, MOST = 16, 4, 200_000
@@ -179,8 +179,9 @@ def still_apart(docs: DataFrame, nodes: DataFrame, shared: DataFrame, tied: Data
         parts = named.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
         groups = parts.groupBy("hub").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "root", "n")).alias("top"), F.count(F.lit(1)).alias("parts"))
         blocks = lambda m, n: F.ceil(F.least(m, F.greatest(m / BLOCK, n / BLOCK_HASHES))).cast("int")
-        sizes = groups.where("parts > 1").select("hub", "main", blocks(F.col("m"), F.col("n")).alias("wide"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("high"))
-        there = kept(named.join(sizes, "hub"), "there")
+        sizes = kept(groups.where("parts > 1").select("hub", "main", blocks(F.col("m"), F.col("n")).alias("wide"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("high")), "sizes")
+        # rows stay where they lie; if there are too many groups for that, the join can split a large one
+        there = kept(named.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "hub"), "there")
         own = lambda of: F.pmod(F.xxhash64("sig"), F.col(of)).cast("int")
         each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
         all_of = there.select("hub", own("wide").alias("i"), each("high").alias("j"), "sig", "n", "root", F.lit(False).alias("rest"))
