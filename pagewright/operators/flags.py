@@ -51,11 +51,14 @@ def is_bad(status: Column) -> Column:
 
 
 def page_flags(parsed: DataFrame, fetch: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """``parse_pages`` joined with the fetch log on url: features, type and every per-page check; ``images`` from
-    ``check_images``, without which no image counts as very large."""
-    fetched = F.max_by(F.struct("status", "load_time_ms", "render_mode"), F.col("page_id"))  # the last fetch of a URL
-    log = fetch.groupBy("url").agg(fetched.alias("f")).select("url", "f.*")
-    base = parsed.join(log, "url", "left")
+    """``parse_pages`` joined with the fetch log: features, type and every per-page check. A page has its own fetch, by url and
+    page_id; where the log has none, the last fetch of its URL. ``images`` from ``check_images``, without which no image
+    counts as very large."""
+    fetched = F.struct("status", "load_time_ms", "render_mode")
+    own = fetch.groupBy("url", "page_id").agg(F.max(fetched).alias("own"))
+    last = own.groupBy("url").agg(F.max(F.struct("page_id", "own")).alias("last"))
+    base = parsed.join(own, ["url", "page_id"], "left").join(last, "url", "left").withColumn("f", F.coalesce("own", "last.own"))
+    base = base.select(*[parsed[c] for c in parsed.columns], "f.*")
     base = base.join(images.select("url", "very_large_images"), "url", "left") if images is not None else base.withColumn("very_large_images", F.lit(0))
     rows = base.withColumn("cards", product_cards(F.col("n_images"), F.col("n_internal"))).withColumn("bad", F.coalesce(is_bad(F.col("status")), F.lit(False)))
     typed = rows.withColumn("page_type", infer_page_type(F.col("url"), F.col("words"), F.size("paragraphs"), F.size("headings"), F.col("cards")))
