@@ -56,9 +56,10 @@ def load_time_stats(fetch: DataFrame) -> DataFrame:
 
 
 def sample_aggregate(sampled: DataFrame) -> DataFrame:
+    """Per URL over all its samples; the render mode is that of the first one, on pages of one URL that of the smallest page_id."""
     return sampled.groupBy("site", "url").agg(
         F.count("load_ms").alias("n"), F.avg("load_ms").alias("mean_load"), F.median("load_ms").alias("median_load"), F.min("load_ms").alias("min_load"), F.max("load_ms").alias("max_load"),
-        F.coalesce(F.stddev_samp("load_ms"), F.lit(0.0)).alias("stdev_load"), F.avg("ttfb_ms").alias("avg_ttfb"), F.min_by("render_mode", "sample_no").alias("render_mode"),
+        F.coalesce(F.stddev_samp("load_ms"), F.lit(0.0)).alias("stdev_load"), F.avg("ttfb_ms").alias("avg_ttfb"), F.min_by("render_mode", F.struct("sample_no", "page_id")).alias("render_mode"),
     )
 
 
