@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import clamp_0_100, normalize_text, simple_stem
 from pagewright.functions.urls import is_internal, path_segments, url_path
 from pagewright.operators.flags import infer_page_type, product_cards
+from pagewright.sources.shared import written
 
 #: Words that don't count inside phrases, and words that make no keyword alone.
 STOPWORDS = (
@@ -107,34 +108,40 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(F.split(normalize_text(text), " "), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))))
 
 
+def phrase_lists(wanted: DataFrame, most: int = 100) -> DataFrame:
+    """``wanted(site, phrase)``, each once -> (site, part, phrases): the phrases of a site in lists of about ``most``, each
+    with its words between blanks of their own, as ``phrase_hits`` looks for them."""
+    parts = wanted.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    spaced = F.concat(F.lit(" "), F.replace("phrase", F.lit(" "), F.lit("  ")), F.lit(" "))
+    rows = wanted.where("phrase <> ''").join(parts, "site").withColumn("part", F.pmod(F.xxhash64("phrase"), F.col("parts")))
+    return rows.groupBy("site", "part").agg(F.collect_list(F.struct("phrase", spaced.alias("spaced"))).alias("phrases"))
+
+
 def phrase_hits(pages: DataFrame, wanted: DataFrame, texts: dict[str, Column], *keep: str) -> DataFrame:
-    """(site, phrase, url, *keep, place, n): how often phrases of up to three words stand in each place of a page. Every
-    place becomes word runs, which meet the phrases of their site in one equi-join; copies of a run in one page's place
-    fold into one row within the tasks. Places that overlap, as a phrase that ends as it begins can have, count from left to
-    right, each word once; only of such phrases are the places gathered, by page."""
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), t.alias("texts")) for p, t in texts.items()]))
-    words = pages.select("site", "url", *keep, each.alias("p")).select("site", "url", *keep, "p.place", F.explode("p.texts").alias("t"))
-    words = words.withColumn("w", F.filter(F.split(normalize_text(F.col("t")), " "), lambda w: w != ""))
-    run = lambda r, i: F.struct(F.array_join(r, " ").alias("phrase"), i.alias("at"))
-    runs = F.concat(*[F.when(F.size("w") >= n, F.transform(runs_of(F.col("w"), n), run)).otherwise(F.array().cast("array<struct<phrase:string,at:int>>")) for n in (1, 2, 3)])
-    met = words.select("site", "url", *keep, "place", F.explode(runs).alias("r")).select("site", "url", *keep, "place", "r.*").join(wanted, ["site", "phrase"])
-    parts = F.split("phrase", " ")
-    closes = (F.size(parts) > 1) & (F.element_at(parts, 1) == F.element_at(parts, -1))
-    met = met.groupBy("site", "phrase", "url", *keep, "place").agg(F.count(F.lit(1)).alias("all"), F.collect_list(F.when(closes, F.col("at"))).alias("at"))
-    step = lambda s, i: F.when(i >= s["free"], F.struct((i + F.size(parts)).alias("free"), (s["n"] + 1).alias("n"))).otherwise(s)
-    apart = F.aggregate(F.array_sort("at"), F.struct(F.lit(0).alias("free"), F.lit(0).alias("n")), step, lambda s: s["n"])
-    return met.withColumn("n", F.when(closes, apart.cast("bigint")).otherwise(F.col("all"))).drop("all", "at")
+    """(site, phrase, url, *keep, place, n): how often phrases stand in each place of a page. Every page meets the phrases of
+    its site, and a text is searched for each of them, so that only what was found is a row of its own. Places that
+    overlap, as a phrase that ends as it begins can have, count from left to right, each word once."""
+    places = F.array(*[F.struct(F.lit(p).alias("place"), t.alias("texts")) for p, t in texts.items()])
+    met = pages.select("site", "url", *keep, places.alias("places")).join(phrase_lists(wanted), "site")
+    met = met.select("site", "url", *keep, "phrases", F.explode("places").alias("p")).select("site", "url", *keep, "phrases", "p.place", F.explode("p.texts").alias("t"))
+    # a blank on either side of every word: neighbouring places share no blank, so replacing takes each
+    met = met.withColumn("t", F.concat(F.lit(" "), F.replace(normalize_text(F.col("t")), F.lit(" "), F.lit("  ")), F.lit(" ")))
+    left = lambda p: F.octet_length(F.replace("t", p["spaced"], F.lit("")))
+    times = lambda p: ((F.octet_length("t") - left(p)) / F.octet_length(p["spaced"])).cast("bigint")
+    found = F.transform(F.filter("phrases", lambda p: F.contains(F.col("t"), p["spaced"])), lambda p: F.struct(p["phrase"].alias("phrase"), times(p).alias("n")))
+    met = met.select("site", "url", *keep, "place", F.explode(found).alias("f")).select("site", "url", *keep, "place", "f.*")
+    return met.groupBy("site", "phrase", "url", *keep, "place").agg(F.sum("n").alias("n"))
 
 
 def keyword_metrics(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``keywords(site, phrase)``, of up to three words, against every page of their site: pages whose text holds the phrase,
+    """``keywords(site, phrase)`` against every page of their site: pages whose text holds the phrase,
     occurrences there, pages by place, coverage, on-page, density and total score.
 
     Coverage is the share of pages used, on-page the weighted shares of all pages whose title, h1, h2, slug or internal
     anchors hold the phrase (fixed values: the weights), density the mean over used pages of occurrences by words that
     count. A phrase that no text holds scores 0 throughout; total is rounded to one digit.
     """
-    wanted = keywords.select("site", "phrase").distinct()
+    wanted = written(keywords.select("site", "phrase").distinct(), "keywords")  # read twice, and its size is known
     met = phrase_hits(parsed.withColumn("tokens", tokens(F.col("text"))), wanted, page_places(), "tokens")
     at = lambda p: F.col("place") == p
     shares = {"title": 0.30, "h1": 0.20, "h2": 0.20, "slug": 0.15, "anchor": 0.15}
@@ -156,7 +163,7 @@ def keyword_summary(metrics: DataFrame) -> DataFrame:
 
 
 def keyword_metrics_v2(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``keywords(site, phrase)``, of up to three words, on the pages of their site, which count by their type.
+    """``keywords(site, phrase)`` on the pages of their site, which count by their type.
 
     Coverage is the weight of pages whose text holds the phrase, on-page whether any title, h1, h2, slug or anchor
     does, total .6 coverage + .3 on-page + .1 density; a phrase that no text holds scores 0. Importance is 3 in a home
@@ -166,7 +173,7 @@ def keyword_metrics_v2(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
     kind = infer_page_type(F.col("url"), F.col("words"), F.size("paragraphs"), F.size("headings"), product_cards(F.col("n_images"), F.col("n_internal")))
     weight = F.coalesce(*[F.when(F.col("kind") == k, F.lit(w)) for k, w in PAGE_WEIGHTS.items()], F.lit(1.0))
     pages = parsed.withColumn("kind", F.when(home, "home").otherwise(kind)).withColumn("weight", weight).withColumn("tokens", tokens(F.col("text")))
-    wanted = keywords.select("site", "phrase").distinct()
+    wanted = written(keywords.select("site", "phrase").distinct(), "keywords")  # read twice, and its size is known
     met = phrase_hits(pages, wanted, page_places() | {"nav": F.col("nav_labels")}, "kind", "weight", "tokens")
     at = lambda *places: F.col("place").isin(*places)
     hits = [F.count_if(at(p)).alias(f"{p}_pages") for p in ("title", "h1", "h2", "slug", "anchor")]

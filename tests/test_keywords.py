@@ -104,3 +104,19 @@ def test_single_words_stand_behind_few_phrases(spark):
     assert [r["pages"] for r in rows] == [1, 1, 1, 0, 0, 0] and {r["site"] for r in rows} == {"a.b"}
     assert [r["phrase"] for r in keywords.focus_keywords(parsed, 2).orderBy("rank").collect()] == ["walnut tables 2024", "tables 2024"]
     assert keywords.focus_keywords(parsed.where("false")).count() == 0
+
+
+def test_a_phrase_counts_on_every_page_of_one_url(spark):
+    """Pages of one URL with one text: each counts its own places, for a phrase that ends as it begins as for any other."""
+    text = "<p>de de de vin de de de, that is all there is</p>"
+    parsed = parse.parse_pages(spark.createDataFrame([(1, "http://a.b/x", text), (2, "http://a.b/x", text)], "page_id long, url string, html string"))
+    wanted = [("a.b", p) for p in ("de de", "de de de", "de vin", "vin de de de", "", " de", "de  de")]
+    rows = keywords.keyword_metrics(parsed, spark.createDataFrame(wanted, "site string, phrase string")).collect()
+    assert {r["phrase"]: r["occurrences"] for r in rows} == {"de de": 4, "de de de": 4, "de vin": 2, "vin de de de": 2, "": 0, " de": 0, "de  de": 0}
+
+
+def test_phrases_come_in_short_lists(spark):
+    wanted = spark.createDataFrame([("a.b", f"p{i}") for i in range(1000)] + [("c.d", "one two")], "site string, phrase string")
+    lists = [(r["site"], [p["phrase"] for p in r["phrases"]]) for r in keywords.phrase_lists(wanted).collect()]
+    assert sorted(p for s, x in lists if s == "a.b" for p in x) == sorted(f"p{i}" for i in range(1000))
+    assert max(len(x) for _, x in lists) < 200 and ("c.d", ["one two"]) in lists
