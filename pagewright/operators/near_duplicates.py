@@ -84,15 +84,14 @@ def near_duplicate_pairs(prints: DataFrame, within: int = WITHIN) -> DataFrame:
     return near_pairs(classes(prints), within)
 
 
-def dedup_greedy(prints: DataFrame, within: int = WITHIN) -> DataFrame:
-    """(site, id, kept): in order of id a text is kept if no kept one before it is in reach, as a scan would choose.
+def _chosen(head: DataFrame, within: int) -> DataFrame:
+    """Of classes ``head(site, first, simhash)`` those that the greedy choice keeps, as (site, first, simhash).
 
     Rounds instead of a scan: an undecided class without an undecided neighbour before it is kept, and all its later
-    neighbours go. Only undecided pairs enter the next round; rows of a class but its first go. Ends for any order: the
-    first undecided class of a site is decided in every round.
+    neighbours go. Only undecided pairs enter the next round. Ends for any order: the first undecided class of a site is
+    decided in every round.
     """
-    own = classes(prints)
-    left = written(near_pairs(own, within).select("site", "a", "b"), "undecided")
+    left = written(near_pairs(head, within).select("site", "a", "b"), "undecided")
     gone = left.select("site", F.col("b").alias("id")).limit(0)
     while not left.isEmpty():
         waits = left.select(F.col("site").alias("s"), F.col("b").alias("w")).distinct()
@@ -103,9 +102,50 @@ def dedup_greedy(prints: DataFrame, within: int = WITHIN) -> DataFrame:
         rest = left.join(n, left.site.eqNullSafe(F.col("s")) & (left.b == F.col("d")), "left_anti")
         rest = rest.join(n, rest.site.eqNullSafe(F.col("s")) & (rest.a == F.col("d")), "left_anti")
         left, gone = written(rest, "undecided"), gone.unionByName(new)
-    g = gone.select(F.col("site").alias("s"), F.col("id").alias("d"), F.lit(True).alias("gone"))
-    firsts = own.select(F.col("site").alias("f_site"), F.col("first"))
-    decided = firsts.join(g, firsts.f_site.eqNullSafe(F.col("s")) & (F.col("first") == F.col("d")), "left").where("gone is null").select("f_site", "first")
+    g = gone.select(F.col("site").alias("s"), F.col("id").alias("d"))
+    return head.join(g, head.site.eqNullSafe(F.col("s")) & (head["first"] == F.col("d")), "left_anti")
+
+
+def _heads(left: DataFrame, size: int) -> DataFrame:
+    """(s, upto): up to which id the first classes of each site reach, about ``size`` of them, one at least. Ids are cut by
+    approximate quantiles, so no site is sorted; any cut gives the same choice."""
+    halves = 30
+    shares = F.percentile_approx("first", [0.5**i for i in range(halves)], 100_000)
+    cut = left.groupBy(F.col("site").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("all"), shares.alias("q"))
+    nth = F.least(F.ceil(F.log2(F.col("n") / size)), F.lit(halves - 1)).cast("int") + 1
+    return cut.select("s", F.when(F.col("n") <= size, F.col("all")).otherwise(F.element_at("q", nth)).alias("upto"))
+
+
+def _in_reach(rows: DataFrame, kept: DataFrame, within: int) -> DataFrame:
+    """Of ``rows`` those within reach of a kept class of their site, as (s, d)."""
+    masks = block_masks(within)
+    each = F.explode(F.array(*[F.struct(F.lit(j).alias("block"), F.col("simhash").bitwiseAND(F.lit(m)).alias("value")) for j, m in enumerate(masks)]))
+    keyed = lambda df: df.select("site", "first", "simhash", each.alias("b")).select("site", "first", "simhash", "b.*")
+    left, right = keyed(rows), keyed(kept).select(*[F.col(c).alias(f"k_{c}") for c in ("site", "block", "value", "simhash")])
+    same = left.site.eqNullSafe(F.col("k_site")) & (left.block == F.col("k_block")) & (left.value == F.col("k_value"))
+    near = left.join(right, same & (F.bit_count(left.simhash.bitwiseXOR(F.col("k_simhash"))) <= within), "left_semi")
+    return near.select(F.col("site").alias("s"), F.col("first").alias("d")).distinct()
+
+
+def dedup_greedy(prints: DataFrame, within: int = WITHIN, head: int = CELL) -> DataFrame:
+    """(site, id, kept): in order of id a text is kept if no kept one before it is in reach, as a scan would choose.
+
+    The first ``head`` undecided classes of each site are decided among themselves; the kept ones of them drop what is in
+    their reach of all that follow, and twice as many of the rest come next. So pairs are made among the classes at the
+    head and with kept classes only, never among all texts in reach of each other. Rows of a class but its first go.
+    """
+    left = written(classes(prints).select("site", "first", "simhash"), "classes")
+    kept = left.select("site", "first").limit(0)
+    while not left.isEmpty():
+        cut = written(_heads(left, head), "heads")
+        placed = left.join(cut, left.site.eqNullSafe(F.col("s")))
+        now = written(placed.where("first <= upto").select("site", "first", "simhash"), "head")
+        chosen = written(_chosen(now, within), "kept")
+        rest = written(placed.where("first > upto").select("site", "first", "simhash"), "rest")
+        near = _in_reach(rest, chosen, within)
+        left = written(rest.join(near, rest.site.eqNullSafe(F.col("s")) & (rest["first"] == F.col("d")), "left_anti"), "classes")
+        kept, head = kept.unionByName(chosen.select("site", "first")), 2 * head
+    decided = kept.select(F.col("site").alias("f_site"), "first")
     rows = prints.join(decided, prints.site.eqNullSafe(F.col("f_site")) & (prints.id == F.col("first")), "left")
     return rows.select("site", "id", F.col("first").isNotNull().alias("kept"))
 

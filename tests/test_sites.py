@@ -181,3 +181,24 @@ def test_block_board_expires_without_new_events(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     one = [(a, n, ids) for s, a, n, ids in rows if s == 1]
     assert one == [(at + timedelta(minutes=20), 2, "2,1"), (at + timedelta(minutes=60), 1, "2"), (at + timedelta(minutes=80), 0, "")]
+
+
+@pytest.mark.parametrize("head", [1, 2, 7])
+def test_dedup_greedy_in_short_heads_equals_the_scan(prints, head):
+    df, rows = prints
+    held, want = {}, []
+    for s, i, h in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        kept = all(apart(h, k) > 12 for k in held.setdefault(s, []))
+        held[s] += [h] * kept
+        want.append((str(s), i, kept))
+    assert sorted((str(r["site"]), r["id"], r["kept"]) for r in near.dedup_greedy(df, head=head).collect()) == sorted(want)
+
+
+def test_dedup_greedy_makes_no_pairs_among_all_texts_in_reach(spark, monkeypatch):
+    """400 texts, all in reach of the first: it drops them before they meet each other."""
+    made, keep = [], near.written
+    monkeypatch.setattr(near, "written", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    rows = [("s", i, (1 << i % 6) | (1 << (6 + i // 6 % 6)) | i << 12) for i in range(1, 400)] + [("s", 0, 0)]
+    got = near.dedup_greedy(spark.createDataFrame(rows, "site string, id long, simhash long"), within=12, head=20)
+    assert [r["id"] for r in got.where("kept").collect()] == [0]
+    assert sum(df.count() for name, df in made if name == "undecided") < 400
