@@ -1,9 +1,11 @@
 """Near duplicates, crawl order, claims, overrides and stateful streams on small tables, against plain loops."""
 
+import hashlib
 import random
 from collections import deque
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +204,14 @@ def test_dedup_greedy_makes_no_pairs_among_all_texts_in_reach(spark, monkeypatch
     got = near.dedup_greedy(spark.createDataFrame(rows, "site string, id long, simhash long"), within=12, head=20)
     assert [r["id"] for r in got.where("kept").collect()] == [0]
     assert sum(df.count() for name, df in made if name == "undecided") < 400
+
+
+def test_fingerprints_equal_the_column_expression(spark):
+    """Texts beyond one slice, with empty and odd ones among them, with words of any script."""
+    rnd = random.Random(3)
+    texts = [(i, " ".join(rnd.choice(["a", "Été", "тест", "b_1", "日本", "x" * 40, "", "--"]) + str(rnd.randrange(50)) * rnd.randrange(2) for _ in range(rnd.randrange(1, 60)))) for i in range(2500)] + [(3000, "?!"), (3001, "w " * 70_000)]
+    df = spark.createDataFrame([("s" if i % 3 else None, i, t) for i, t in texts], "site string, id long, text string").coalesce(1)
+    want = {r["id"]: r["h"] for r in df.where("text <> ''").select("id", simhash.majority_bits(simhash.word_hashes(F.col("text"))).alias("h")).collect()}
+    assert {r["id"]: r["simhash"] for r in near.fingerprints(df).collect()} == want and len(set(want.values())) > 2000
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([["a", "a", "b"], []], pa.list_(pa.string()))], ["id", "words"])
+    assert [b.to_pydict() for b in simhash.simhash_of_words(iter([batch, batch.slice(2)]))] == [{"id": [1, 2], "simhash": [simhash.signed(int.from_bytes(hashlib.md5(b"a").digest()[8:])), 0]}]
