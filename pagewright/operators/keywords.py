@@ -122,7 +122,7 @@ def phrase_hits(pages: DataFrame, wanted: DataFrame, texts: dict[str, Column], *
     its site, and a text is searched for each of them, so that only what was found is a row of its own. Places that
     overlap, as a phrase that ends as it begins can have, count from left to right, each word once."""
     places = F.array(*[F.struct(F.lit(p).alias("place"), t.alias("texts")) for p, t in texts.items()])
-    met = pages.select("site", "url", *keep, places.alias("places")).join(phrase_lists(wanted), "site")
+    met = pages.select("site", "url", *keep, places.alias("places")).join(written(phrase_lists(wanted), "phrases"), "site")
     met = met.select("site", "url", *keep, "phrases", F.explode("places").alias("p")).select("site", "url", *keep, "phrases", "p.place", F.explode("p.texts").alias("t"))
     # a blank on either side of every word: neighbouring places share no blank, so replacing takes each
     met = met.withColumn("t", F.concat(F.lit(" "), F.replace(normalize_text(F.col("t")), F.lit(" "), F.lit("  ")), F.lit(" ")))
