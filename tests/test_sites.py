@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import deque
 from datetime import datetime, timedelta
 
@@ -47,6 +48,28 @@ def test_near_pairs_equal_a_double_loop(prints, cell):
     assert near.near_duplicate_members(df).count() == len(rows)
 
 
+def shuffled(spark):
+    """Bytes that all shuffles of the session wrote so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    time.sleep(0.5)  # for the status store
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_near_pairs_copy_a_row_a_few_times_only(spark):
+    """4,000 different texts of a site, many within reach: no row goes under each of 13 blocks or to each of 100 cells."""
+    rnd, rows = random.Random(3), {}
+    while len(rows) < 4_000:
+        rows[sum(1 << i for i in range(64) if rnd.random() < 0.2)] = len(rows)
+    df = near.written(spark.createDataFrame([("a", i, simhash.signed(h)) for h, i in rows.items()] + [("a", None, 5)], "site string, first long, simhash long"), "prints")
+    before = shuffled(spark)
+    pairs = near.near_pairs(df, cell=40)
+    pairs.write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 4_000 * 10 * 60
+    order = list(rows)
+    want = sum(apart(a, b) <= 12 for n, a in enumerate(order) for b in order[:n])
+    assert pairs.count() == pairs.where("a < b and distance <= 12").count() == want > 10_000
+
+
 def test_dedup_greedy_equals_the_scan(prints):
     df, rows = prints
     held, want = {}, []
